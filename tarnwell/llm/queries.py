@@ -63,3 +63,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every whole text keeps once strings of 400 bytes that repeat are gone."""
+    from tarnwell.llm.suffix import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"), least=400)
+    digest = F.when(F.col("kept").isNull(), F.col("text_sha256")).otherwise(F.sha2("kept", 256))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest.alias("kept_sha256"))
