@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import bounded_batches, slices, written
 
-GRAM = 16
+GRAM = 96
 #: Bytes of text in a block; keys with more are dealt over several.
 BLOCK = 1 << 20
 #: Strings that one row of a key may hold.
@@ -59,7 +59,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(a: np.ndarray, least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(a: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The strings of ``least`` bytes in a, as runs of starts under one key: key, first
     start, number of starts, and whether the key's gram stands there more than once."""
     n = len(a) - least + 1
@@ -143,7 +143,7 @@ def repeated(text: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray
         step = back[new]
         step = step[step >= 0]
         if len(t):
-            if len(t) > 4 * len(new):
+            if len(t) < n >> 4:
                 at = np.searchsorted(new, q, "right")
                 hit = new[np.minimum(at, len(new) - 1)] <= i
                 hit &= at < len(new)
@@ -249,6 +249,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
     task holds one block, or one run of strings under one key.
     """
     bounded_batches(docs.sparkSession)
+    gram = min(GRAM, least)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     sha = F.unhex(F.sha2(t.cast("binary"), 256))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.cast("binary").alias("text"), sha.alias("sha"))
@@ -265,7 +266,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
             for tid, body in zip(b.column("tid").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for off in range(0, max(1, len(body) - least + 1), step):
                     a = np.frombuffer(body[off : off + step + least - 1], np.uint8)
-                    key, lo, n, multi = runs(a, least)
+                    key, lo, n, multi = runs(a, least, gram)
                     while (n > LONGEST_RUN).any():
                         over = n > LONGEST_RUN
                         key = np.concatenate([key, key[over]])

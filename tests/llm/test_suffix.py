@@ -24,6 +24,12 @@ def plain(texts, least):
     return out
 
 
+@pytest.fixture(autouse=True)
+def short_grams(monkeypatch):
+    """Grams that fit into the short strings of most tests."""
+    monkeypatch.setattr(S, "GRAM", 16)
+
+
 def result(df):
     return sorted((r.doc_id if r.doc_id is not None else -(2**62), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept) if r.kept is not None else None) for r in df.collect())
 
@@ -60,7 +66,7 @@ def test_equal_strings_have_equal_keys():
     seen = set()
     for _ in range(30):
         a = np.concatenate([rng.integers(97, 110, rng.integers(0, 90)).astype(np.uint8), s, rng.integers(97, 110, rng.integers(0, 90)).astype(np.uint8)])
-        key, first, n, _ = S.runs(a, 60)
+        key, first, n, _ = S.runs(a, 60, 16)
         assert n.sum() == len(a) - 59
         i = bytes(a).find(bytes(s))
         seen.add(int(key[np.searchsorted(first, i, "right") - 1]))
@@ -90,8 +96,9 @@ def test_small_texts(spark, monkeypatch, block):
     check(spark.createDataFrame(rows + rows[5:7], "doc_id long, text string"), 40)
 
 
-def test_documents(spark, sf_dir):
+def test_documents(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 6000")
+    monkeypatch.setattr(S, "GRAM", 96)
     check(docs, 400)
 
 
