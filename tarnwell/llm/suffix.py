@@ -166,14 +166,17 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-_FOUND = "tid binary, start long, stop long, h1 long, h2 long, single boolean"
-_FOUND_SCHEMA = pa.schema([("tid", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("single", pa.bool_())])
+_FOUND = "tid binary, start long, stop long, h long, bucket int, blob binary"
+_FOUND_SCHEMA = pa.schema([("tid", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()), ("h", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+#: A string of a key that is dealt over parts: two hashes, whose it is, where, and whether it is single so far.
+_STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("tid", "V16"), ("at", "<i8"), ("single", "?")])
 
 
 def _block(rows: list[tuple], least: int):
     """rows: (key, part, parts, tid, lo, n, multi, bytes) of whole units (key, part). Gives
-    found rows: repeated starts of a text as ranges [start, stop); of keys dealt over several
-    parts also two hashes of each different string, so that parts can be held together."""
+    columns of found rows: repeated starts of a text as ranges [start, stop); for keys dealt
+    over several parts also the different strings that this part holds, a blob for each of as
+    many buckets by hash, so that parts can be held together."""
     seen, distinct = set(), {}
     for key, part, parts, tid, lo, n, multi, body in rows:
         if (tid, lo) not in seen:
@@ -182,56 +185,68 @@ def _block(rows: list[tuple], least: int):
     per_unit: dict[tuple, int] = {}
     for key, part, _, _ in distinct:
         per_unit[key, part] = per_unit.get((key, part), 0) + 1
-    tids, starts, stops, h1, h2, single = [], [], [], [], [], []
-
-    def found(tid, a, b, x=None, y=None, alone=None):
-        tids.append(tid)
-        starts.append(a)
-        stops.append(b)
-        h1.append(x)
-        h2.append(y)
-        single.append(alone)
-
+    out: list[tuple] = []
     work = []
     for (key, part, parts, body), who in distinct.items():
         if per_unit[key, part] == 1 and parts == 1 and not who[0][3]:
             if len(who) > 1:  # one string of bytes, several times
-                for tid, lo, n, _ in who:
-                    found(tid, lo, lo + n)
+                out += [(tid, lo, lo + n, None, None, None) for tid, lo, n, _ in who]
         else:
-            work.append((parts, body, who))
-    if work:
-        text = np.frombuffer(b"\0".join(w[1] for w in work) + b"\0", np.uint8).astype(np.uint16) + 1
-        lengths = np.array([len(w[1]) for w in work])
-        ends = np.cumsum(lengths + 1) - 1
-        text[ends] = 0
-        begin = ends - lengths
-        at, of = repeated(text, ends, least)
-        flags = np.zeros(len(text), bool)
-        flags[at] = True
-        spread = any(w[0] > 1 for w in work)
-        if spread:
-            raw = (text - (text > 0)).astype(np.uint8)
-            hashes = [gram_hashes(raw, least, s).view(np.int64) for s in (1, 2)]
-            group = np.full(len(text), -1, np.int64)
-            group[at] = of
-            told = set()
-        for (parts, _, who), b, length in zip(work, begin.tolist(), lengths.tolist(), strict=True):
-            n = length - least + 1
-            mine = flags[b : b + n] if len(who) == 1 else np.ones(n, bool)
-            for tid, lo, _, _ in who:
-                for x, y in zip(*(e.tolist() for e in _ranges(mine)), strict=True):
-                    found(tid, lo + x, lo + y)
-            if parts > 1:
-                tid, lo = who[0][:2]
-                g = group[b : b + n].tolist()
-                for x in range(n):
-                    if g[x] >= 0:
-                        if g[x] in told:
-                            continue
-                        told.add(g[x])
-                    found(tid, lo + x, lo + x + 1, int(hashes[0][b + x]), int(hashes[1][b + x]), not bool(mine[x]))
-    return tids, starts, stops, h1, h2, single
+            work.append((key, parts, body, who))
+    if not work:
+        return out
+    text = np.frombuffer(b"\0".join(w[2] for w in work) + b"\0", np.uint8).astype(np.uint16) + 1
+    lengths = np.array([len(w[2]) for w in work])
+    ends = np.cumsum(lengths + 1) - 1
+    text[ends] = 0
+    at, of = repeated(text, ends, least)
+    flags, tell = np.zeros(len(text), bool), np.ones(len(text), bool)
+    flags[at] = True
+    tell[at] = False
+    tell[at[np.unique(of, return_index=True)[1]]] = True  # of equal strings, one
+    if any(w[1] > 1 for w in work):
+        raw = (text - (text > 0)).astype(np.uint8)
+        h1, h2 = gram_hashes(raw, least, 1), gram_hashes(raw, least, 2)
+    strings: dict[tuple, list] = {}
+    for (key, parts, _, who), b, length in zip(work, (ends - lengths).tolist(), lengths.tolist(), strict=True):
+        n = length - least + 1
+        mine = flags[b : b + n] if len(who) == 1 else np.ones(n, bool)
+        first, last = (e.tolist() for e in _ranges(mine))
+        for tid, lo, _, _ in who:
+            out += [(tid, lo + x, lo + y, None, None, None) for x, y in zip(first, last, strict=True)]
+        if parts > 1:
+            x = np.flatnonzero(tell[b : b + n])
+            told = np.empty(len(x), _STRING)
+            told["h1"], told["h2"] = h1[b + x], h2[b + x]
+            told["tid"], told["at"], told["single"] = np.void(who[0][0]), who[0][1] + x, ~mine[x]
+            strings.setdefault((key, parts), []).append(told)
+    for (key, parts), told in strings.items():
+        told = np.concatenate(told)
+        bucket = (told["h1"] >> np.uint64(20)) % np.uint64(parts)
+        for k in range(parts):
+            blob = told[bucket == k]
+            if len(blob):
+                out.append((None, None, None, key, k, blob.tobytes()))
+    return out
+
+
+def _held_together(blobs: list[bytes]) -> list[tuple]:
+    """Ranges (tid, start, stop) of the single strings that another part holds too."""
+    all_ = np.frombuffer(b"".join(blobs), _STRING)
+    order = np.lexsort((all_["h2"], all_["h1"]))
+    s = all_[order]
+    differs = np.r_[True, (s["h1"][1:] != s["h1"][:-1]) | (s["h2"][1:] != s["h2"][:-1])]
+    of = np.cumsum(differs) - 1
+    s = s[(np.bincount(of)[of] > 1) & s["single"]]
+    places: dict[bytes, list[int]] = {}
+    for tid, at in zip(s["tid"].tolist(), s["at"].tolist(), strict=True):
+        places.setdefault(tid, []).append(at)
+    out = []
+    for tid, at in places.items():
+        at = np.unique(at)
+        cut = np.flatnonzero(np.diff(at) > 1)
+        out += [(tid, int(x), int(y) + 1) for x, y in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]], strict=True)]
+    return out
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
@@ -321,9 +336,9 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
 
     def to_found(batches):
         def out(rows):
-            cols = _block(rows, least)
-            for lo in range(0, len(cols[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000], f.type) for c, f in zip(cols, _FOUND_SCHEMA, strict=True)], schema=_FOUND_SCHEMA)
+            got = _block(rows, least)
+            for lo in range(0, len(got), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got[lo : lo + 20_000], strict=True), _FOUND_SCHEMA, strict=True)], schema=_FOUND_SCHEMA)
 
         block, size, unit = [], 0, None  # whole units; rows of one unit follow each other
         pending: list[tuple] = []
@@ -347,10 +362,34 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
         .sortWithinPartitions("h", "part")
         .mapInArrow(to_found, _FOUND)
     )
-    across = found.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("units")).where("units > 1")
-    ranges = found.where("h1 is null").select("tid", "start", "stop").unionByName(
-        found.where("single").join(across, ["h1", "h2"]).select("tid", "start", "stop")
+
+    def to_across(batches):
+        shape = pa.schema([("tid", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
+
+        def out(blobs):
+            got = _held_together(blobs)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), shape, strict=True)], schema=shape)
+
+        blobs, now = [], None
+        for b in batches:
+            for h, k, blob in zip(b.column("h").to_pylist(), b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if (h, k) != now and blobs:
+                    yield from out(blobs)
+                    blobs = []
+                now = (h, k)
+                blobs.append(blob)
+        if blobs:
+            yield from out(blobs)
+
+    across = (
+        found.where("h is not null")
+        .select("h", "bucket", "blob")
+        .repartition("h", "bucket")
+        .sortWithinPartitions("h", "bucket")
+        .mapInArrow(to_across, "tid binary, start long, stop long")
     )
+    ranges = found.where("h is null").select("tid", "start", "stop").unionByName(across)
     ranges = ranges.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def to_kept(batches):
