@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import table
+from tarnwell.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,38 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the labelled rows outside fold 2 of 4."""
+    from tarnwell.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labels outside fold 2 of 4."""
+    from tarnwell.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.predict(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"], threshold=0.3)
+
+
+@query
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts, learned from the rows outside fold 1 of 5."""
+    from tarnwell.llm import lm
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    return lm.score(docs.withColumn("held_out", held_out), docs.where(~held_out), keep=["doc_id", "held_out"])
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
