@@ -21,8 +21,8 @@ ROWS, WORDS = 20_000, 20_000
 #: Strengths of the penalties on weights and on counterfactual changes. A weight's penalty
 #: is so many times what chance alone would move the most moved of all words.
 SPARSITY, FAIRNESS = 1.0, 1.0
-#: Of that, what stays once the words that count are chosen.
-RELAXED = 0.02
+#: Once the words that count are chosen, their weights are fitted anew under this penalty on squares.
+RIDGE = 2e-4
 #: Lengths of the stems that count besides whole words, for languages that inflect or compound.
 STEMS = (4, 5, 6, 7, 8)
 #: Terms for groups of people, by kind.
@@ -67,10 +67,10 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(y: np.ndarray, begin: np.ndarray, index: np.ndarray, size: int, swaps: list[tuple[int, int, float]], sparsity: np.ndarray | float = 0.0, fairness: float = FAIRNESS, steps: int = 400) -> tuple[float, np.ndarray]:
+def train(y: np.ndarray, begin: np.ndarray, index: np.ndarray, size: int, swaps: list[tuple[int, int, float]], sparsity: np.ndarray | float = 0.0, fairness: float = FAIRNESS, ridge: float = 0.0, steps: int = 400) -> tuple[float, np.ndarray]:
     """Bias and weights of the logistic model of least mean loss, plus sparsity * |w|, plus
     fairness * the mean squared score change of swaps (a, b, share of texts): w_a - w_b, or
-    w_a for b < 0. Row r has the features index[begin[r]:begin[r + 1]], each once. Fast
+    w_a for b < 0, plus ridge * w^2 / 2. Row r has the features index[begin[r]:begin[r + 1]], each once. Fast
     proximal gradient steps."""
     n = len(y)
     of = np.repeat(np.arange(n), np.diff(begin))
@@ -80,14 +80,14 @@ def train(y: np.ndarray, begin: np.ndarray, index: np.ndarray, size: int, swaps:
     seen = np.bincount(index, minlength=size) / max(n, 1)
     # a diagonal bound on curvature, a feature's own share of rows times the features of a row
     per_row = max(1.0, float(np.diff(begin).mean()) if n else 1.0)
-    step = 1 / (0.25 * (seen * per_row + 1e-3) + 4 * fairness * np.bincount(np.r_[a, b[b >= 0]].astype(int), np.r_[share, share[b >= 0]], size))
+    step = 1 / (ridge + 0.25 * (seen * per_row + 1e-3) + 4 * fairness * np.bincount(np.r_[a, b[b >= 0]].astype(int), np.r_[share, share[b >= 0]], size))
     was, t = w.copy(), 1.0
     for _ in range(steps if n else 0):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = w + (t - 1) / t2 * (w - was)
         z = bias + np.bincount(of, v[index], n)
         g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        grad = np.bincount(index, g[of], size) / n
+        grad = np.bincount(index, g[of], size) / n + ridge * v
         if len(a):
             change = v[a] - np.where(b >= 0, v[b], 0)
             np.add.at(grad, a, 2 * fairness * share * change)
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
                 swaps += [(a, b, float(present[a]) / (len(at) - 1)) for b in at[:k] + at[k + 1 :]]
     chance = SPARSITY * np.sqrt(2 * np.log(len(vocabulary) + 1) * present * (pos / n) * (1 - pos / n) / n)
     bias, w = train(y, begin, index, len(vocabulary), swaps, chance)
-    bias, w = train(y, begin, index, len(vocabulary), swaps, np.where(w != 0, RELAXED * chance, np.inf))
+    bias, w = train(y, begin, index, len(vocabulary), swaps, np.where(w != 0, 0.0, np.inf), ridge=RIDGE)
     return ToxicityModel(bias, {t: float(w[i]) for t, i in vocabulary.items() if w[i]})
 
 
