@@ -34,6 +34,26 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    from tarnwell.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+ORACLES["op1_neardup"] = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+links as (select a.vec_id as u, b.vec_id as w from v a, v b
+          where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(u, w) as (select vec_id, vec_id from v union select r.u, l.w from reach r join links l on l.u = r.w),
+least as (select u, min(w) as component_id from reach group by u)
+select v.vec_id, (select count(*) from links where u = v.vec_id)::bigint as n_links,
+       component_id, v.vec_id = component_id as kept
+from v join least on least.u = v.vec_id
+"""
+
+
 @query
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the labelled rows outside fold 2 of 4."""
@@ -83,6 +103,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+@query
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every vec_id divisible by 20, among all others."""
+    from tarnwell.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLES["op8_topk"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::double) as e from embeddings),
+scored as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+           from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from scored)
+select query_id, n::int as rank, vec_id, score from ranked where n <= 20
+"""
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text, and of what they decode to."""
