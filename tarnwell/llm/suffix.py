@@ -249,26 +249,21 @@ def _held_together(blobs: list[bytes]) -> list[tuple]:
     return out
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null where none were
-    removed) and text_sha256 of the whole text, for every row of docs.
+def _tid(text: str):
+    """The text as it counts, its SHA-256, and what tells texts apart: 16 bytes of that."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    sha = F.unhex(F.sha2(t.cast("binary"), 256))
+    return t, sha, F.substring(sha, 1, 16)
 
-    A byte goes if a string of ``least`` bytes that covers it starts anywhere else too, in
-    the same text or another, as the texts are given: of a repeated passage no copy stays,
-    and of texts that come twice nothing does if they have ``least`` bytes. Null texts are
-    empty. Repeated rows are copies of each other. An empty table gives no rows.
 
-    Copies are told by a hash of the whole text and worked on once. Keys are counted after
-    partial aggregation; a key with more text than a block is dealt over parts by text and
-    place, and the parts exchange two hashes of each different string they hold. Each
-    task holds one block, or one run of strings under one key.
-    """
+def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_bytes, sha, tid) of every row, and (tid, copies, n_removed, n_spans, kept) of
+    every text; the last three are null where nothing was removed."""
     bounded_batches(docs.sparkSession)
     gram = min(GRAM, least)
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    sha = F.unhex(F.sha2(t.cast("binary"), 256))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.cast("binary").alias("text"), sha.alias("sha"))
-    base = base.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "doc_id", "text", "sha", F.substring("sha", 1, 16).alias("tid"))
+    t, sha, tid = _tid(text)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.cast("binary").alias("text"), sha.alias("sha"), tid.alias("tid"))
+    base = base.withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID)))
     narrow = written(base.select("doc_id", "rep", F.octet_length("text").cast("long").alias("n_bytes"), "sha", "tid"))
     classes = narrow.groupBy("tid").agg(F.count("*").alias("copies"), F.min("rep").alias("rep"))
     long_texts = base.where(F.octet_length("text") >= least)
@@ -407,7 +402,24 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
 
     removed = texts.select("tid", "text").join(ranges, "tid").mapInArrow(to_kept, "tid binary, n_removed long, n_spans long, kept binary")
     removed = removed.groupBy("tid").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first("kept").alias("kept"))
-    outcome = classes.select("tid", "copies").join(removed, "tid", "left")
+    return narrow, classes.select("tid", "copies").join(removed, "tid", "left")
+
+
+def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null where none were
+    removed) and text_sha256 of the whole text, for every row of docs.
+
+    A byte goes if a string of ``least`` bytes that covers it starts anywhere else too, in
+    the same text or another, as the texts are given: of a repeated passage no copy stays,
+    and of texts that come twice nothing does if they have ``least`` bytes. Null texts are
+    empty. Repeated rows are copies of each other. An empty table gives no rows.
+
+    Copies are told by a hash of the whole text and worked on once. Keys are counted after
+    partial aggregation; a key with more text than a block is dealt over parts by text and
+    place, and the parts exchange two hashes of each different string they hold. Each
+    task holds one block, or one run of strings under one key.
+    """
+    narrow, outcome = _outcomes(docs, least, text)
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     return narrow.join(outcome, "tid").select(
         "doc_id",
@@ -417,3 +429,25 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
         F.when(all_gone, F.lit(b"").cast("binary")).otherwise(F.col("kept")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
+    """docs with ``text`` replaced by what ``remove_repeats`` keeps of it. A character of which
+    a cut left some bytes goes as a whole; null texts stay null; every row stays, if need
+    be with an empty text."""
+    _, outcome = _outcomes(docs, least, text)
+    t, _, tid = _tid(text)
+    cut = outcome.where(F.col("kept").isNotNull() | (F.col("copies") > 1)).select(F.col("tid").alias("__tid"), "copies", F.col("kept").alias("__kept"))
+    gone = (F.col("copies") > 1) & (F.octet_length(t) >= least)
+    joined = docs.withColumn("__tid", tid).join(cut, "__tid", "left")
+    joined = joined.select(*docs.columns, F.when(gone, F.lit(b"").cast("binary")).otherwise(F.col("__kept")).alias("__kept"))
+
+    names, at = docs.columns, docs.columns.index(text)
+
+    def run(batches):
+        for b in slices(batches, text, 1 << 20):
+            texts = [x if k is None else k.decode("utf-8", "ignore") for x, k in zip(b.column(at).to_pylist(), b.column("__kept").to_pylist(), strict=True)]
+            cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return joined.mapInArrow(run, docs.schema)
