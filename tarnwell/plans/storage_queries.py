@@ -1,4 +1,4 @@
-"""Versioned storage: versions made of events."""
+"""Versioned storage over versions made of events and of orders."""
 
 from __future__ import annotations
 
@@ -9,10 +9,259 @@ from tarnwell.plans.catalogue import register
 from tarnwell.sources import tables as T
 
 VERSIONS = "select user_id as key, event_id as seq, case when event_type='error' then 0 else 1 end as kind, value from events"
-_LATEST = f"select key, seq, kind, value from (select *, row_number() over (partition by key order by seq desc) rn from ({VERSIONS})) where rn = 1"
+ORDERS = "select o_custkey as key, o_orderkey as seq, case when o_orderstatus='F' then 0 else 1 end as kind, o_totalprice as value, o_orderkey // 500 as file from orders"
 
 
-@register(f"select key, seq, value from ({_LATEST}) where kind = 1")
+def latest_sql(versions: str) -> str:
+    return f"select key, seq, kind, value from (select *, row_number() over (partition by key order by seq desc) rn from ({versions})) where rn = 1"
+
+
+CATALOG = f"select file, count(*) as entries, min(key) as smallest_key, max(key) as largest_key, min(seq) as smallest_seq, max(seq) as largest_seq from ({ORDERS}) group by file"
+FILES = f"select file, case when n <= 5 then 0 when n <= 12 then 1 else 2 end as level, entries * 40 as size from (select *, row_number() over (order by largest_seq desc) n from ({CATALOG}))"
+
+
+def catalog(spark, sf_dir):
+    return S.file_catalog(T.order_versions(spark, sf_dir))
+
+
+def leveled(spark, sf_dir):
+    """Files with a level by age; a catalog is a few rows per gigabyte, so one task ranks it."""
+    from pyspark.sql.window import Window
+
+    n = F.row_number().over(Window.orderBy(F.desc("largest_seq")))
+    level = F.when(n <= 5, 0).when(n <= 12, 1).otherwise(2)
+    return catalog(spark, sf_dir).select("file", level.alias("level"), (F.col("entries") * 40).alias("size"))
+
+
+@register(f"select key, seq, value from ({latest_sql(VERSIONS)}) where kind = 1")
 def snapshot_lww(spark, sf_dir):
     """AGG-01 SRC-09: newest version per key, tombstones removed."""
     return S.snapshot(T.event_versions(spark, sf_dir))
+
+
+@register(f"select count(*) as live from ({latest_sql(ORDERS)}) where kind = 1")
+def live_key_count(spark, sf_dir):
+    """AGG-05."""
+    return S.snapshot(T.order_versions(spark, sf_dir)).agg(F.count("*").alias("live"))
+
+
+@register(f"select key, seq, value from ({latest_sql(VERSIONS + ' where event_id <= 700')}) where kind = 1")
+def time_travel_lww(spark, sf_dir):
+    """FLT-06: what a reader at sequence 700 sees."""
+    return S.as_of(T.event_versions(spark, sf_dir), 700)
+
+
+@register(f"select c_custkey as key, case when kind is null then 'absent' when kind = 0 then 'tombstone' else 'value' end as outcome, case when kind = 1 then value end as value from customer left join ({latest_sql(ORDERS)}) l on l.key = c_custkey")
+def point_get_set(spark, sf_dir):
+    """JOI-03 SRC-04: every customer looked up among the orders' versions."""
+    keys = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    return S.probe(keys, T.order_versions(spark, sf_dir))
+
+
+_STAGED = latest_sql(ORDERS + " where o_orderkey % 10 = 3")
+
+
+@register(f"select coalesce(b.key, s.key) as key, case when s.kind is not null then s.value else b.value end as value, s.kind is not null as staged from (select key, value from ({latest_sql(ORDERS)}) where kind = 1) b full join ({_STAGED}) s on b.key = s.key where s.kind is null or s.kind = 1")
+def overlay_lookup(spark, sf_dir):
+    """JOI-04 SRC-10: a staged batch before the engine's contents."""
+    v = T.order_versions(spark, sf_dir)
+    staged = S.latest(v.where("seq % 10 = 3"))
+    return S.overlay(S.snapshot(v).select("key", "value"), staged.select("key", "kind", "value"))
+
+
+@register(f"select key, seq, kind, value from ({latest_sql(ORDERS + ' where o_orderkey // 500 >= 2')})")
+def compaction_output(spark, sf_dir):
+    """AGG-02: newer files merged; older ones remain below, so tombstones stay."""
+    return S.compact(T.order_versions(spark, sf_dir).where("file >= 2"), bottom_most=False)
+
+
+@register(f"select key, seq, kind, value from ({latest_sql(ORDERS)}) where kind = 1")
+def compaction_output_bottom(spark, sf_dir):
+    """AGG-02 with all files: tombstones go."""
+    return S.compact(T.order_versions(spark, sf_dir), bottom_most=True)
+
+
+@register(f"select sum(n)::bigint as input_entries, (count(*) - count(*) filter (kind = 0))::bigint as output_entries, sum(n - 1)::bigint as versions_dropped, count(*) filter (kind = 0) as tombstones_dropped, 0::bigint as tombstones_kept, count(*) as distinct_keys from (select key, count(*) n, arg_max(kind, seq) kind from ({ORDERS}) group by key)")
+def compaction_stats(spark, sf_dir):
+    """AGG-02 counters."""
+    return S.compaction_counters(T.order_versions(spark, sf_dir), bottom_most=True)
+
+
+@register(CATALOG)
+def file_catalog(spark, sf_dir):
+    """SRC-05 SNK-01."""
+    return catalog(spark, sf_dir)
+
+
+@register(f"select min(case when file < 2 then smallest_seq end) = min(smallest_seq) as bottom_most from ({CATALOG})")
+def bottom_most_test(spark, sf_dir):
+    """AGG-03."""
+    return S.bottom_most(catalog(spark, sf_dir), F.col("file") < 2)
+
+
+@register(f"select level, count(*) as files, sum(size)::bigint as bytes from ({FILES}) group by level")
+def level_summary(spark, sf_dir):
+    """AGG-04."""
+    return S.level_summary(leveled(spark, sf_dir))
+
+
+@register(f"select min(level) filter (case when level = 0 then files >= 6 else files >= 2 and bytes > 30000 * pow(10, level - 1) end) as level from (select level, count(*) files, sum(size) bytes from ({FILES}) group by level)")
+def compaction_pick(spark, sf_dir):
+    """SRT-05."""
+    return S.compaction_pick(leveled(spark, sf_dir), trigger=6, base_bytes=30_000)
+
+
+_TORN = f"select file, case when file % 4 = 3 then 0 else entries end as entries, smallest_seq, case when file % 3 = 0 then largest_seq + 5000 else largest_seq end as largest_seq from ({CATALOG})"
+
+
+@register(f"select file, fault from (select file, case when entries = 0 then 'empty' when smallest_seq > largest_seq then 'inverted' when largest_seq >= lag(smallest_seq) over (order by largest_seq desc, file) then 'overlap' end as fault from ({_TORN})) where fault is not null")
+def fileset_coherence(spark, sf_dir):
+    """WIN-04 INV-C5 over a catalog with planted faults."""
+    c = catalog(spark, sf_dir)
+    torn = c.withColumn("entries", F.when(F.col("file") % 4 == 3, 0).otherwise(F.col("entries"))).withColumn("largest_seq", F.when(F.col("file") % 3 == 0, F.col("largest_seq") + 5000).otherwise(F.col("largest_seq")))
+    return S.incoherent(torn)
+
+
+_POSITIONS = f"select file, row_number() over (partition by file order by key, seq desc) as pos, case when seq % 97 = 0 then key - 50 else key end as key, seq from ({ORDERS})"
+
+
+@register(f"select file, pos from (select *, lag(key) over w as k, lag(seq) over w as s from ({_POSITIONS}) window w as (partition by file order by pos)) where k > key or (k = key and s <= seq)")
+def strict_order(spark, sf_dir):
+    """WIN-05 SRC-05: places out of order in files with planted faults."""
+    from pyspark.sql.window import Window
+
+    pos = F.row_number().over(Window.partitionBy("file").orderBy("key", F.desc("seq")))
+    rows = T.order_versions(spark, sf_dir).withColumn("pos", pos).withColumn("key", F.when(F.col("seq") % 97 == 0, F.col("key") - 50).otherwise(F.col("key")))
+    return S.misordered(rows)
+
+
+@register(f"select file, block, count(*) as entries, sum(bytes)::bigint as bytes, max(key) as last_key from (select *, (coalesce(sum(bytes) over (partition by file order by key, seq desc rows between unbounded preceding and 1 preceding), 0) // 4096)::bigint as block from (select *, 24 + key % 40 as bytes from ({ORDERS}))) group by file, block")
+def sstable_blocks(spark, sf_dir):
+    """SNK-01 SRC-03: blocks of about 4 KiB and their last keys."""
+    return S.blocks(T.order_versions(spark, sf_dir), 24 + F.col("key") % 40, 4096)
+
+
+@register(f"select key, seq, row_number() over (partition by key order by seq desc, kind desc) as version_rank from ({ORDERS})")
+def version_rank(spark, sf_dir):
+    """WIN-03 SRT-01: versions of a key, newest first."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("kind"))
+    return T.order_versions(spark, sf_dir).select("key", "seq", F.row_number().over(w).alias("version_rank"))
+
+
+_RAW = "select c_name, o_orderkey as seq, case when o_orderstatus='F' then 0 else 1 end as kind from orders join customer on c_custkey = o_custkey"
+
+
+@register(f"select concat(hex(encode(c_name)), lpad(hex(seq), 14, '0'), lpad(hex(kind), 2, '0')) as internal_key, c_name as key, seq, kind, true as valid from ({_RAW})")
+def internal_keys(spark, sf_dir):
+    """PRJ-01 FLT-13: encoded and decoded again."""
+    o = T.order_versions(spark, sf_dir).withColumnRenamed("key", "c_custkey")
+    raw = o.join(T.table(spark, sf_dir, "customer"), "c_custkey").select(S.internal_key(F.col("c_name").cast("binary"), F.col("seq"), F.col("kind")).alias("raw"))
+    key, seq, kind = S.decode_internal_key(F.col("raw"))
+    return raw.select(F.hex("raw").alias("internal_key"), key.cast("string").alias("key"), seq.alias("seq"), kind.alias("kind"), S.well_formed(F.col("raw")).alias("valid"))
+
+
+@register("select case when doc_id % 50 = 0 or text is null then 'empty key' when octet_length(encode(text)) > 4096 then 'key too large' when octet_length(encode(text)) > 1048576 then 'value too large' else 'ok' end as fault, count(*) as n from documents group by 1")
+def entry_validation(spark, sf_dir):
+    """FLT-10: documents as keys and values of the store."""
+    d = T.table(spark, sf_dir, "documents")
+    key = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.col("text"))
+    return d.groupBy(S.entry_fault(key, F.col("text")).alias("fault")).agg(F.count("*").alias("n"))
+
+
+_TAGGED = "select case when p_partkey % 3 = 0 then '02' else '01' end || hex(encode(p_name)) as raw, p_retailprice as value from part"
+
+
+@register(f"select unhex(raw[3:])::varchar as key, value from (select raw, value from ({_TAGGED}) where raw[1:2] = '01')".replace("unhex(raw[3:])::varchar", "decode(unhex(raw[3:]))"))
+def namespace_contents(spark, sf_dir):
+    """FLT-01: user entries of a store whose first key byte is a namespace."""
+    p = T.table(spark, sf_dir, "part")
+    tag = F.when(F.col("p_partkey") % 3 == 0, F.unhex(F.lit("02"))).otherwise(F.unhex(F.lit("01")))
+    raw = p.select(F.concat(tag, F.col("p_name").cast("binary")).alias("raw"), F.col("p_retailprice").alias("value"))
+    return raw.where(F.hex(F.substring("raw", 1, 1)) == "01").select(F.substring(F.col("raw"), F.lit(2), F.octet_length("raw")).cast("string").alias("key"), "value")
+
+
+_EDITS = f"select file as edit, file, true as added from ({CATALOG}) union all select file + 3, file, false from ({CATALOG}) where file % 2 = 0 union all select file + 5, file, true from ({CATALOG}) where file % 6 = 0 union all select file + 1, file, true from ({CATALOG}) where file % 7 = 3 union all select file + 1, file - 1, false from ({CATALOG}) where file % 10 = 9"
+
+
+def edits(spark, sf_dir):
+    c = catalog(spark, sf_dir).select("file")
+    row = lambda d, at, added, file=F.col("file"): d.select((F.col("file") + at).alias("edit"), file.alias("file"), F.lit(added).alias("added"))
+    parts = [row(c, 0, True), row(c.where("file % 2 = 0"), 3, False), row(c.where("file % 6 = 0"), 5, True), row(c.where("file % 7 = 3"), 1, True), row(c.where("file % 10 = 9"), 1, False, F.col("file") - 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(f"select file, max(edit) as edit from ({_EDITS}) group by file having arg_max(added, edit * 2 + added::int)")
+def manifest_state(spark, sf_dir):
+    """AGG-15 SRC-08: live files after all edits."""
+    return S.manifest_live(edits(spark, sf_dir))
+
+
+@register(f"select edit, file, case when added then 'add of live' else 'delete of dead' end as fault from (select *, coalesce(lag(added) over (partition by file order by edit, added), false) as before from ({_EDITS})) where before = added")
+def manifest_violations(spark, sf_dir):
+    """AGG-15: edits that no sound manifest holds."""
+    return S.manifest_faults(edits(spark, sf_dir))
+
+
+@register(f"select arg_max(next_file_num, edit) as next_file_num, arg_max(last_sequence, edit) as last_sequence from (select file as edit, case when file % 3 = 0 then file + 1 end as next_file_num, case when file % 4 = 1 then largest_seq end as last_sequence from ({CATALOG}))")
+def manifest_scalars(spark, sf_dir):
+    """AGG-15: the last given scalars."""
+    e = catalog(spark, sf_dir).select(F.col("file").alias("edit"), F.when(F.col("file") % 3 == 0, F.col("file") + 1).alias("next_file_num"), F.when(F.col("file") % 4 == 1, F.col("largest_seq")).alias("last_sequence"))
+    return S.manifest_scalars(e, "next_file_num", "last_sequence")
+
+
+@register(f"select file from ({CATALOG}) where file not in (select file from ({_EDITS}) group by file having arg_max(added, edit * 2 + added::int))")
+def orphan_files(spark, sf_dir):
+    """SET-04 SET-05: files that exist and are not live."""
+    return catalog(spark, sf_dir).select("file").join(S.manifest_live(edits(spark, sf_dir)), "file", "left_anti")
+
+
+@register("select count(*) filter (event_id <= 600) as skipped, count(*) filter (event_id > 600) as replayed from events")
+def replay_counts(spark, sf_dir):
+    """FLT-07 FLT-08 SRC-06."""
+    return S.replay(T.event_versions(spark, sf_dir), 600)
+
+
+@register(f"select round((wal + flush + compaction) / logical::double, 6) as total, round((flush + compaction) / logical::double, 6) as without_wal from (select sum(16 + 8) as logical, sum(16 + 8 + 17) as wal, sum(16 + 8 + 9) as flush, (select 33 * count(*) from ({latest_sql(ORDERS)}) where kind = 1) as compaction from ({ORDERS}))")
+def write_amplification(spark, sf_dir):
+    """AGG-23: bytes logged, flushed and compacted over bytes asked for."""
+    v = T.order_versions(spark, sf_dir)
+    n = v.agg(F.count("*").alias("n"))
+    live = S.snapshot(v).agg(F.count("*").alias("live"))
+    s = n.join(live, F.lit(True))  # one row each
+    return s.select(F.round((F.col("n") * (41 + 33) + F.col("live") * 33) / (F.col("n") * 24), 6).alias("total"), F.round((F.col("n") * 33 + F.col("live") * 33) / (F.col("n") * 24), 6).alias("without_wal"))
+
+
+@register("select grp, count(*) as entries, sum(octet_length(encode(props)))::bigint as bytes from (select *, event_id // 1000 as grp, sum(octet_length(encode(props))) over (partition by event_id // 1000 order by event_id) as running, row_number() over (partition by event_id // 1000 order by event_id) as n from events) where running <= 2000 or n = 1 group by grp")
+def bounded_slice(spark, sf_dir):
+    """SRT-06: the longest prefix of each run of entries within 2000 bytes."""
+    e = T.table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("grp"), "event_id", F.octet_length("props").cast("long").alias("size"))
+    return S.bounded_prefix(e, "grp", "event_id", "size", 2000).groupBy("grp").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+
+
+@register(f"select coalesce(a.key, b.key) as key, case when a.key is null then 'right only' when b.key is null then 'left only' else 'value' end as difference from (select key, value from ({latest_sql(ORDERS)}) where kind = 1) a full join (select key, value from ({latest_sql(ORDERS + ' where o_orderkey % 11 <> 0')}) where kind = 1) b on a.key = b.key where a.key is null or b.key is null or a.value is distinct from b.value")
+def store_model_diff(spark, sf_dir):
+    """JOI-14 INV-X8: two stores key by key."""
+    v = T.order_versions(spark, sf_dir)
+    return S.differences(S.snapshot(v), S.snapshot(v.where("seq % 11 <> 0")))
+
+
+@register(f"select count(*) as differing from (select key, seq, value from ({latest_sql(ORDERS)}) where kind = 1 except select key, seq, value from ({latest_sql(ORDERS)}) where kind = 1)")
+def compaction_preserves_lookups(spark, sf_dir):
+    """INV-C1: the snapshot before a merge of the newer files and after it."""
+    v = T.order_versions(spark, sf_dir).drop("file")
+    merged = S.compact(v.where("seq >= 1000"), bottom_most=False).unionByName(v.where("seq < 1000"))
+    return S.differences(S.snapshot(v), S.snapshot(merged)).agg(F.count("*").alias("differing"))
+
+
+@register("select doc_id, sha256(text) as sha256, ceil(greatest(octet_length(encode(text)), 1) / 1024.0)::bigint as chunks, true as contiguous from documents")
+def snapshot_chunks(spark, sf_dir):
+    """SRC-12 SRC-13: bodies cut into chunks of 1 KiB and put together again."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("body"))
+    parts = S.chunks(d, "body", 1024)
+    n = parts.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return S.reassembled(parts, "doc_id").join(n, "doc_id").select("doc_id", F.sha2("body", 256).alias("sha256"), "chunks", "contiguous")

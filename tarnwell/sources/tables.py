@@ -18,3 +18,15 @@ def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", 0).otherwise(1).alias("kind"),
         "value",
     )
+
+
+def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """versions(key, seq, kind, value, file): an order is a version of its customer; a finished
+    one is a tombstone; files hold runs of 500 sequence numbers, as flushes make them."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"),
+        F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("kind"),
+        F.col("o_totalprice").alias("value"),
+        F.floor(F.col("o_orderkey") / 500).alias("file"),
+    )
