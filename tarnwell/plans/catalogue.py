@@ -25,4 +25,4 @@ def register(sql: str | None = None):
     return put
 
 
-from tarnwell.plans import storage_queries  # noqa: E402, F401
+from tarnwell.plans import measure_queries, routing_queries, storage_queries  # noqa: E402, F401

@@ -30,3 +30,20 @@ def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("value"),
         F.floor(F.col("o_orderkey") / 500).alias("file"),
     )
+
+
+def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op_log(event_id, run, client, op, class, intended_ns, done_ns, ns): an event is an operation
+    of its user, a day is a run, and the value is the latency in milliseconds."""
+    e = table(spark, sf_dir, "events")
+    kind, user = F.col("event_type"), F.col("user_id")
+    op = F.when(kind.isin("view", "click"), "get").when(kind == "purchase", "put").when(kind == "signup", "delete").otherwise("put")
+    ended = (
+        F.when(kind == "error", "unknown")
+        .when((kind == "click") & (user % 3 == 0), "not_found")
+        .when((kind == "signup") & (user % 4 == 0), "refused")
+        .otherwise("ok")
+    )
+    since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.date_trunc("day", F.col("ts")).cast("timestamp"))) * 1000
+    ns = F.floor(F.col("value") * 1_000_000)
+    return e.select("event_id", F.to_date("ts").alias("run"), user.alias("client"), op.alias("op"), ended.alias("class"), since.alias("intended_ns"), (since + ns).alias("done_ns"), ns.alias("ns"))
