@@ -31,8 +31,7 @@ def outcome_class(known: Column, err: Column, status: Column) -> Column:
     """PRJ-03: how an operation ended for its client."""
     return (
         F.when(~known, "unknown")
-        .when(err.isNotNull() & (err != ""), "refused")
-        .when(status == "OK", "ok")
+        .when((F.coalesce(err, F.lit("")) == "") & (status == "OK"), "ok")
         .when(status == "NOT_FOUND", "not_found")
         .otherwise("refused")
     )

@@ -130,7 +130,7 @@ def strict_order(spark, sf_dir):
     """WIN-05 SRC-05: places out of order in files with planted faults."""
     from pyspark.sql.window import Window
 
-    pos = F.row_number().over(Window.partitionBy("file").orderBy("key", F.desc("seq")))
+    pos = F.row_number().over(Window.partitionBy("file").orderBy("key", F.desc("seq"))).cast("long")
     rows = T.order_versions(spark, sf_dir).withColumn("pos", pos).withColumn("key", F.when(F.col("seq") % 97 == 0, F.col("key") - 50).otherwise(F.col("key")))
     return S.misordered(rows)
 
@@ -147,7 +147,7 @@ def version_rank(spark, sf_dir):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("key").orderBy(F.desc("seq"), F.desc("kind"))
-    return T.order_versions(spark, sf_dir).select("key", "seq", F.row_number().over(w).alias("version_rank"))
+    return T.order_versions(spark, sf_dir).select("key", "seq", F.row_number().over(w).cast("long").alias("version_rank"))
 
 
 _RAW = "select c_name, o_orderkey as seq, case when o_orderstatus='F' then 0 else 1 end as kind from orders join customer on c_custkey = o_custkey"
