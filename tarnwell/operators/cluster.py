@@ -101,12 +101,20 @@ def discontiguous(log: DataFrame) -> DataFrame:
     return log.withColumn("fault", fault).where("fault is not null").select("grp", "node", "index", "fault")
 
 
+#: Positions of a log that one task looks through at a time.
+STRETCH = 65_536
+
+
 def survivors(writes: DataFrame) -> DataFrame:
     """LOG-03, SRC-14: writes(grp, pos, index, term, ...) that no later write at or below their
-    index has cut off."""
-    later = Window.partitionBy("grp").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    cut = F.min("index").over(later)
-    return writes.withColumn("cut", cut).where("cut is null or cut > index").drop("cut")
+    index has cut off. The least index that follows is found per stretch of positions, then
+    within each, so one long log is many tasks."""
+    w = writes.withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+    after = Window.partitionBy("grp").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    least = w.groupBy("grp", "stretch").agg(F.min("index").alias("least")).select("grp", "stretch", F.min("least").over(after).alias("after"))
+    within = Window.partitionBy("grp", "stretch").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    cut = w.withColumn("cut", F.min("index").over(within)).join(least, ["grp", "stretch"])
+    return cut.where("(cut is null or cut > index) and (after is null or after > index)").drop("cut", "after", "stretch")
 
 
 def term_bounds(log: DataFrame) -> DataFrame:

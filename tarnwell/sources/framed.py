@@ -56,9 +56,8 @@ def framed(kind: pd.Series, payload: pd.Series) -> pd.Series:
     return pd.Series([struct.pack("<I", c) + r for c, r in zip(crc32c(rest).tolist(), rest, strict=True)], index=kind.index)
 
 
-def records(body: bytes) -> tuple[list[tuple[int, int, bytes]], str, int]:
-    """SRC-07: (offset, kind, payload) of the sound records, how the file ends (clean, torn or
-    corrupt), and the offset up to which it is sound."""
+def _frames(body: bytes) -> tuple[list[tuple[int, int, int, int]], str, int]:
+    """(offset, end, checksum, kind) of what looks like records, and how and where that ends."""
     out, at = [], 0
     while len(body) - at >= HEADER:
         crc, n, kind = struct.unpack_from("<IIB", body, at)
@@ -69,13 +68,29 @@ def records(body: bytes) -> tuple[list[tuple[int, int, bytes]], str, int]:
         end = at + HEADER + n
         if end > len(body):
             return out, "torn", at
-        if int(crc32c([body[at + 4 : end]])[0]) != crc:
-            return out, "torn" if end == len(body) else "corrupt", at
-        out.append((at, kind, body[at + HEADER : end]))
+        out.append((at, end, crc, kind))
         at = end
     return out, "clean", at
 
 
+def records(bodies: list[bytes]) -> list[tuple[list[tuple[int, int, bytes]], str, int]]:
+    """SRC-07: for each file (offset, kind, payload) of its sound records, how it ends (clean,
+    torn or corrupt), and the offset up to which it is sound. Checksums of all are taken at
+    once."""
+    walked = [_frames(b) for b in bodies]
+    sums = iter(crc32c([b[at + 4 : end] for b, (frames, _, _) in zip(bodies, walked, strict=True) for at, end, _, _ in frames]).tolist())
+    out = []
+    for body, (frames, state, sound) in zip(bodies, walked, strict=True):
+        got = []
+        for (at, end, crc, kind), own in zip(frames, [next(sums) for _ in frames], strict=True):
+            if own != crc:
+                state, sound = "torn" if end == len(body) else "corrupt", at
+                break
+            got.append((at, kind, body[at + HEADER : end]))
+        out.append((got, state, sound))
+    return out
+
+
 def read_records(files: DataFrame) -> DataFrame:
     """Records of files(path, content), as binaryFile gives them: (path, offset, kind, payload),
     and a row of kind -1 per file with its end in ``state`` and where it is sound up to."""
@@ -83,9 +98,11 @@ def read_records(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for path, body in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                got, state, sound = records(body or b"")
-                rows = [(path, at, kind, payload, None) for at, kind, payload in got] + [(path, sound, -1, None, state)]
+            rows = []
+            paths = b.column("path").to_pylist()
+            for path, (got, state, sound) in zip(paths, records([c or b"" for c in b.column("content").to_pylist()]), strict=True):
+                rows += [(path, at, kind, payload, None) for at, kind, payload in got] + [(path, sound, -1, None, state)]
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
     return files.select("path", "content").mapInArrow(run, "path string, offset long, kind int, payload binary, state string")

@@ -231,11 +231,10 @@ def test_checksums_and_records():
     assert framed.crc32c([b"123456789", b"", b"\0" * 32]).tolist() == [0xE3069283, 0, 0x8A9136AA]
     one = lambda k, p: framed.framed.func(__import__("pandas").Series([k]), __import__("pandas").Series([p]))[0]
     log = one(1, b"hello") + one(2, b"") + one(3, b"x" * 300)
-    got, state, at = framed.records(log)
+    [(got, state, at)] = framed.records([log])
     assert [(k, p) for _, k, p in got] == [(1, b"hello"), (2, b""), (3, b"x" * 300)] and (state, at) == ("clean", len(log))
-    assert framed.records(log[:-1])[1:] == ("torn", len(log) - 309)
-    assert framed.records(log[:10] + b"!" + log[11:])[1:] == ("corrupt", 0)
-    assert framed.records(log + bytes(20))[1] == "torn" and framed.records(log + bytes(20) + b"x")[1] == "corrupt"
+    damaged = [log[:-1], log[:10] + b"!" + log[11:], log + bytes(20), log + bytes(20) + b"x", b""]
+    assert [r[1:] for r in framed.records(damaged)] == [("torn", len(log) - 309), ("corrupt", 0), ("torn", len(log)), ("corrupt", len(log)), ("clean", 0)]
     assert framed.crc32c([bytes(5)])[0] == 0x45727635
 
 
