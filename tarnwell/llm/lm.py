@@ -2,9 +2,10 @@
 
 Counts of every byte after up to ORDER bytes before it, over all training texts, form a
 context trie. A byte is coded in the longest context the trie has; what the context has
-not seen escapes to the next shorter one (method C: the number of different followers
-estimates how often), where the followers seen before are excluded. A document's score is
-the log10 probability of all its bytes and its end.
+not seen escapes to the next shorter one, where the followers seen before are excluded.
+Escapes are estimated by method D: each follower gives half a count to the escape; the
+counts of followers that the trie leaves out go to it whole. A document's score is the log10
+probability of all its bytes and its end.
 """
 
 from __future__ import annotations
@@ -25,28 +26,26 @@ from tarnwell.llm.common import bounded_batches, slices, written
 ORDER, NODES = 5, 1_600_000
 #: Words whose counts a task holds; those of the others are joined.
 WORDS = 250_000
-#: Symbols: 0 before a text, 1 + byte, END after it; nine bits each.
-END, SYMBOLS = 257, 257
+#: A text's end and what stands before its begin are bytes that UTF-8 never holds; so all
+#: symbols but BEGIN can follow.
+END, BEGIN, SYMBOLS = 0xFF, 0xFE, 255
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _mask(symbols: int) -> np.uint64:
-    return np.uint64((1 << (9 * symbols)) - 1)
+    return np.uint64((1 << (8 * symbols)) - 1)
 
 
 def gram_keys(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol at each place of the texts and the ``order`` before it, nine bits each, the
+    """The symbol at each place of the texts and the ``order`` before it, a byte each, the
     symbol lowest; and how many places each text has (its bytes and its end)."""
     size = np.array([len(t) + 1 for t in texts], np.int64)
-    pad = bytes(order)
-    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8).astype(np.uint64) + np.uint64(1)
+    pad, end = bytes([BEGIN]) * order, bytes([END])
+    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, end)), np.uint8).astype(np.uint64)
     begin = np.cumsum(size + order) - size
-    for k in range(1, order + 1):
-        raw[begin - k] = 0
-    raw[begin + size - 1] = END
     key = raw.copy()
     for k in range(1, order + 1):
-        key[k:] |= raw[:-k] << np.uint64(9 * k)
+        key[k:] |= raw[:-k] << np.uint64(8 * k)
     keep = np.ones(len(raw), bool)
     for k in range(1, order + 1):
         keep[begin - k] = False
@@ -89,37 +88,45 @@ class Table:
 
 class PPM:
     """The model of grams: for each order k, keys (k symbols of context, then the symbol) with
-    counts, each order's grams without their first symbol among those of the next lower."""
+    counts, each order's grams without their first symbol among those of the next lower; and
+    for each context the sum of all its counts, of followers left out too."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.grams, self.contexts, self.value, self.begin, self.escape, self.room = [], [], [], [], [], []
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        self.grams, self.contexts, self.value, self.begin, self.escape, self.room, self.counts = [], [], [], [], [], [], []
         below = None
         for k, (keys, counts) in enumerate(grams):
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order].astype(float)
-            ctx = keys >> np.uint64(9)
-            first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, int)
-            of = np.cumsum(np.r_[True, ctx[1:] != ctx[:-1]]) - 1 if len(ctx) else np.zeros(0, int)
-            total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+            ctx = keys >> np.uint64(8)
+            new = np.r_[True, ctx[1:] != ctx[:-1]] if len(ctx) else np.zeros(0, bool)
+            first, of = np.flatnonzero(new), np.cumsum(new) - 1
+            kept = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
             followers = np.diff(np.r_[first, len(ctx)]).astype(float)
             self.contexts.append(Table(ctx[first]))
             self.grams.append(Table(keys))
-            # coding in a context that is the longest there: log10 of count and of escape
-            self.value.append(np.log10(counts) - np.log10(total + followers)[of] if len(of) else np.zeros(0))
-            self.begin.append(np.log10(followers / (total + followers)) if len(of) else np.zeros(0))
+            out = np.zeros(len(first))  # counts of followers left out
+            if totals is not None and len(first):
+                at = self.contexts[-1].find(totals[k][0])
+                out[at[at >= 0]] = totals[k][1][at >= 0]
+                out = np.maximum(out - kept, 0)
+            # coding in a context that is the longest there: log10 of symbols and of escape
+            self.counts.append(np.log10(counts - 0.5))
+            self.value.append(self.counts[-1] - np.log10(kept + out)[of])
+            self.begin.append(np.log10(out + followers / 2) - np.log10(kept + out))
             if k:
                 parent = below["contexts"].find(ctx[first] & _mask(k - 1))
                 seen = below["counts"][below["grams"].find(keys & _mask(k))]
-                left = below["total"][parent] - (np.add.reduceat(seen, first) if len(first) else 0)
-                new = below["followers"][parent] - followers
-                # in the next shorter context, these followers excluded: log10 of all that is left, and of escape
-                self.room.append(np.log10(np.maximum(left + new, 1)))
-                self.escape.append(np.where(new > 0, np.log10(np.maximum(new, 1)) - self.room[-1], 0.0))
+                more = below["followers"][parent] - followers
+                room = below["kept"][parent] - (np.add.reduceat(seen, first) if len(first) else 0) + below["out"][parent]
+                # in the next shorter context, these followers excluded: log10 of all that is left, and of
+                # escape from there, which is certain if nothing is
+                away = below["out"][parent] + more / 2
+                self.room.append(np.log10(np.maximum(room, 0.5)))
+                self.escape.append(np.where(away > 0, np.log10(np.maximum(away, 0.25)) - self.room[-1], 0.0))
             else:
                 self.room.append(np.zeros(len(first)))
                 self.escape.append(np.zeros(len(first)))
-            below = {"contexts": self.contexts[-1], "grams": self.grams[-1], "counts": counts, "total": total, "followers": followers}
-            self.counts = [*getattr(self, "counts", []), np.log10(counts)]
+            below = {"contexts": self.contexts[-1], "grams": self.grams[-1], "counts": counts, "kept": kept, "followers": followers, "out": out}
         self.order = len(grams) - 1
         known = len(grams[0][0]) if grams else 0
         self.unseen = -math.log10(SYMBOLS - known) if known < SYMBOLS else 0.0
@@ -141,7 +148,7 @@ class PPM:
             got = np.where(plain, self.value[k][h], acc[hit] + self.counts[k][h] - (self.room[k + 1][was] if k < self.order and len(self.room[k + 1]) else 0))
             out[todo[hit]] = got
             todo, acc, longer, sub = todo[~hit], acc[~hit], longer[~hit], sub[~hit]
-            ctx = self.contexts[k].find(sub >> np.uint64(9))
+            ctx = self.contexts[k].find(sub >> np.uint64(8))
             there = ctx >= 0
             started = longer >= 0
             if k < self.order and len(self.escape[k + 1]):
@@ -191,7 +198,7 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
             yield from out(*merged())
 
     full = texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(int(_mask(k + 1)))).alias("g")) for k in range(order)]))
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(int(_mask(k + 1).view(np.int64)))).alias("g")) for k in range(order)]))
     lower = full.select(level.alias("x"), "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n"))
     all_ = written(lower.select("k", F.col("g").alias("gram"), "n").unionByName(full.select(F.lit(order).alias("k"), "gram", "n")))
     # a histogram over counts gives the least count of which no more than ``nodes`` are left
@@ -202,8 +209,15 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
             break
         least, kept = c, kept + m
     got = all_.where(F.col("n") >= least).toArrow()
-    k, gram, n = (got.column(c).to_numpy() for c in ("k", "gram", "n"))
-    return PPM([(gram[k == i].astype(np.uint64), n[k == i]) for i in range(order + 1)])
+    # sums of all counts of the contexts that are left, followers left out included
+    context = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.shiftrightunsigned("gram", 8))
+    sums = all_.groupBy("k", context.alias("context")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("most") >= least).select("k", "context", "n").toArrow()
+
+    def split(t, column):
+        k, key, n = (t.column(c).to_numpy() for c in ("k", column, "n"))
+        return [(key[k == i].view(np.uint64), n[k == i].astype(float)) for i in range(order + 1)]
+
+    return PPM(split(got, "gram"), split(sums, "context"))
 
 
 def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, text: str = "text", order: int = ORDER, nodes: int = NODES) -> DataFrame:

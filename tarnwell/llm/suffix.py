@@ -437,8 +437,8 @@ def without_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Da
     be with an empty text."""
     _, outcome = _outcomes(docs, least, text)
     t, _, tid = _tid(text)
-    cut = outcome.where(F.col("kept").isNotNull() | (F.col("copies") > 1)).select(F.col("tid").alias("__tid"), "copies", F.col("kept").alias("__kept"))
-    gone = (F.col("copies") > 1) & (F.octet_length(t) >= least)
+    cut = outcome.where(F.col("kept").isNotNull() | (F.col("copies") > 1)).select(F.col("tid").alias("__tid"), F.col("copies").alias("__copies"), F.col("kept").alias("__kept"))
+    gone = (F.col("__copies") > 1) & (F.octet_length(t) >= least)
     joined = docs.withColumn("__tid", tid).join(cut, "__tid", "left")
     joined = joined.select(*docs.columns, F.when(gone, F.lit(b"").cast("binary")).otherwise(F.col("__kept")).alias("__kept"))
 

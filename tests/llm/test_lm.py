@@ -18,7 +18,7 @@ class Plain:
     def __init__(self, texts, order):
         self.order, self.next = order, defaultdict(Counter)
         for t in texts:
-            s = [0] * order + [1 + b for b in t] + [lm.END]
+            s = [lm.BEGIN] * order + [*t, lm.END]
             for i in range(order, len(s)):
                 for k in range(order + 1):
                     self.next[tuple(s[i - k : i])][s[i]] += 1
@@ -32,28 +32,28 @@ class Plain:
             left = {x: n for x, n in seen.items() if x not in excluded}
             if not left:
                 continue
-            total = sum(left.values()) + len(left)
+            total = sum(left.values())
             if c in left:
-                return p * left[c] / total
-            p *= len(left) / total
+                return p * (left[c] - 0.5) / total
+            p *= len(left) / 2 / total
             excluded |= set(left)
         return p / (lm.SYMBOLS - len(excluded))
 
     def score(self, t):
-        s = [0] * self.order + [1 + b for b in t] + [lm.END]
+        s = [lm.BEGIN] * self.order + [*t, lm.END]
         return sum(math.log10(self.symbol(s[i - self.order : i], s[i])) for i in range(self.order, len(s)))
 
 
 @pytest.mark.parametrize("order", [1, 3, 5])
 def test_ppm_is_the_plain_one(spark, order):
     train = ["the cat sat on the mat".encode(), "the hat of the cat".encode(), b"", "é là".encode()]
-    texts = [b"the cat", b"", b"zebra the", "où é".encode(), bytes(range(256)), b"the hat sat on the cat of the mat"]
+    texts = [b"the cat", b"", b"zebra the", "où é".encode(), bytes(range(254)), b"the hat sat on the cat of the mat"]
     m = lm.train(spark.createDataFrame([(t,) for t in train], "text binary"), order)
     p = Plain(train, order)
     assert np.allclose(m.scores(texts), [p.score(t) for t in texts], atol=1e-9)
     # the probabilities of all that can follow add up to one
-    for ctx in ([0] * order, [1 + b for b in b"the c"[:order]], [200] * order):
-        keys = np.array([sum(s << (9 * (len(ctx) - i)) for i, s in enumerate([*ctx, c])) for c in range(1, 258)], np.uint64)
+    for ctx in ([lm.BEGIN] * order, [*b"the c"[:order]], [200] * order):
+        keys = np.array([sum(s << (8 * (len(ctx) - i)) for i, s in enumerate([*ctx, c])) for c in range(256) if c != lm.BEGIN], np.uint64)
         assert abs((10 ** m.logs(keys)).sum() - 1) < 1e-9
 
 
@@ -62,10 +62,9 @@ def test_fewer_nodes_still_make_a_distribution(spark):
     m = lm.train(spark.createDataFrame([(t,) for t in train], "text binary"), 4, nodes=60)
     assert sum(len(g.keys) for g in m.grams) <= 60
     for text in (b"abra", b"xyzw", b"bana"):
-        ctx = [1 + b for b in text]
-        keys = np.array([sum(s << (9 * (4 - i)) for i, s in enumerate([*ctx, c])) for c in range(1, 258)], np.uint64)
+        keys = np.array([sum(s << (8 * (4 - i)) for i, s in enumerate([*text, c])) for c in range(256) if c != lm.BEGIN], np.uint64)
         assert abs((10 ** m.logs(keys)).sum() - 1) < 1e-9
-    assert lm.PPM([(np.zeros(0, np.uint64), np.zeros(0))] * 3).scores([b"ab"])[0] == pytest.approx(-3 * math.log10(257))
+    assert lm.PPM([(np.zeros(0, np.uint64), np.zeros(0))] * 3).scores([b"ab"])[0] == pytest.approx(-3 * math.log10(255))
 
 
 def plain_base(train, texts):
