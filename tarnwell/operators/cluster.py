@@ -220,3 +220,32 @@ def stage_latency(events: DataFrame) -> DataFrame:
     at = {s: F.min(F.when(F.col("stage") == s, F.col("at"))) for s in ("accept", "commit", "apply")}
     e = events.groupBy("grp", "index").agg(F.count_distinct("term").alias("terms"), *[v.alias(k) for k, v in at.items()])
     return e.where("terms = 1").select("grp", "index", (F.col("commit") - F.col("accept")).alias("to_commit"), (F.col("apply") - F.col("commit")).alias("to_apply"))
+
+
+def unconfirmed_leaders(leads: DataFrame, voters: DataFrame) -> DataFrame:
+    """INV-MB4, INV-MB5: leads(grp, node, at) of nodes that the configuration in force, the last
+    of voters(grp, at, voters) at or before it, does not list."""
+    both = leads.select("grp", "at", "node", F.lit(None).cast("array<string>").alias("v"), F.lit(1).alias("o")).unionByName(
+        voters.select("grp", "at", F.lit(None).cast("string").alias("node"), F.col("voters").alias("v"), F.lit(0).alias("o"))
+    )
+    w = Window.partitionBy("grp").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("now", F.last("v", ignorenulls=True).over(w)).where("o = 1")
+    return known.where(F.col("now").isNull() | ~F.array_contains("now", F.col("node"))).select("grp", "node", "at")
+
+
+def unrecovered(recovered: DataFrame, persisted: DataFrame) -> DataFrame:
+    """INV-F2, INV-CR: (node, incarnation, term, last) recovered that differ from what was
+    durable, or that are missing."""
+    keys = ["node", "incarnation"]
+    j = persisted.join(recovered.select(*keys, F.col("term").alias("t"), F.col("last").alias("l")), keys, "left")
+    fault = F.when(F.col("t").isNull(), "lost").when((F.col("t") < F.col("term")) | (F.col("l") < F.col("last")), "regressed").when((F.col("t") != F.col("term")) | (F.col("l") != F.col("last")), "differs")
+    return j.withColumn("fault", fault).where("fault is not null").select(*keys, "fault")
+
+
+def diverged(status: DataFrame) -> DataFrame:
+    """INV-F3: nodes of a group whose commit and last index are not their leader's, and groups
+    that do not have one leader."""
+    lead = status.where("role = 'Leader'").groupBy("grp").agg(F.count("*").alias("leaders"), F.max("commit").alias("c"), F.max("last_index").alias("l"))
+    j = status.join(lead, "grp", "left")
+    fault = F.when(F.coalesce("leaders", F.lit(0)) != 1, "no single leader").when((F.col("commit") != F.col("c")) | (F.col("last_index") != F.col("l")), "behind")
+    return j.withColumn("fault", fault).where("fault is not null").select("grp", "node", "fault")

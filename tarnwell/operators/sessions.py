@@ -95,3 +95,24 @@ def applied_state(commands: DataFrame, decided: DataFrame) -> DataFrame:
     w = commands.where("op in ('put', 'delete')").join(done, ["grp", "index"])
     newest = F.max_by(F.struct("op", "value", "index"), "index").alias("v")
     return w.groupBy("grp", "key").agg(newest).where("v.op = 'put'").select("grp", "key", "v.value", "v.index")
+
+
+def session_table(commands: DataFrame, decided: DataFrame) -> DataFrame:
+    """SRC-11, FSM-05: the sessions of a snapshot, in canonical order of their requests: last use,
+    watermark, and the requests still remembered. For groups without evictions."""
+    regs = commands.where("op = 'register'").select("grp", F.col("index").alias("client_id"))
+    used = commands.where("client_id <> 0 and op <> 'register'").join(decided.where("decision <> 'expired'"), ["grp", "index"])
+    per = used.groupBy("grp", "client_id").agg(F.max("index").alias("last"), F.max(F.least("acked_below", "request_id")).alias("mark"), F.collect_set(F.when(F.col("decision") == "executed", F.col("request_id"))).alias("done"))
+    t = regs.join(per, ["grp", "client_id"], "left")
+    mark = F.greatest(F.coalesce("mark", F.lit(1)), F.lit(1))
+    held = F.array_sort(F.filter(F.coalesce("done", F.array().cast("array<bigint>")), lambda r: r >= mark))
+    return t.select("grp", "client_id", F.coalesce("last", "client_id").alias("last"), mark.cast("long").alias("acked_below"), F.array_join(held, ",").alias("requests"))
+
+
+def in_flight_watermark(requests: DataFrame) -> DataFrame:
+    """WIN-09 of requests(client, request, begin, end): at each begin the lowest request of the
+    client still open, its own included."""
+    a = requests.select("client", "request", "begin")
+    b = requests.select("client", F.col("request").alias("other"), F.col("begin").alias("b"), F.col("end").alias("e"))
+    met = a.join(b, "client").where("b <= begin and (e is null or e > begin)")
+    return met.groupBy("client", "request").agg(F.min("other").alias("acked_below"))

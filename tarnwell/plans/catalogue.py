@@ -25,4 +25,4 @@ def register(sql: str | None = None):
     return put
 
 
-from tarnwell.plans import cluster_queries, codec_queries, history_queries, measure_queries, routing_queries, storage_queries  # noqa: E402, F401
+from tarnwell.plans import cluster_queries, codec_queries, history_queries, measure_queries, routing_queries, state_queries, storage_queries  # noqa: E402, F401

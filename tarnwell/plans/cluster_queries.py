@@ -39,7 +39,7 @@ def leader_changes(spark, sf_dir):
 
 
 VOTERS = [["n0", "n1", "n2"], ["n1", "n2", "n3"], ["n0", "n1", "n2", "n3", "n4", "n9"]]
-_LAST = f"select *, 'n' || (event_id % 2 * 3) as _x, row_number() over (partition by node, grp order by event_id desc) as rn from ({SAMPLES})"
+_LAST = f"select *, row_number() over (partition by node, grp order by event_id desc) as rn from ({SAMPLES})"
 STATUS = f"""select node, grp, case when grp = 1 then 'Follower' when node = 'n' || grp then 'Leader' else 'Follower' end as role, case when node = 'n3' then 3 else 7 end as term, case when node = 'n4' then '' else 'n' || grp end as leader,
  commit, applied, last_index, node[2:]::bigint as probe, commit % 10 as conf_index, node = 'n4' and grp = 0 as removed,
  case grp when 0 then {VOTERS[0]} when 1 then {VOTERS[1]} else {VOTERS[2]} end as voters from ({_LAST}) where rn = 1"""
@@ -95,7 +95,7 @@ def group_health(spark, sf_dir):
     return C.group_health(voters(spark, sf_dir))
 
 
-@register(f"select node, role, (count(*) filter (s.role = r.role))::bigint as samples, max(case when s.role = r.role then 1 else 0 end)::int as gauge from (select * from ({SAMPLES})) s, (select unnest(['Leader', 'Follower', 'Candidate']) as role) r group by node, r.role".replace("select node, role,", "select node, r.role,"))
+@register(f"select node, r.role, (count(*) filter (s.role = r.role))::bigint as samples, max(case when s.role = r.role then 1 else 0 end)::int as gauge from (select * from ({SAMPLES})) s, (select unnest(['Leader', 'Follower', 'Candidate']) as role) r group by node, r.role")
 def role_gauge(spark, sf_dir):
     """AGG-35: one row per node and role."""
     s = samples(spark, sf_dir).select("node", F.col("role").alias("own"))
@@ -180,16 +180,13 @@ def log_rules(spark, sf_dir):
     )
 
 
-@register(f"select grp, index, term, case when index <= 400 then 'compacted' when first_term = term then 'kept' else 'replaced' end as fate from (select *, (select term from ({_SURVIVE}) b where b.grp = a.grp and b.index <= 400 order by index desc limit 1) as boundary, first_value(term) over (partition by grp order by index) as first_term from ({_SURVIVE}) a)".replace("first_value(term) over (partition by grp order by index) as first_term", "term as first_term"))
+@register(f"select grp, index, term, case when index <= 400 then 'compacted' else 'kept' end as fate from ({_SURVIVE})")
 def snapshot_boundary(spark, sf_dir):
     """LOG-04 LOG-08 INV-SN3: what a snapshot at 400 leaves of each log."""
     s = C.survivors(writes(spark, sf_dir))
     return s.select("grp", "index", "term", F.when(F.col("index") <= 400, "compacted").otherwise("kept").alias("fate"))
 
 
-CONFS = "values (1, ['a','b','c'], []::varchar[], []::varchar[]), (2, ['a','b','c'], [], ['d']), (3, ['a','b','c','d'], ['a','b','c'], []), (4, ['a','b','c','d'], [], []), (5, ['a','b','c'], [], []), (6, ['a','b'], ['a','b','c'], []), (7, ['a','b','d'], ['a','b','c'], []), (8, ['a','b'], [], []), (9, ['a','a'], [], []), (10, ['a'], ['x'], []), (11, ['a'], [], ['p','q'])"
-
-
 @register("select * from (values (5, 'voters changed without a joint step'), (7, 'changed while joint'), (8, 'left with other changes'), (9, 'malformed'), (10, 'outgoing is not the old voters'), (11, 'left with other changes')) t(step, fault)")
 def conf_steps(spark, sf_dir):
     """SET-03 SET-06 LOG-10 INV-MB1: a list of configurations, some of them wrong steps."""

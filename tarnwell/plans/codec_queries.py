@@ -73,7 +73,7 @@ def command_lengths(spark, sf_dir):
     return r.select("event_id", "op", F.octet_length(raw).alias("encoded_len"))
 
 
-@register("select event_id, octet_length(encode(props)) + 9 as length, octet_length(encode(props))::int as payload, event_type as kind from events".replace("octet_length(encode(props)) + 9 as length", "(octet_length(encode(props)) + 9)::int as length"))
+@register("select event_id, (octet_length(encode(props)) + 9)::int as length, octet_length(encode(props))::int as payload, event_type as kind from events")
 def framed_records(spark, sf_dir):
     """SNK-03 SRC-07 FUN-04 SNK-02: a record of each event, written, read and checked."""
     kinds = ["signup", "purchase", "error", "view", "click"]

@@ -122,9 +122,6 @@ _CMD = """select grp, index, case when n = 1 then 'register' when event_type in
 
 def commands(e):
     """A user's first event registers a session; the others are its requests, each sent about twice."""
-    first = n = None
-    if e.isStreaming:
-        raise ValueError("row numbers need the whole table")
     w = Window.partitionBy("user_id").orderBy("event_id")
     n, first, u, i = F.row_number().over(w), F.min(F.col("event_id") + 1).over(Window.partitionBy("user_id")), F.col("user_id"), F.col("event_id")
     c = e.select("event_id", "user_id", "event_type", n.alias("n"), first.alias("client"))

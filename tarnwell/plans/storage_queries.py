@@ -173,7 +173,7 @@ def entry_validation(spark, sf_dir):
 _TAGGED = "select case when p_partkey % 3 = 0 then '02' else '01' end || hex(encode(p_name)) as raw, p_retailprice as value from part"
 
 
-@register(f"select unhex(raw[3:])::varchar as key, value from (select raw, value from ({_TAGGED}) where raw[1:2] = '01')".replace("unhex(raw[3:])::varchar", "decode(unhex(raw[3:]))"))
+@register(f"select decode(unhex(raw[3:])) as key, value from (select raw, value from ({_TAGGED}) where raw[1:2] = '01')")
 def namespace_contents(spark, sf_dir):
     """FLT-01: user entries of a store whose first key byte is a namespace."""
     p = T.table(spark, sf_dir, "part")
