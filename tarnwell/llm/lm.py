@@ -23,9 +23,9 @@ from tarnwell.llm.common import bounded_batches, slices, written
 
 #: Bytes of context, and the most nodes of a trie: those seen least often are left out, all
 #: of one count at once, until the rest are no more.
-ORDER, NODES = 5, 1_600_000
+ORDER, NODES = 5, 1_200_000
 #: Words whose counts a task holds; those of the others are joined.
-WORDS = 250_000
+WORDS = 150_000
 #: A text's end and what stands before its begin are bytes that UTF-8 never holds; so all
 #: symbols but BEGIN can follow.
 END, BEGIN, SYMBOLS = 0xFF, 0xFE, 255
@@ -183,15 +183,15 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
             for lo in range(0, len(u), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 200_000].view(np.int64)), pa.array(n[lo : lo + 200_000])], ["gram", "n"])
 
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             texts = [t or b"" for t in b.column("text").to_pylist()]
             keys, _ = gram_keys(texts, order)
             parts.append(np.unique(keys, return_counts=True))
             held += len(parts[-1][0])
-            if held > 1_500_000:
+            if held > 800_000:
                 parts = [merged()]
                 held = len(parts[0][0])
-                if held > 1_000_000:
+                if held > 500_000:
                     yield from out(*parts[0])
                     parts, held = [], 0
         if parts:
@@ -250,7 +250,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
         for b in slices(batches, "text", 1 << 20):
             for t in b.column("text").to_pylist():
                 held.update(t.translate(_LOWER).split())
-            if len(held) > 400_000:
+            if len(held) > 250_000:
                 yield from out()
                 held = Counter()
         yield from out()
@@ -279,7 +279,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
         m, logs = model.value, known.value
         get = logs.get
         row = TaskContext.get().partitionId() << 40
-        for b in slices(batches, "__text", 1 << 20):
+        for b in slices(batches, "__text", 1 << 19):
             texts = b.column("__text").to_pylist()
             n, nk, base, rare = [], [], [], []
             for t in texts:

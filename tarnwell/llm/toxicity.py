@@ -140,12 +140,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
         .groupBy("r")
         .agg(F.first("toxic").alias("toxic"), F.sort_array(F.collect_list("i")).alias("i"))
         .orderBy("r")
-        .collect()
+        .toArrow()
     )
-    y = np.array([r["toxic"] for r in lists], float)
-    begin = np.cumsum([0, *(len(r["i"]) for r in lists)])
-    index = np.array([i for r in lists for i in r["i"]], np.int64)
-    present = np.bincount(index, minlength=len(vocabulary)) / len(lists)
+    y = lists.column("toxic").to_numpy().astype(float)
+    column = lists.column("i").combine_chunks()
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    begin = offsets - offsets[0]
+    index = column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+    present = np.bincount(index, minlength=len(vocabulary)) / len(y)
     swaps = []
     for kind in terms:
         at = [vocabulary[t] for t in kind if t in vocabulary]
@@ -155,8 +157,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
                 swaps += [(a, b, float(present[a]) / (len(at) - 1)) for b in at[:k] + at[k + 1 :]]
     chance = SPARSITY * np.sqrt(2 * np.log(len(vocabulary) + 1) * present * (pos / n) * (1 - pos / n) / n)
     bias, w = train(y, begin, index, len(vocabulary), swaps, chance)
-    bias, w = train(y, begin, index, len(vocabulary), swaps, np.where(w != 0, 0.0, np.inf), ridge=RIDGE)
-    return ToxicityModel(bias, {t: float(w[i]) for t, i in vocabulary.items() if w[i]})
+    chosen_words = np.flatnonzero(w)
+    place = np.full(len(vocabulary), -1)
+    place[chosen_words] = np.arange(len(chosen_words))
+    stay = place[index] >= 0
+    begin = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(y)), np.diff(begin))[stay], minlength=len(y)))]
+    swaps = [(int(place[a]), int(place[b]) if b >= 0 else -1, s) for a, b, s in swaps if place[a] >= 0 and (b < 0 or place[b] >= 0)]
+    bias, w = train(y, begin, place[index[stay]], len(chosen_words), swaps, ridge=RIDGE)
+    names = list(vocabulary)
+    return ToxicityModel(bias, {names[i]: float(v) for i, v in zip(chosen_words, w, strict=True) if v})
 
 
 def predict(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.3, text: str = "text") -> DataFrame:

@@ -80,7 +80,7 @@ def plain_base(train, texts):
     return out
 
 
-@pytest.mark.parametrize("words", [250_000, 50])
+@pytest.mark.parametrize("words", [150_000, 50])
 def test_base_scores(spark, sf_dir, monkeypatch, words):
     monkeypatch.setattr(lm, "WORDS", words)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(hard_documents(spark).where("doc_id in (1, 2, 3, 9)").selectExpr("doc_id + 10000000 as doc_id", "text"))
