@@ -1,8 +1,9 @@
 """Language identification by cross-parsing.
 
-Labelled text of each language becomes a suffix automaton. A text is parsed greedily
-into the longest phrases that occur in a language's text; the language that needs the
-least code, phrases times the bits that name one, wins.
+Labelled text of each language becomes a suffix automaton. A stretch of text is parsed
+greedily into the longest phrases that occur in a language's text; the language that needs
+the least code, phrases times the bits that name one, wins it. A text's language is the one
+that wins most of its symbols, so that a passage in another language does not decide.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from tarnwell.llm.common import bounded_batches, slices
 LANGUAGES, TEXTS, EXCERPT = 64, 48, 600
 #: Letters that are told apart; others are one symbol.
 LETTERS = 120
-#: The parse starts anew every so many symbols, so that a long text is many lanes.
-WINDOW = 1024
+#: Symbols of a stretch; the parse starts anew with each, so a text is many lanes.
+WINDOW = 96
 SPREAD = 0.25
 
 
@@ -120,8 +121,9 @@ class LanguageModel:
         has = np.bincount(of, self.letter[points], len(texts)) > 0
         return s[keep], np.bincount(of[keep], minlength=len(texts)), has
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that each text takes in each language, and whether it has a letter."""
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch: its text, its symbols, and the phrases it takes in each language (a
+        row each); and whether each text has a letter."""
         s, size, has = self.symbols(texts)
         windows = -(-size // WINDOW)
         doc = np.repeat(np.arange(len(texts)), windows)
@@ -144,29 +146,67 @@ class LanguageModel:
                 to = np.where(new, self.table.take(roots + c), to)
             count[:, :m] += new | (now == roots)
             state[:, :m] = to
-        out = np.zeros((len(texts), len(self.names)), np.int64)
-        for i in range(len(self.names)):
-            out[:, i] = np.bincount(doc, count[i], len(texts))
-        return out, has
+        return doc, length, count, has
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that each text takes in each language, and whether it has a letter."""
+        doc, _, count, has = self.stretches(texts)
+        return np.array([np.bincount(doc, c, len(texts)) for c in count], np.int64).reshape(len(self.names), len(texts)).T, has
+
+    def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language that wins most symbols of each text (a place among names; ties to the
+        first), a score, and whether it has a letter. A stretch weighs its languages by what
+        their code is longer; the score is the mean weight of the text's language over its
+        symbols."""
+        doc, length, count, has = self.stretches(texts)
+        cost = count * np.array(self.bits)[:, None]
+        least = cost.min(axis=0)
+        weight = np.exp2(-SPREAD * (cost - least))
+        weight /= weight.sum(axis=0)
+        won = cost.argmin(axis=0)
+        langs = len(self.names)
+        symbols = np.bincount(doc * langs + won, length, len(texts) * langs).reshape(-1, langs)
+        best = symbols.argmax(axis=1)
+        all_ = np.maximum(np.bincount(doc, length, len(texts)), 1)
+        score = np.bincount(doc, weight[best[doc], np.arange(len(doc))] * length, len(texts)) / all_
+        return best, np.clip(score, 0, 1), has
+
+
+def _consistent(samples: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The samples without texts that a model of the other half of all gives another language:
+    a text under a wrong label would draw its near copies to it. A language keeps its texts
+    if none would stay."""
+    halves = [LanguageModel({k: v[i::2] for k, v in samples.items() if v[i::2]}) for i in (0, 1)]
+    out = {}
+    for name, texts in samples.items():
+        kept = []
+        for i, t in enumerate(texts):
+            m = halves[1 - i % 2]
+            if not m.names or name not in m.names or m.names[m.votes([t])[0][0]] == name:
+                kept.append(t)
+        out[name] = kept or texts
+    return out
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model of the languages of labelled. Fitted on a bounded sample: at most LANGUAGES
-    languages, TEXTS texts of each, EXCERPT characters of each text. Rows without text or
-    label are left out."""
+    languages, TEXTS different texts of each, EXCERPT characters of each text. Rows without
+    text, letters or label are left out."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null and lang <> 'und'")
-    excerpt = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, EXCERPT).alias("text"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, EXCERPT).alias("text"))
     names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    least = Window.partitionBy("lang").orderBy("h", "text")
-    got = excerpt.where(F.col("lang").isin(names)).withColumn("n", F.row_number().over(least)).where(F.col("n") <= TEXTS).orderBy("lang", "n").collect()
+    least = Window.partitionBy("lang").orderBy("h")
+    # copies of a text count once: ranks are among different hashes
+    chosen = rows.where(F.col("lang").isin(names)).select("lang", "h").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= TEXTS)
+    got = rows.join(F.broadcast(chosen), ["lang", "h"])  # LANGUAGES * TEXTS rows at most
     samples: dict[str, list[str]] = {}
-    for r in got:
+    for r in got.groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
-    return LanguageModel(samples)
+    return LanguageModel(_consistent(samples) if len(samples) > 1 else samples)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred and score (0 to 1: the share of the best
+    """The columns ``keep`` of docs with lang_pred and score (0 to 1: the mean share of that
     language when each is weighed by what its code is longer).
 
     lang_pred is ``und`` with score 0 where a text is null or has no letter, and everywhere
@@ -183,17 +223,12 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
 
     def run(batches):
         m = shared.value
-        bits = np.array(m.bits)
         for b in slices(batches, "__text", 1 << 21):
             texts = [t or "" for t in b.column("__text").to_pylist()]
-            n, has = m.phrases(texts)
             if m.names:
-                cost = n * bits
-                best = cost.argmin(axis=1)
-                score = 1 / np.exp2(-SPREAD * (cost - cost.min(axis=1, keepdims=True))).sum(axis=1)
+                best, score, has = m.votes(texts)
             else:
-                has = np.zeros(len(texts), bool)
-                best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+                best, score, has = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
             lang = [m.names[i] if h else "und" for i, h in zip(best.tolist(), has.tolist(), strict=True)]
             cols = [b.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0))]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score"])

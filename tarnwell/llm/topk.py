@@ -20,7 +20,7 @@ from tarnwell.llm.common import bounded_batches, written
 from tarnwell.llm.vectors import halves, packed, units
 
 #: Rows of a shard, of a block, and of a chunk of queries; shards that a task takes in turn.
-SHARD, BLOCK, CHUNK, TURN = 16_384, 128, 512, 8
+SHARD, BLOCK, CHUNK, TURN = 16_384, 128, 4096, 2
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -88,7 +88,7 @@ def plain_top(rows, k):
     return out
 
 
-@pytest.mark.parametrize("size", [(16_384, 128, 512), (20, 4, 5)])
+@pytest.mark.parametrize("size", [(16_384, 128, 4096), (20, 4, 5)])
 def test_top_k(spark, monkeypatch, size):
     for name, n in zip(("SHARD", "BLOCK", "CHUNK"), size, strict=True):
         monkeypatch.setattr(topk, name, n)
