@@ -11,6 +11,7 @@ ids of a chunk are looked up or worked out once per task.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import bounded_batches, slices
 
-#: Chunks whose ids a task remembers: two generations of so many.
-CACHE_CHUNKS = 150_000
+#: Chunks whose ids a worker remembers: two generations of so many.
+CACHE_CHUNKS = 300_000
 #: Longer chunks are worked out each time.
 CACHE_BYTES = 48
 
@@ -127,6 +128,12 @@ class ForcedBoundaryEncoder:
         return b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[1]])
 
 
+@functools.cache
+def shared_encoder(path: str) -> ForcedBoundaryEncoder:
+    """A worker's encoder for a file, which its later tasks use again."""
+    return ForcedBoundaryEncoder(path)
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs' other columns are dropped but doc_id; adds ids (binary, little-endian
     unsigned 32-bit) and decoded (text as the library decodes the ids).
@@ -140,7 +147,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):
-        coder = ForcedBoundaryEncoder(path)
+        coder = shared_encoder(path)
         for b in slices(batches, "text", 2 << 20):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             got = [coder.encode(t or b"") for t in texts]

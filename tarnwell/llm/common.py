@@ -38,15 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors,
-    and later reads take only the columns they need."""
+    and later reads take only the columns they need. It stays until ``clear_tables``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tarnwell-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Remove the tables that this driver has written to the shared folder; results that
+    still read them must have been taken."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder (small tables; kept as rows)."""
     shared_dir(df.sparkSession)

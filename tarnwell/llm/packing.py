@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -105,6 +106,12 @@ class ByteTokenizer:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@functools.cache
+def shared_tokenizer(path: str) -> ByteTokenizer:
+    """A worker's tokenizer for a file, which its later tasks use again."""
+    return ByteTokenizer(path)
+
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -128,7 +135,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, text: st
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        tokens = ByteTokenizer(path)
+        tokens = shared_tokenizer(path)
         end = np.array([end_id], "<u4")
         base, used = TaskContext.get().partitionId() << 40, 0
         rest: list[tuple] = []  # (doc_id, start, ids, doc_tokens)

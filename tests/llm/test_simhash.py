@@ -93,3 +93,14 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_clear_tables(spark):
+    from tarnwell.llm import common
+
+    df = common.written(spark.range(5))
+    path = common._tables[-1]
+    assert df.count() == 5
+    common.clear_tables(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not common._tables and not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
