@@ -109,7 +109,7 @@ def survivors(writes: DataFrame) -> DataFrame:
     """LOG-03, SRC-14: writes(grp, pos, index, term, ...) that no later write at or below their
     index has cut off. The least index that follows is found per stretch of positions, then
     within each, so one long log is many tasks."""
-    w = writes.withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+    w = writes.withColumn("stretch", F.expr(f"pos div {STRETCH}"))
     after = Window.partitionBy("grp").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
     least = w.groupBy("grp", "stretch").agg(F.min("index").alias("least")).select("grp", "stretch", F.min("least").over(after).alias("after"))
     within = Window.partitionBy("grp", "stretch").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)

@@ -44,9 +44,9 @@ def successor(keys: DataFrame, ring: DataFrame) -> DataFrame:
     Arcs are listed under each value of the top byte that they span, which makes an equi-join
     with a range test of it: no nested loop, and one match per key. The ring side has a row
     per point and bucket, shards * 128 + 256 at most, so it may be broadcast."""
-    low, high = F.floor(F.greatest(F.col("low") + 1, F.lit(0)) / _BUCKET), F.floor(F.col("high") / _BUCKET)
+    low, high = F.expr(f"greatest(low + 1, 0) div {_BUCKET}"), F.expr(f"high div {_BUCKET}")
     listed = arcs(ring).withColumn("bucket", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    k = keys.withColumn("bucket", F.floor(F.col("token") / _BUCKET).cast("int"))
+    k = keys.withColumn("bucket", F.expr(f"token div {_BUCKET}").cast("int"))
     met = k.join(F.broadcast(listed), "bucket").where("token > low and token <= high")
     return met.drop("bucket", "low", "high")
 

@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 
 
 def latest(versions: DataFrame) -> DataFrame:
-    """The newest version of each key, tombstones included. One partial aggregation."""
-    newest = F.max_by(F.struct("seq", "kind", "value"), "seq").alias("v")
-    return versions.groupBy("key").agg(newest).select("key", "v.seq", "v.kind", "v.value")
+    """The newest version of each key, tombstones included. One partial aggregation, by hash
+    where values are of fixed width (a struct of them would make Spark sort)."""
+    return versions.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("kind", "seq").alias("kind"), F.max_by("value", "seq").alias("value"))
 
 
 def snapshot(versions: DataFrame) -> DataFrame:

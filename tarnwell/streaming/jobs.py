@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarnwell.operators import measure, sessions
+from tarnwell.operators import measure, sessions, storage
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,8 +58,7 @@ def timeline(ops: DataFrame, bucket: str = "1 hour", late: str = "1 day") -> Dat
 
 def latest(versions: DataFrame) -> DataFrame:
     """AGG-01 over a stream: the state is a row per key; tombstones are kept until the end."""
-    newest = F.max_by(F.struct("seq", "kind", "value"), "seq").alias("v")
-    got = last_updates(versions.groupBy("key").agg(newest).select("key", "v.seq", "v.kind", "v.value"), ["key"])
+    got = last_updates(storage.latest(versions), ["key"])
     return got.where("kind = 1").select("key", "seq", "value")
 
 
