@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import bounded_batches, components, local_forest, written
+from tarnwell.llm.common import bounded_batches, components, written
 from tarnwell.llm.vectors import packed, units
 
 #: Vectors of a tile; a tile and its partner are what a task holds.
@@ -69,14 +69,14 @@ class Axes:
 
 
 def pairs_of(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float, first: int, same: bool):
-    """Index pairs (i, j) of cosine >= threshold between unit rows a, b in axis order; with
-    ``same`` only i < j. ua, ub: the vectors as given, for pairs at the threshold."""
+    """Index pairs (i, j) of cosine >= threshold between unit rows a, b in axis order, a stretch
+    of rows at a time; with ``same`` only i < j. ua, ub: the vectors as given, for pairs at the
+    threshold."""
     d = a.shape[1]
     cuts = [0, *range(min(first, d), d, 16), d]
     rest_a = [np.sqrt(np.maximum((a[:, c:] ** 2).sum(axis=1), 0)) for c in cuts]
     rest_b = [np.sqrt(np.maximum((b[:, c:] ** 2).sum(axis=1), 0)) for c in cuts]
     least = threshold - NEAR
-    found = []
     for lo in range(0, len(a), 512):
         for to in range(lo // 2048 * 2048 if same else 0, len(b), 2048):
             x, y = a[lo : lo + 512, : cuts[1]], b[to : to + 2048, : cuts[1]]
@@ -99,10 +99,41 @@ def pairs_of(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, thres
                     p, q = ua[i[edge]], ub[j[edge]]
                     acc[edge] = np.einsum("nd,nd->n", p, q) / np.sqrt(np.einsum("nd,nd->n", p, p) * np.einsum("nd,nd->n", q, q))
                 ok = acc >= threshold
-                found.append((i[ok], j[ok]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                if ok.any():
+                    yield i[ok], j[ok]
+
+
+class Meeting:
+    """What two tiles, or one with itself, link: counts and components, but not pairs."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray | None):
+        self.a, self.b = a, a if b is None else b
+        ids = a["id"] if b is None else np.concatenate([a["id"], b["id"]])
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        self.node = np.empty(len(ids), np.int64)  # nodes in order of id
+        self.node[order] = np.arange(len(ids))
+        self.shift = 0 if b is None else len(a)
+        self.root = np.arange(len(ids))
+        self.more_a, self.more_b = np.zeros(len(self.a)), np.zeros(len(self.b))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.more_a += np.bincount(i, self.b["n"][j], len(self.a))
+        self.more_b += np.bincount(j, self.a["n"][i], len(self.b))
+        u, v = self.node[i], self.node[j + self.shift]
+        while True:
+            ru, rv = self.root[u], self.root[v]
+            live = ru != rv
+            if not live.any():
+                return
+            u, v, ru, rv = u[live], v[live], ru[live], rv[live]
+            np.minimum.at(self.root, np.maximum(ru, rv), np.minimum(ru, rv))
+            while not (self.root == (up := self.root[self.root])).all():
+                self.root = up
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.ids[at], self.ids[self.root[at]]
 
 
 _ROW = [("id", "<i8"), ("n", "<i8"), ("tid", "V16")]
@@ -181,14 +212,14 @@ def _links_of(classes: DataFrame, dim: int, count: int, threshold: float) -> Dat
             b = a if same else np.frombuffer(rows[1][5], record)
             ra = unit(a["v"]) @ axes.turn
             rb = ra if same else unit(b["v"]) @ axes.turn
-            i, j = pairs_of(ra, rb, a["v"], b["v"], threshold, axes.first, same)
-            if not len(i):
-                continue
-            u, v = local_forest(a["id"][i], b["id"][j])
+            m = Meeting(a, None if same else b)
+            for i, j in pairs_of(ra, rb, a["v"], b["v"], threshold, axes.first, same):
+                m.add(i, j)
+            u, v = m.forest()
             for lo in range(0, len(u), 100_000):
                 n = len(u[lo : lo + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + n]), pa.array(v[lo : lo + n]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=shape)
-            more_a, more_b = np.bincount(i, b["n"][j], len(a)).astype(np.int64), np.bincount(j, a["n"][i], len(b)).astype(np.int64)
+            more_a, more_b = m.more_a.astype(np.int64), m.more_b.astype(np.int64)
             for x, more in [(a, more_a + more_b)] if same else [(a, more_a), (b, more_b)]:
                 at = np.flatnonzero(more)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([t.tobytes() for t in x["tid"][at]], pa.binary()), pa.array(more[at])], schema=shape)

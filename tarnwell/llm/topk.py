@@ -22,6 +22,9 @@ from tarnwell.llm.vectors import halves, packed, units
 #: Rows of a shard, of a block, and of a chunk of queries; shards that a task takes in turn.
 SHARD, BLOCK, CHUNK, TURN = 16_384, 128, 4096, 2
 
+#: Scores that a task holds before it cuts them to the k best of each query.
+HELD = 1_000_000
+
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of integral rows, as int64; by doubles where these are exact."""
@@ -38,6 +41,7 @@ class Best:
         self.k = k
         self.query, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
         self.kth = np.full(queries, np.iinfo(np.int64).min)
+        self.kth_id = np.full(queries, np.iinfo(np.int64).max)
 
     def add(self, query, score, id_) -> None:
         q, s, i = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.id, id_])
@@ -48,6 +52,7 @@ class Best:
         keep = rank < self.k
         last = rank == self.k - 1
         self.kth[q[last]] = s[last]
+        self.kth_id[q[last]] = i[last]
         self.query, self.score, self.id = q[keep], s[keep], i[keep]
 
 
@@ -71,17 +76,23 @@ def search_shard(best: Best, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_i
         which = ahead[who, col]
         by = np.argsort(which, kind="stable")
         who, which = who[by], which[by]
-        got = []
+        got, held = [], 0
         for lo in np.flatnonzero(np.r_[True, which[1:] != which[:-1]]):
             hi = np.searchsorted(which, which[lo], "right")
             at = slice(starts[which[lo]], starts[which[lo]] + block)
             rows = who[lo:hi]
             s = exact_scores(q[rows], x[at])
-            ok = (s >= best.kth[rows][:, None]) & (q_id[rows][:, None] != x_id[at][None, :])
+            kth, own = best.kth[rows][:, None], x_id[at][None, :]
+            ok = ((s > kth) | ((s == kth) & (own < best.kth_id[rows][:, None]))) & (q_id[rows][:, None] != own)
             r, c = np.nonzero(ok)
             got.append((rows[r], s[r, c], x_id[at][c]))
+            held += len(r)
             scored += hi - lo
-        best.add(*(np.concatenate(g) for g in zip(*got, strict=True)))
+            if held > HELD:  # many equal scores: take stock before going on
+                best.add(*(np.concatenate(g) for g in zip(*got, strict=True)))
+                got, held = [], 0
+        if got:
+            best.add(*(np.concatenate(g) for g in zip(*got, strict=True)))
         done, take = done + take, take * 2
     return scored
 

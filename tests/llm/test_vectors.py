@@ -65,12 +65,30 @@ def test_pruned_pairs_are_all_pairs():
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     axes = neardup.Axes(u, 8)
     at = u @ axes.turn
-    i, j = neardup.pairs_of(at, at, x, x, 0.9, axes.first, True)
+    i, j = (np.concatenate(p) for p in zip(*neardup.pairs_of(at, at, x, x, 0.9, axes.first, True), strict=True))
     want = {(a, b) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True)}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and want
     assert len(np.unique(axes.box(at))) > 4
 
 
+def test_a_tile_of_copies_and_a_wide_tie(monkeypatch):
+    """Memory stays that of counts and of k scores a query where everything links or ties."""
+    n = 3000
+    rec = np.zeros(n, [("id", "<i8"), ("n", "<i8"), ("v", "<f8", 4)])
+    rec["id"], rec["n"], rec["v"] = np.arange(n)[::-1], 2, [1.0, 2.0, 3.0, 4.0]
+    u = rec["v"] / np.linalg.norm(rec["v"], axis=1, keepdims=True)
+    m = neardup.Meeting(rec, None)
+    for i, j in neardup.pairs_of(u, u, rec["v"], rec["v"], 0.9, 2, True):
+        m.add(i, j)
+    x, y = m.forest()
+    assert len(x) == n - 1 and set(y.tolist()) == {0} and (m.more_a + m.more_b == 2 * (n - 1)).all()
+    monkeypatch.setattr(topk, "HELD", 500)
+    best = topk.Best(4, 5)
+    topk.search_shard(best, np.ones((4, 4)), np.arange(4), np.ones((n, 4)), np.arange(n)[::-1], 64)
+    for q in range(4):
+        assert best.id[best.query == q].tolist() == [i for i in range(6) if i != q][:5]
+
+
 def test_empty(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     assert topk.top_k(frame(spark, []), "vec_id % 2 = 0").count() == 0
