@@ -6,7 +6,7 @@ request_id); positions are logical, 0 for no completion.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -195,21 +195,41 @@ _VERDICT = "history string, key string, ops long, verdict string, culprit long,
 def linearizability(h: DataFrame, budget: int = BUDGET, minimize: bool = False) -> DataFrame:
     """LIN-01, LIN-02, LIN-06: a verdict for each key of each history: ok, violation with the
     first operation that nothing explains, or unchecked when the budget ran out. Logical
-    operations are checked; keys are independent, so each is a group of its own."""
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["invoke", "id"]).astype(object).where(pdf.notna(), None).to_dict("records")
-        bad = [r["fault"] for r in rows if r["fault"]]
-        if bad:
-            out = ("identity", min(r["id"] for r in rows if r["fault"]), 0, None)
-        else:
-            r = Register(rows, budget)
-            few = [o["id"] for o in minimal(rows, budget)] if minimize and r.verdict == "violation" else None
-            out = (r.verdict, r.culprit, r.visited, few)
-        return pd.DataFrame([(rows[0]["history"], rows[0]["key"], len(rows), out[0], out[1], out[2], out[3])], columns=["history", "key", "ops", "verdict", "culprit", "visited", "counterexample"]).astype({"culprit": "Int64"})
+    operations are checked; keys are independent, and a task holds one at a time."""
 
+    names = [f.split()[0] for f in _VERDICT.split(", ")]
     needed = ["history", "key", "id", "kind", "value", "invoke", "complete", "outcome", "output", "fault"]
-    return logical(h).select(*needed).groupBy("history", "key").applyInPandas(check, _VERDICT)
+
+    def decide(rows: list[dict]) -> tuple:
+        bad = [r["id"] for r in rows if r["fault"]]
+        if bad:
+            return (rows[0]["history"], rows[0]["key"], len(rows), "identity", min(bad), 0, None)
+        r = Register(rows, budget)
+        few = [o["id"] for o in minimal(rows, budget)] if minimize and r.verdict == "violation" else None
+        return (rows[0]["history"], rows[0]["key"], len(rows), r.verdict, r.culprit, r.visited, few)
+
+    def run(batches):
+        def out(done):
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
+
+        held, now, done = [], None, []
+        for b in batches:
+            for row in b.to_pylist():
+                if (row["history"], row["key"]) != now:
+                    if held:
+                        done.append(decide(held))
+                        if len(done) >= 1000:
+                            yield out(done)
+                            done = []
+                    held, now = [], (row["history"], row["key"])
+                held.append(row)
+        if held:
+            done.append(decide(held))
+        if done:
+            yield out(done)
+
+    return logical(h).select(*needed).repartition("history", "key").sortWithinPartitions("history", "key", "invoke", "id").mapInArrow(run, _VERDICT)
 
 
 def verdicts(per_key: DataFrame, invalid: DataFrame) -> DataFrame:
