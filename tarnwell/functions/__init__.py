@@ -25,18 +25,22 @@ def label(name: str) -> Column:
     return F.lit(name.encode() + b"\0").cast("binary")
 
 
+# The labels of the three kinds of tokens.
+SHARD, NODE, ANCHOR = "DKVSHARD", "DKVNODE", "DKVANCHOR"
+
+
 def shard_token(shard: Column, vnode: Column) -> Column:
     """FUN-02: a shard's position on the ring."""
-    return token_of(F.concat(label("DKVSHARD"), be32(shard), be32(vnode)))
+    return token_of(F.concat(label(SHARD), be32(shard), be32(vnode)))
 
 
 def node_token(node: Column, vnode: Column) -> Column:
-    return token_of(F.concat(label("DKVNODE"), node.cast("binary"), be32(vnode)))
+    return token_of(F.concat(label(NODE), node.cast("binary"), be32(vnode)))
 
 
 def anchor_token(shard: Column) -> Column:
     """Where on the node ring a shard's replicas begin."""
-    return token_of(F.concat(label("DKVANCHOR"), be32(shard)))
+    return token_of(F.concat(label(ANCHOR), be32(shard)))
 
 
 def backoff(attempt: Column, base: int, cap: int) -> Column:

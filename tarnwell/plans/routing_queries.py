@@ -21,17 +21,17 @@ def _labelled(name: str, *parts: str) -> str:
     return _token(f"unhex(concat('{name.encode().hex()}00', {', '.join(parts)}))")
 
 
-RING = f"""select {_labelled('DKVSHARD', "lpad(hex(s), 8, '0')", "lpad(hex(v), 8, '0')")} as token, s as owner, v as vnode
+RING = f"""select {_labelled(fn.SHARD, "lpad(hex(s), 8, '0')", "lpad(hex(v), 8, '0')")} as token, s as owner, v as vnode
  from range({SHARDS}) a(s), range(128) b(v)"""
 
 
 def node_points(nodes: list[str]) -> str:
-    token = _labelled("DKVNODE", "hex(encode(n))", "lpad(hex(v), 8, '0')")
+    token = _labelled(fn.NODE, "hex(encode(n))", "lpad(hex(v), 8, '0')")
     return f"select {token} as token, n as owner from (select unnest({nodes}) as n), range(128) b(v)"
 
 
 def groups_sql(shards: int, nodes: list[str], rf: int) -> str:
-    anchor = _labelled("DKVANCHOR", "lpad(hex(s), 8, '0')")
+    anchor = _labelled(fn.ANCHOR, "lpad(hex(s), 8, '0')")
     near = f"select s, owner, min(case when token >= anchor then token::hugeint - anchor::hugeint else token::hugeint - anchor::hugeint + 18446744073709551616 end) as gap from (select s, {anchor} as anchor from range({shards}) a(s)), ({node_points(nodes)}) group by s, owner"
     return f"select s::int as shard, list(owner order by gap)[1:{rf}] as replicas from ({near}) group by s"
 
