@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,22 @@ def clear_tables(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make() as a written table; the tables written on the way to it are removed, and the
+    shuffles of dead plans let go."""
+    mark = len(_tables)
+    out = written(make())
+    spark = out.sparkSession
+    rest, _tables[mark:] = _tables[mark:-1], _tables[-1:]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in rest:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder (small tables; kept as rows)."""
     shared_dir(df.sparkSession)
