@@ -10,12 +10,14 @@ of the transform that no border shorter than that parts are repeated strings.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import bounded_batches, slices, written
+from tarnwell.llm.common import bounded_batches, settled, slices, written
 
 GRAM = 96
 #: Bytes of text in a block; keys with more are dealt over several.
@@ -256,9 +258,9 @@ def _tid(text: str):
     return t, sha, F.substring(sha, 1, 16)
 
 
-def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_bytes, sha, tid) of every row, and (tid, copies, n_removed, n_spans, kept) of
-    every text; the last three are null where nothing was removed."""
+def _repeats(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_bytes, sha, tid) of every row; (tid, copies) of every text; (tid, text) of those
+    that may repeat something; (tid, ranges) of the starts of their repeated strings."""
     bounded_batches(docs.sparkSession)
     gram = min(GRAM, least)
     t, sha, tid = _tid(text)
@@ -386,6 +388,13 @@ def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFr
     )
     ranges = found.where("h is null").select("tid", "start", "stop").unionByName(across)
     ranges = ranges.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    return narrow, classes.select("tid", "copies"), texts.select("tid", "text"), ranges
+
+
+def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_bytes, sha, tid) of every row, and (tid, copies, n_removed, n_spans, kept) of
+    every text; the last three are null where nothing was removed."""
+    narrow, classes, texts, ranges = _repeats(docs, least, text)
 
     def to_kept(batches):
         shape = pa.schema([("tid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -400,9 +409,9 @@ def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
-    removed = texts.select("tid", "text").join(ranges, "tid").mapInArrow(to_kept, "tid binary, n_removed long, n_spans long, kept binary")
+    removed = texts.join(ranges, "tid").mapInArrow(to_kept, "tid binary, n_removed long, n_spans long, kept binary")
     removed = removed.groupBy("tid").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first("kept").alias("kept"))
-    return narrow, classes.select("tid", "copies").join(removed, "tid", "left")
+    return narrow, classes.join(removed, "tid", "left")
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
@@ -451,3 +460,83 @@ def without_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(run, docs.schema)
+
+
+#: Bytes of a word's hash where passages are compared by words.
+CODE = 6
+_word = re.compile(rb"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
+
+
+def coded(text: bytes) -> bytes:
+    """CODE bytes for each word of a text."""
+    from xxhash import xxh64_digest as digest
+
+    return b"".join([digest(w)[:CODE] for w in text.split()])
+
+
+def _by_words(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """tid, word_ranges and word_all (whether all of it goes) of the texts that repeat runs of
+    ``words`` words; ranges are of starts of codes."""
+    t, _, tid = _tid(text)
+
+    def to_codes(batches):
+        for b in slices(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array([coded(x) for x in b.column("text").to_pylist()], pa.binary())], ["doc_id", "tid", "code"])
+
+    codes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tid.alias("tid"), t.cast("binary").alias("text"))
+    codes = written(codes.mapInArrow(to_codes, "doc_id long, tid binary, code binary"))
+    span = CODE * words
+    _, copies, _, ranges = _repeats(codes, span, "code")
+    found = copies.join(ranges, "tid", "left").where("copies > 1 or ranges is not null").select(F.col("tid").alias("ctid"), F.col("copies").alias("word_copies"), F.col("ranges").alias("word_ranges"))
+    # texts of the same words are copies of each other, whatever stands between these
+    named = codes.where(F.octet_length("code") >= span).select("tid", _tid("code")[2].alias("ctid")).distinct()
+    return named.join(found, "ctid").select("tid", "word_ranges", (F.col("word_copies") > 1).alias("word_all"))
+
+
+def without_passages(docs: DataFrame, least: int = 400, words: int = 51, text: str = "text") -> DataFrame:
+    """docs with ``text`` without every byte that a repeated string of ``least`` bytes covers, and
+    without every word, and the white space after it, that a repeated run of ``words`` words
+    covers. Both are found in the texts as given. White space between words makes no
+    difference to their runs. Else as ``without_repeats``."""
+    bounded_batches(docs.sparkSession)
+    _, _, tid = _tid(text)
+    by_words = settled(lambda: _by_words(docs, words, text))
+
+    def both():
+        _, copies, _, ranges = _repeats(docs, least, text)
+        cut = copies.join(ranges, "tid", "left").join(by_words, "tid", "left").where("copies > 1 or ranges is not null or word_all is not null")
+        return cut.select(F.col("tid").alias("__tid"), F.col("copies").alias("__copies"), F.col("word_all").alias("__all"), F.col("ranges").alias("__bytes"), F.col("word_ranges").alias("__words"))
+
+    cut = settled(both)
+    names, at = docs.columns, docs.columns.index(text)
+
+    def run(batches):
+        for b in slices(batches, text, 1 << 20):
+            texts = b.column(at).to_pylist()
+            more = zip(*(b.column(c).to_pylist() for c in ("__copies", "__all", "__bytes", "__words")), strict=True)
+            for i, (n, all_, byte_ranges, word_ranges) in enumerate(more):
+                if n is None or texts[i] is None:
+                    continue
+                body = texts[i].encode()
+                if all_ or (n > 1 and len(body) >= least):
+                    texts[i] = ""
+                    continue
+                depth = np.zeros(len(body) + 1, np.int64)
+                for r in byte_ranges or []:
+                    depth[r["start"]] += 1
+                    depth[r["stop"] + least - 1] -= 1
+                if word_ranges:
+                    ends = [0, *(m.end() for m in _word.finditer(body))]
+                    begin = re.match(rb"[ \t\n\r\x0b\x0c]*", body).end()
+                    for r in word_ranges:
+                        first, last = -(-r["start"] // CODE), (r["stop"] - 1) // CODE
+                        if first <= last:
+                            depth[max(ends[first], begin)] += 1
+                            depth[ends[last + words]] -= 1
+                gone = np.cumsum(depth)[:-1] > 0
+                if gone.any():
+                    texts[i] = np.frombuffer(body, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+            cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(names)])]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.withColumn("__tid", tid).join(cut, "__tid", "left").select(*names, "__copies", "__all", "__bytes", "__words").mapInArrow(run, docs.schema)

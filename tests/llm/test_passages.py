@@ -1,0 +1,74 @@
+"""Repeated passages of over 50 words against brute force."""
+
+import random
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline as P
+from tarnwell.llm import suffix as S
+from tests.llm.cases import hard_documents
+from tests.llm.test_suffix import plain
+
+
+def plain_words(texts, words=51):
+    """The words of each text that no repeated run of ``words`` words covers."""
+    lists = [(t or "").split() for t in texts]
+    count = Counter(tuple(w[i : i + words]) for w in lists for i in range(len(w) - words + 1))
+    out = []
+    for w in lists:
+        gone = set()
+        for i in range(len(w) - words + 1):
+            if count[tuple(w[i : i + words])] > 1:
+                gone.update(range(i, i + words))
+        out.append([x for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+def planted(seed=1):
+    """Texts that share passages of 45 to 60 short words: all shorter than 400 bytes."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    rows = []
+    for k, n in enumerate(range(45, 61)):
+        passage = [word() for _ in range(n)]
+        for c in range(2):
+            parts = [[word() for _ in range(rng.randint(0, 80))], passage, [word() for _ in range(rng.randint(0, 80))]]
+            rows.append((2 * k + c, rng.choice([" ", "\n", "  "]).join(w for p in parts for w in p)))
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stage_removes_passages_of_over_50_words(spark, sf_dir):
+    rows = planted()
+    got = {r.doc_id: r.text.split() for r in P.repeated_passages(spark, frame(spark, rows), sf_dir).collect()}
+    want = {i: w for (i, _), w in zip(rows, plain_words([t for _, t in rows]), strict=True)}
+    assert got == want
+    assert all(len(want[i]) < len(t.split()) for i, t in rows if i >= 12) and all(want[i] == t.split() for i, t in rows if i < 12)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 2000])
+def test_bytes_and_words_of_a_table(spark, sf_dir, monkeypatch, block):
+    """A byte goes if either rule takes it; nothing else does."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(400).select(P.COLUMNS).unionByName(hard_documents(spark).selectExpr("doc_id + 1000000 as doc_id", "text", "lang", "source", "n_chars"))
+    rows = docs.collect()
+    by_words = plain_words([r.text for r in rows])
+    by_bytes = plain([r.text for r in rows], 400)
+    got = {}
+    for r in S.without_passages(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    for r, w, (_, n, _, kept) in zip(rows, by_words, by_bytes, strict=True):
+        if r.text is None:
+            assert got[r.doc_id] == [None]
+        elif n == 0 and len(w) == len((r.text or "").split()):
+            assert got[r.doc_id] == [r.text] * len(got[r.doc_id])
+        elif n == 0:
+            assert all(t.split() == w for t in got[r.doc_id])
+        elif len(w) == len(r.text.split()):
+            assert all(t == kept.decode("utf-8", "ignore") for t in got[r.doc_id])
+        else:
+            assert all(len(t) <= len(kept) for t in got[r.doc_id])
