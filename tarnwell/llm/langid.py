@@ -1,33 +1,34 @@
 """Language identification by cross-parsing.
 
-Labelled text of each language becomes a suffix automaton. A stretch of text is parsed
-greedily into the longest phrases that occur in a language's text; the language that needs
-the least code, phrases times the bits that name one, wins it. A text's language is the one
-that wins most of its symbols, so that a passage in another language does not decide.
+Labelled text of each language becomes a suffix automaton. A text is parsed greedily into the
+longest phrases that occur in a language's text. Phrases are normalised by the bits that name
+one among all places of that language's text; the language that needs fewest wins.
+
+Texts are read as the bytes of their letters, lower-cased, what stands between them being one
+space: every letter of every script is told apart, whatever languages there are.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnwell.llm.common import bounded_batches, slices
+from tarnwell.llm.lm import Table
 
-#: What a model is fitted on: so many languages (the most frequent), texts of each (those of
-#: least hash), and characters of each text.
-LANGUAGES, TEXTS, EXCERPT = 64, 48, 600
-#: Letters that are told apart; others are one symbol.
-LETTERS = 120
-#: Symbols of a stretch; the parse starts anew with each, so a text is many lanes.
-WINDOW = 96
-SPREAD = 0.25
+#: The bounded sample that a model is fitted on: so many texts of each language, and of each so
+#: many stretches of so many characters, spread over all of it (a shorter text counts whole).
+TEXTS, STRETCHES, CHARACTERS = 48, 6, 100
+#: Bytes after which the parse of a long text starts anew, which adds a phrase at most.
+WINDOW = 4096
+#: Bytes over which the score weighs what languages' codes are longer.
+SPREAD = 24
+SPACE = 0x20
 
 
 def _kinds() -> np.ndarray:
@@ -40,10 +41,21 @@ def _kinds() -> np.ndarray:
     return out
 
 
+def _lowered(kinds: np.ndarray) -> np.ndarray:
+    """The code point that stands for each: its lower case where that is one, SPACE for what is
+    no letter or mark."""
+    out = np.where(kinds > 0, np.arange(0x110000), SPACE).astype("<u4")
+    for c in np.flatnonzero(kinds == 2):
+        low = chr(c).lower()
+        if len(low) == 1:
+            out[c] = ord(low)
+    return out
+
+
 class SuffixAutomaton:
     """All substrings of a sequence of symbols: next[state][symbol], state 0 being empty."""
 
-    def __init__(self, symbols: list[int]):
+    def __init__(self, symbols):
         self.next: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols:
@@ -76,157 +88,125 @@ class LanguageModel:
 
     def __init__(self, samples: dict[str, list[str]]):
         kinds = _kinds()
-        lowered = {k: " ".join(v).lower() for k, v in samples.items()}
-        common = Counter(c for t in lowered.values() for c in t if kinds[ord(c)])
-        letters = sorted(c for c, _ in common.most_common(LETTERS))
-        self.letter = kinds == 2
-        # 0: no letter, 1: a letter not told apart, 2 and up: letters
-        symbol = np.where(kinds > 0, 1, 0).astype(np.uint8)
-        for i, c in enumerate(letters):
-            symbol[ord(c)] = i + 2
-        for c in np.flatnonzero(kinds):
-            low = chr(c).lower()
-            if len(low) == 1:
-                symbol[c] = symbol[ord(low)]
-        self.symbol = symbol
-        self.width = len(letters) + 2
-        self.names, tables, self.roots, self.bits, base = [], [], [], [], 0
-        for name in sorted(lowered):
-            own = self.symbols([lowered[name]])[0]
+        self.letter, self.low = kinds == 2, _lowered(kinds)
+        self.names, self.bits, self.roots, self.begin = [], [], [], []
+        keys, to, base = [], [], 0
+        for name in sorted(samples):
+            own = self.letters([" ".join(samples[name])])[0]
             if not len(own):
                 continue
             steps = SuffixAutomaton(own.tolist()).next
-            t = np.full((len(steps), self.width), -1, np.int32)
-            for s, to in enumerate(steps):
-                for c, q in to.items():
-                    t[s, c] = base + q * self.width
-            t[0][t[0] < 0] = base
+            keys += [((base + s) << 8) | c for s, by in enumerate(steps) for c in by]
+            to += [base + q for by in steps for q in by.values()]
+            begin = np.full(256, base, np.int64)  # where a phrase that begins with a byte goes
+            for c, q in steps[0].items():
+                begin[c] = base + q
             self.names.append(name)
-            self.roots.append(base)
             self.bits.append(math.log2(len(own) + 1))
-            tables.append(t.reshape(-1))
-            base += t.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of the texts one after the other, runs of no letter being one 0 and none
-        at a text's start; their number by text; whether a text has a letter."""
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(t) for t in texts], np.int64)
-        of = np.repeat(np.arange(len(texts)), size)
-        s = self.symbol[points]
-        start = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
-        keep = s > 0
-        keep[1:] |= (s[:-1] > 0) & ~start[1:]
+            self.roots.append(base)
+            self.begin.append(begin)
+            base += len(steps)
+        self.steps, self.to = Table(np.array(keys, np.uint64)), np.array(to, np.int64)
+
+    def letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the texts' letters one after the other, each run of none being one SPACE and
+        none at a text's start; their number by text; whether a text has a letter."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         has = np.bincount(of, self.letter[points], len(texts)) > 0
-        return s[keep], np.bincount(of[keep], minlength=len(texts)), has
-
-    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each stretch: its text, its symbols, and the phrases it takes in each language (a
-        row each); and whether each text has a letter."""
-        s, size, has = self.symbols(texts)
+        low = self.low[points]
+        letter = low != SPACE
+        keep = letter.copy()
+        keep[1:] |= letter[:-1] & (of[1:] == of[:-1])
+        low, of = low[keep], of[keep]
+        width = 1 + (low > 0x7F) + (low > 0x7FF) + (low > 0xFFFF)
+        raw = np.frombuffer(low.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+        return raw, np.bincount(of, width, len(texts)).astype(np.int64), has
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases that each text takes in each language, its bytes, and whether it has a letter."""
+        s, size, has = self.letters(texts)
         windows = -(-size // WINDOW)
         doc = np.repeat(np.arange(len(texts)), windows)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin = np.repeat(np.cumsum(size) - size, windows) + k * WINDOW
+        start = np.repeat(np.cumsum(size) - size, windows) + k * WINDOW
         length = np.minimum(WINDOW, np.repeat(size, windows) - k * WINDOW)
         by = np.argsort(-length, kind="stable")
-        doc, begin, length = doc[by], begin[by], length[by]
+        doc, start, length = doc[by], start[by], length[by]
         live = len(doc) - np.searchsorted(length[::-1], np.arange(WINDOW), "right")  # lanes longer than t
-        roots = np.array(self.roots, np.int32)[:, None]
+        langs = len(self.names)
+        roots = np.array(self.roots, np.int64)[:, None]
+        begin = np.concatenate(self.begin) if langs else np.zeros(0, np.int64)
+        row = np.arange(langs)[:, None] << 8
         state = np.repeat(roots, len(doc), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for t in range(int(length[0]) if len(length) else 0):
+        count = np.zeros(state.shape, np.int64)
+        for t in range(int(length[0]) if len(length) and langs else 0):
             m = int(live[t])
-            c = s[begin[:m] + t].astype(np.int32)
+            c = s[start[:m] + t].astype(np.int64)
             now = state[:, :m]
-            to = self.table.take(now + c)
-            new = to < 0
-            if new.any():
-                to = np.where(new, self.table.take(roots + c), to)
-            count[:, :m] += new | (now == roots)
-            state[:, :m] = to
-        return doc, length, count, has
-
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that each text takes in each language, and whether it has a letter."""
-        doc, _, count, has = self.stretches(texts)
-        return np.array([np.bincount(doc, c, len(texts)) for c in count], np.int64).reshape(len(self.names), len(texts)).T, has
-
-    def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The language that wins most symbols of each text (a place among names; ties to the
-        first), a score, and whether it has a letter. A stretch weighs its languages by what
-        their code is longer; the score is the mean weight of the text's language over its
-        symbols."""
-        doc, length, count, has = self.stretches(texts)
-        cost = count * np.array(self.bits)[:, None]
-        least = cost.min(axis=0)
-        weight = np.exp2(-SPREAD * (cost - least))
-        weight /= weight.sum(axis=0)
-        won = cost.argmin(axis=0)
-        langs = len(self.names)
-        symbols = np.bincount(doc * langs + won, length, len(texts) * langs).reshape(-1, langs)
-        best = symbols.argmax(axis=1)
-        all_ = np.maximum(np.bincount(doc, length, len(texts)), 1)
-        score = np.bincount(doc, weight[best[doc], np.arange(len(doc))] * length, len(texts)) / all_
-        return best, np.clip(score, 0, 1), has
-
-
-def _consistent(samples: dict[str, list[str]]) -> dict[str, list[str]]:
-    """The samples without texts that a model of the other half of all gives another language:
-    a text under a wrong label would draw its near copies to it. A language keeps its texts
-    if none would stay."""
-    halves = [LanguageModel({k: v[i::2] for k, v in samples.items() if v[i::2]}) for i in (0, 1)]
-    out = {}
-    for name, texts in samples.items():
-        kept = []
-        for i, t in enumerate(texts):
-            m = halves[1 - i % 2]
-            if not m.names or name not in m.names or m.names[m.votes([t])[0][0]] == name:
-                kept.append(t)
-        out[name] = kept or texts
-    return out
+            at = self.steps.find(((now << 8) | c).view(np.uint64).reshape(-1)).reshape(now.shape)
+            count[:, :m] += (at < 0) | (now == roots)
+            state[:, :m] = np.where(at < 0, begin.take(row + c), self.to.take(at))
+        return np.array([np.bincount(doc, n, len(texts)) for n in count], np.int64).reshape(langs, len(texts)).T, size, has
+
+    def choose(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language of fewest normalised phrases for each text (a place among names; ties to
+        the first), a score, and whether it has a letter. The score is the share of that language
+        when each weighs by how much longer its code is, for SPREAD bytes."""
+        count, size, has = self.phrases(texts)
+        cost = count * np.array(self.bits)
+        longer = (cost - cost.min(axis=1, keepdims=True)) * (SPREAD / np.maximum(size, SPREAD))[:, None]
+        return cost.argmin(axis=1), 1 / np.exp2(-np.minimum(longer, 60)).sum(axis=1), has
+
+
+def _stretches(text):
+    """Of a text column: STRETCHES of CHARACTERS each, the first at its begin and the last at its
+    end, or all of a text that has no more."""
+    size, parts = F.length(text), STRETCHES * CHARACTERS
+    at = [F.floor((size - CHARACTERS) * k / (STRETCHES - 1)).cast("int") + 1 for k in range(STRETCHES)]
+    return F.when(size <= parts, text).otherwise(F.concat_ws(" ", *[F.substring(text, a, F.lit(CHARACTERS)) for a in at]))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """A model of the languages of labelled. Fitted on a bounded sample: at most LANGUAGES
-    languages, TEXTS different texts of each, EXCERPT characters of each text. Rows without
-    text, letters or label are left out."""
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null and lang <> 'und'")
-    rows = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, EXCERPT).alias("text"))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    least = Window.partitionBy("lang").orderBy("h")
-    # copies of a text count once: ranks are among different hashes
-    chosen = rows.where(F.col("lang").isin(names)).select("lang", "h").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= TEXTS)
-    got = rows.join(F.broadcast(chosen), ["lang", "h"])  # LANGUAGES * TEXTS rows at most
+    """A model of every language that labels rows of labelled with letters in their text. Fitted
+    on a bounded sample: at most TEXTS different texts of each language, those of least hash
+    in as many classes by hash, and stretches of each. Rows without text, letters or label are
+    left out; copies of a text count once. Sums and minima are partially aggregated."""
+    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", _stretches(F.col("text")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # classes are four times as many as texts, so that a language of few texts loses hardly any
+    least = rows.groupBy("lang", F.pmod("h", F.lit(4 * TEXTS)).alias("part")).agg(F.min("h").alias("h"))
+    chosen = least.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("h")), 1, TEXTS).alias("h")).select("lang", F.explode("h").alias("h"))
+    got = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in got.groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").collect():
+    for r in got.orderBy("lang", "h").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
-    return LanguageModel(_consistent(samples) if len(samples) > 1 else samples)
+    return LanguageModel(samples)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred and score (0 to 1: the mean share of that
-    language when each is weighed by what its code is longer).
+    """The columns ``keep`` of docs with lang_pred and score (0 to 1: the share of that language
+    when each is weighed by what its code is longer); of ``keep``, columns of these names go.
 
     lang_pred is ``und`` with score 0 where a text is null or has no letter, and everywhere
     if the model has no language. Ties go to the language that sorts first. Whole texts
     are parsed; repeated rows get the same result; an empty table gives no rows. A pure
-    map; the model, of bounded size, is broadcast.
+    map; the model, bounded by its languages, is broadcast.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    source = docs.select(*keep, F.col(text).cast("string").alias("__langid_text"))
     schema = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
         m = shared.value
-        for b in slices(batches, "__text", 1 << 21):
-            texts = [t or "" for t in b.column("__text").to_pylist()]
+        for b in slices(batches, "__langid_text", 1 << 21):
+            texts = [t or "" for t in b.column("__langid_text").to_pylist()]
             if m.names:
-                best, score, has = m.votes(texts)
+                best, score, has = m.choose(texts)
             else:
                 best, score, has = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
             lang = [m.names[i] if h else "und" for i, h in zip(best.tolist(), has.tolist(), strict=True)]

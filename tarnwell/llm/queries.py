@@ -134,11 +134,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of a passage of over 50 words: 51 words of four letters and a space each.
+PASSAGE = 51 * 5
+
+
 @query
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every whole text keeps once strings of 400 bytes that repeat are gone."""
+    """What every whole text keeps once strings of 400 bytes that repeat are gone; n_passage
+    counts the bytes in repeated passages of over 50 words, most of which are shorter."""
     from tarnwell.llm.suffix import remove_repeats
 
-    kept = remove_repeats(table(spark, sf_dir, "documents"), least=400)
+    kept = remove_repeats(table(spark, sf_dir, "documents"), least=400, passage=PASSAGE)
     digest = F.when(F.col("kept").isNull(), F.col("text_sha256")).otherwise(F.sha2("kept", 256))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest.alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest.alias("kept_sha256"), "n_passage")

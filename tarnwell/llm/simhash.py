@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import bounded_batches, components, local_forest, slices, written
+from tarnwell.llm.similar import near_copies
 
 AXES = 32
 #: Rows of a cell that meet in one task; larger cells are cut into tiles that meet pairwise.
@@ -199,8 +200,9 @@ def links(classes: DataFrame, near: int = 4) -> DataFrame:
     return tiled.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "probe", "id").mapInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, near: int = 4, width: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id for every row of docs: component_id is the smallest doc_id
+def near_duplicates(docs: DataFrame, near: int = 4, width: int = 4, seed: int = 42, text: str = "text", least: float | None = None) -> DataFrame:
+    """With ``least``: doc_id, component_id by similarity of shingles, see ``similar.near_copies``
+    (``near`` and ``seed`` are not used). Else doc_id, fp, component_id for every row of docs: component_id is the smallest doc_id
     that links (fingerprints within ``near`` bits) reach from it, itself included.
 
     Rows of one fingerprint are a class; only classes are searched, and joined back at
@@ -208,6 +210,8 @@ def near_duplicates(docs: DataFrame, near: int = 4, width: int = 4, seed: int =
     other. Repeated rows share a component; a row without doc_id gets its class's. An
     empty table gives no rows. No limit on the size of a class, a cell or a component.
     """
+    if least is not None:
+        return near_copies(docs, least, width, text)
     prints = written(fingerprints(docs, width, seed, text))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
     roots = components(links(classes, near)).select(F.col("node").alias("id"), "root")

@@ -1,7 +1,13 @@
-"""Near copies by similarity: texts whose sets of word shingles have a Jaccard similarity of
-at least a threshold.
+"""SimHash near-duplicates by similarity: texts whose sets of word shingles have a Jaccard
+similarity of at least a threshold (``simhash.near_duplicates`` with ``least``).
 
-Candidates come from MinHash: BANDS keys of DEEP minima each, so a pair of similarity 0.8
+64-bit fingerprints can not tell such pairs: at 0.8 they differ in 10 bits on average and up to
+19, a radius at which a grid of segment counts has every cell meet most others. So here the
+whole set is the fingerprint, a bit for every hash. Its SEGMENTS counts of set bits, by the
+top bits of the hashes, are its place; the Manhattan distance of two places is a lower bound
+of the bits that differ, and what it leaves is verified exactly on the sets.
+
+What meets comes from keys of minima: BANDS keys of DEEP minima each, so a pair of similarity 0.8
 shares no key with a chance of (1 - 0.8**4)**32, 5 in 100 million, and more similar pairs
 with less. What shares a key is verified on the sets themselves. All members of a key meet
 the least of them first; only keys whose members then are of several components have the
@@ -18,6 +24,8 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import bounded_batches, components, local_forest, slices, written
 
 BANDS, DEEP = 32, 4
+#: Segments whose counts of set bits are a set's place.
+SEGMENTS = 64
 #: Shingles of a tile; two tiles are what a task holds.
 TILE = 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -115,23 +123,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     )
 
 
+def places(sets: list[np.ndarray]) -> np.ndarray:
+    """Counts of a set's hashes per segment: shape (len(sets), SEGMENTS)."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    segment = (np.concatenate(sets) >> np.uint64(58)).astype(np.int64)
+    return np.bincount(of * SEGMENTS + segment, minlength=len(sets) * SEGMENTS).reshape(-1, SEGMENTS)
+
+
 def met(ids: list[int], roots: list[int], sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the pairs of members of different roots that are similar enough."""
+    """A forest of the pairs of members of different roots that are similar enough. Sets of s and
+    t hashes are if no more than (s + t) * (1 - least) / (1 + least) are in one of them alone."""
     size = np.array([len(s) for s in sets], np.int64)
-    _, at = np.unique(np.concatenate(sets), return_inverse=True)
-    first = np.cumsum(size) - size
-    root, id_ = np.array(roots), np.array(ids)
-    flag = np.zeros(int(at.max()) + 1, np.int64)
+    at = places(sets)
+    root = np.array(roots)
+    apart = (1 - least) / (1 + least)
     u, v = [], []
     for i in range(len(ids) - 1):
-        own = at[first[i] : first[i] + size[i]]
-        flag[own] = 1
-        common = np.add.reduceat(flag[at[first[i + 1] :]], first[i + 1 :] - first[i + 1])
-        flag[own] = 0
-        hit = np.flatnonzero(_is_near(common, size[i], size[i + 1 :], least) & (root[i + 1 :] != root[i])) + i + 1
-        u.append(np.full(len(hit), id_[i]))
-        v.append(id_[hit])
-    return local_forest(np.concatenate(u), np.concatenate(v))
+        bound = (size[i] + size[i + 1 :]) * apart + 1e-6
+        near = np.abs(at[i + 1 :] - at[i]).sum(axis=1) <= bound
+        for j in (np.flatnonzero(near & (root[i + 1 :] != root[i])) + i + 1).tolist():
+            if root[j] == root[i]:
+                continue
+            if _is_near(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), size[i], size[j], least):
+                u.append(ids[i])
+                v.append(ids[j])
+                root[root == root[j]] = root[i]
+    return local_forest(np.array(u, np.int64), np.array(v, np.int64))
 
 
 def _links_in_keys(rows: DataFrame, least: float) -> DataFrame:

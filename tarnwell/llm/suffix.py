@@ -10,8 +10,6 @@ of the transform that no border shorter than that parts are repeated strings.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -258,17 +256,22 @@ def _tid(text: str):
     return t, sha, F.substring(sha, 1, 16)
 
 
-def _repeats(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_bytes, sha, tid) of every row; (tid, copies) of every text; (tid, text) of those
-    that may repeat something; (tid, ranges) of the starts of their repeated strings."""
+def _named(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_bytes, sha, tid) of every row, written; (tid, copies, rep) of every text; and
+    (tid, rep, text) of every row, of which that with its text's rep stands for the text."""
     bounded_batches(docs.sparkSession)
-    gram = min(GRAM, least)
     t, sha, tid = _tid(text)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.cast("binary").alias("text"), sha.alias("sha"), tid.alias("tid"))
     base = base.withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID)))
     narrow = written(base.select("doc_id", "rep", F.octet_length("text").cast("long").alias("n_bytes"), "sha", "tid"))
-    classes = narrow.groupBy("tid").agg(F.count("*").alias("copies"), F.min("rep").alias("rep"))
-    long_texts = base.where(F.octet_length("text") >= least)
+    return narrow, narrow.groupBy("tid").agg(F.count("*").alias("copies"), F.min("rep").alias("rep")), base.select("tid", "rep", "text")
+
+
+def _repeats(rows: DataFrame, classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows(tid, rep, text) and classes(tid, rep): (tid, text) of the texts that may repeat
+    something, and (tid, ranges) of the starts of their repeated strings."""
+    gram = min(GRAM, least)
+    long_texts = rows.where(F.octet_length("text") >= least)
 
     def to_runs(batches):
         shape = pa.schema([("h", pa.int64()), ("tid", pa.binary()), ("lo", pa.int64()), ("n", pa.int64()), ("multi", pa.bool_())])
@@ -388,15 +391,13 @@ def _repeats(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFra
     )
     ranges = found.where("h is null").select("tid", "start", "stop").unionByName(across)
     ranges = ranges.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return narrow, classes.select("tid", "copies"), texts.select("tid", "text"), ranges
+    return texts.select("tid", "text"), ranges
 
 
-def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_bytes, sha, tid) of every row, and (tid, copies, n_removed, n_spans, kept) of
-    every text; the last three are null where nothing was removed."""
-    narrow, classes, texts, ranges = _repeats(docs, least, text)
+def _kept(texts: DataFrame, ranges: DataFrame, least: int, bodies: bool = True) -> DataFrame:
+    """tid, n_removed, n_spans and (null without ``bodies``) kept of the texts with ranges."""
 
-    def to_kept(batches):
+    def run(batches):
         shape = pa.schema([("tid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
         for b in slices(batches, "text", 1 << 20):
             rows = []
@@ -405,18 +406,27 @@ def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFr
                 np.add.at(depth, [r["start"] for r in many], 1)
                 np.add.at(depth, [r["stop"] + least - 1 for r in many], -1)
                 gone = np.cumsum(depth)[:-1] > 0
-                rows.append((tid, int(gone.sum()), len(_ranges(gone)[0]), np.frombuffer(body, np.uint8)[~gone].tobytes()))
+                rows.append((tid, int(gone.sum()), len(_ranges(gone)[0]), np.frombuffer(body, np.uint8)[~gone].tobytes() if bodies else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
-    removed = texts.join(ranges, "tid").mapInArrow(to_kept, "tid binary, n_removed long, n_spans long, kept binary")
-    removed = removed.groupBy("tid").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first("kept").alias("kept"))
-    return narrow, classes.join(removed, "tid", "left")
+    removed = texts.join(ranges, "tid").mapInArrow(run, "tid binary, n_removed long, n_spans long, kept binary")
+    return removed.groupBy("tid").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first("kept").alias("kept"))
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
+def _outcomes(docs: DataFrame, least: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_bytes, sha, tid) of every row, and (tid, copies, n_removed, n_spans, kept) of
+    every text; the last three are null where nothing was removed."""
+    narrow, classes, rows = _named(docs, text)
+    removed = _kept(*_repeats(rows, classes, least), least)
+    return narrow, classes.select("tid", "copies").join(removed, "tid", "left")
+
+
+def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text", passage: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null where none were
-    removed) and text_sha256 of the whole text, for every row of docs.
+    removed) and text_sha256 of the whole text, for every row of docs; with ``passage`` (less
+    than ``least``) also n_passage, the bytes that a string of so many bytes covers that starts
+    anywhere else too: what would go at that length. It is counted, not removed.
 
     A byte goes if a string of ``least`` bytes that covers it starts anywhere else too, in
     the same text or another, as the texts are given: of a repeated passage no copy stays,
@@ -426,10 +436,27 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
     Copies are told by a hash of the whole text and worked on once. Keys are counted after
     partial aggregation; a key with more text than a block is dealt over parts by text and
     place, and the parts exchange two hashes of each different string they hold. Each
-    task holds one block, or one run of strings under one key.
+    task holds one block, or one run of strings under one key. A string of ``least`` bytes
+    repeats only where its first ``passage`` bytes do, so after a search at that length only
+    texts that it found are searched again.
     """
-    narrow, outcome = _outcomes(docs, least, text)
-    all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
+    narrow, classes, rows = _named(docs, text)
+    copied = F.col("copies") > 1
+    outcome = classes.select("tid", "copies")
+    if passage is None:
+        outcome = outcome.join(_kept(*_repeats(rows, classes, least), least), "tid", "left")
+    else:
+
+        def shorter():
+            texts, ranges = _repeats(rows, classes, passage)
+            return texts.join(ranges, "tid").dropDuplicates(["tid"])
+
+        some = settled(shorter)
+        counts = _kept(some.select("tid", "text"), some.select("tid", "ranges"), passage, bodies=False).select("tid", F.col("n_removed").alias("n_passage"))
+        again = some.select("tid", F.lit(0).cast("long").alias("rep"), "text")
+        outcome = outcome.join(counts, "tid", "left").join(_kept(*_repeats(again, again.select("tid", "rep"), least), least), "tid", "left")
+    all_gone = copied & (F.col("n_bytes") >= least)
+    more = [] if passage is None else [F.when(copied & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("n_passage", F.lit(0))).cast("long").alias("n_passage")]
     return narrow.join(outcome, "tid").select(
         "doc_id",
         "n_bytes",
@@ -437,18 +464,24 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Dat
         F.when(all_gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, F.lit(b"").cast("binary")).otherwise(F.col("kept")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *more,
     )
 
 
 def without_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> DataFrame:
     """docs with ``text`` replaced by what ``remove_repeats`` keeps of it. A character of which
     a cut left some bytes goes as a whole; null texts stay null; every row stays, if need
-    be with an empty text."""
-    _, outcome = _outcomes(docs, least, text)
+    be with an empty text. Extra columns stay as they are, whatever their names."""
     t, _, tid = _tid(text)
-    cut = outcome.where(F.col("kept").isNotNull() | (F.col("copies") > 1)).select(F.col("tid").alias("__tid"), F.col("copies").alias("__copies"), F.col("kept").alias("__kept"))
+    of_rows = "__tid", "__copies", "__kept"
+
+    def changed():
+        _, outcome = _outcomes(docs, least, text)
+        cut = outcome.where(F.col("kept").isNotNull() | (F.col("copies") > 1))
+        return cut.select(*[F.col(c).alias(n) for c, n in zip(("tid", "copies", "kept"), of_rows, strict=True)])
+
     gone = (F.col("__copies") > 1) & (F.octet_length(t) >= least)
-    joined = docs.withColumn("__tid", tid).join(cut, "__tid", "left")
+    joined = docs.withColumn("__tid", tid).join(settled(changed), "__tid", "left")
     joined = joined.select(*docs.columns, F.when(gone, F.lit(b"").cast("binary")).otherwise(F.col("__kept")).alias("__kept"))
 
     names, at = docs.columns, docs.columns.index(text)
@@ -460,83 +493,3 @@ def without_repeats(docs: DataFrame, least: int = 400, text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(run, docs.schema)
-
-
-#: Bytes of a word's hash where passages are compared by words.
-CODE = 6
-_word = re.compile(rb"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
-
-
-def coded(text: bytes) -> bytes:
-    """CODE bytes for each word of a text."""
-    from xxhash import xxh64_digest as digest
-
-    return b"".join([digest(w)[:CODE] for w in text.split()])
-
-
-def _by_words(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """tid, word_ranges and word_all (whether all of it goes) of the texts that repeat runs of
-    ``words`` words; ranges are of starts of codes."""
-    t, _, tid = _tid(text)
-
-    def to_codes(batches):
-        for b in slices(batches, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tid"), pa.array([coded(x) for x in b.column("text").to_pylist()], pa.binary())], ["doc_id", "tid", "code"])
-
-    codes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tid.alias("tid"), t.cast("binary").alias("text"))
-    codes = written(codes.mapInArrow(to_codes, "doc_id long, tid binary, code binary"))
-    span = CODE * words
-    _, copies, _, ranges = _repeats(codes, span, "code")
-    found = copies.join(ranges, "tid", "left").where("copies > 1 or ranges is not null").select(F.col("tid").alias("ctid"), F.col("copies").alias("word_copies"), F.col("ranges").alias("word_ranges"))
-    # texts of the same words are copies of each other, whatever stands between these
-    named = codes.where(F.octet_length("code") >= span).select("tid", _tid("code")[2].alias("ctid")).distinct()
-    return named.join(found, "ctid").select("tid", "word_ranges", (F.col("word_copies") > 1).alias("word_all"))
-
-
-def without_passages(docs: DataFrame, least: int = 400, words: int = 51, text: str = "text") -> DataFrame:
-    """docs with ``text`` without every byte that a repeated string of ``least`` bytes covers, and
-    without every word, and the white space after it, that a repeated run of ``words`` words
-    covers. Both are found in the texts as given. White space between words makes no
-    difference to their runs. Else as ``without_repeats``."""
-    bounded_batches(docs.sparkSession)
-    _, _, tid = _tid(text)
-    by_words = settled(lambda: _by_words(docs, words, text))
-
-    def both():
-        _, copies, _, ranges = _repeats(docs, least, text)
-        cut = copies.join(ranges, "tid", "left").join(by_words, "tid", "left").where("copies > 1 or ranges is not null or word_all is not null")
-        return cut.select(F.col("tid").alias("__tid"), F.col("copies").alias("__copies"), F.col("word_all").alias("__all"), F.col("ranges").alias("__bytes"), F.col("word_ranges").alias("__words"))
-
-    cut = settled(both)
-    names, at = docs.columns, docs.columns.index(text)
-
-    def run(batches):
-        for b in slices(batches, text, 1 << 20):
-            texts = b.column(at).to_pylist()
-            more = zip(*(b.column(c).to_pylist() for c in ("__copies", "__all", "__bytes", "__words")), strict=True)
-            for i, (n, all_, byte_ranges, word_ranges) in enumerate(more):
-                if n is None or texts[i] is None:
-                    continue
-                body = texts[i].encode()
-                if all_ or (n > 1 and len(body) >= least):
-                    texts[i] = ""
-                    continue
-                depth = np.zeros(len(body) + 1, np.int64)
-                for r in byte_ranges or []:
-                    depth[r["start"]] += 1
-                    depth[r["stop"] + least - 1] -= 1
-                if word_ranges:
-                    ends = [0, *(m.end() for m in _word.finditer(body))]
-                    begin = re.match(rb"[ \t\n\r\x0b\x0c]*", body).end()
-                    for r in word_ranges:
-                        first, last = -(-r["start"] // CODE), (r["stop"] - 1) // CODE
-                        if first <= last:
-                            depth[max(ends[first], begin)] += 1
-                            depth[ends[last + words]] -= 1
-                gone = np.cumsum(depth)[:-1] > 0
-                if gone.any():
-                    texts[i] = np.frombuffer(body, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-            cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return docs.withColumn("__tid", tid).join(cut, "__tid", "left").select(*names, "__copies", "__all", "__bytes", "__words").mapInArrow(run, docs.schema)

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
     n, pos = total["n"], total["pos"]
     terms = [k.split() for k in IDENTITY_TERMS]
     if not n or not 0 < pos < n:
-        rate = (pos + 0.5) / (n + 1)
+        rate = (pos + 0.5) / (n + 2)
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
     counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where("n >= 5")
     share = F.col("n") / n

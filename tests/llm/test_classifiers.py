@@ -1,21 +1,31 @@
 """Language identification and toxicity: plain models, held-out accuracy, hard cases."""
 
+import math
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tarnwell.llm import langid, toxicity
 from tests.llm.cases import hard_documents, no_documents
 
 
-def plain_phrases(sample, text, model):
+def plain_letters(text):
+    """Bytes of the letters and marks of a text in lower case, one space for what is between."""
+    low = lambda c: c.lower() if len(c.lower()) == 1 else c
+    kept = "".join(low(c) if unicodedata.category(c)[0] in "LM" else " " for c in text)
+    return re.sub(" +", " ", kept).removeprefix(" ").encode()
+
+
+def plain_phrases(sample, text, window):
     """Greedy longest phrases by substring search."""
-    own = bytes(model.symbols([sample])[0])
-    s = bytes(model.symbols([text])[0])
-    n = 0
-    for lo in range(0, len(s), langid.WINDOW):
-        w, i = s[lo : lo + langid.WINDOW], 0
+    own, s, n = plain_letters(sample), plain_letters(text), 0
+    for lo in range(0, len(s), window):
+        w, i = s[lo : lo + window], 0
         while i < len(w):
             k = 1
             while i + k < len(w) and own.find(w[i : i + k + 1]) >= 0:
@@ -24,16 +34,53 @@ def plain_phrases(sample, text, model):
     return n
 
 
-def test_phrases_are_the_greedy_ones(monkeypatch):
-    monkeypatch.setattr(langid, "WINDOW", 50)
+SAMPLES = {
+    "el": ["η γλώσσα είναι ένα σύστημα και οι λέξεις της αλλάζουν με τον καιρό"],
+    "en": ["the language of a people is a system, and its words change over the years"],
+    "hi": ["भाषा एक प्रणाली है और उसके शब्द समय के साथ बदलते हैं"],
+    "ja": ["言語は体系であり、その言葉は時とともに変わる。東京の町で人々は話す"],
+    "ko": ["언어는 하나의 체계이며 그 낱말은 시간이 흐르면서 바뀐다"],
+    "ru": ["язык народа есть система, и слова его меняются с годами"],
+    "th": ["ภาษาเป็นระบบหนึ่งและคำของมันเปลี่ยนไปตามกาลเวลา"],
+    "uk": ["мова народу є системою, і її слова змінюються з роками"],
+    "zh": ["语言是一个系统，它的词汇随着时间而变化。北京的人们说话"],
+}
+
+
+@pytest.mark.parametrize("window", [50, 4096])
+def test_fewest_normalised_phrases_win(spark, monkeypatch, window):
+    """predict against a plain parser, in nine languages of eight scripts."""
+    monkeypatch.setattr(langid, "WINDOW", window)
     rng = random.Random(3)
-    samples = {k: ["".join(rng.choices(a, k=300))] for k, a in (("xx", "abcd  "), ("yy", "bcdeé "))}
-    m = langid.LanguageModel(samples)
-    texts = ["".join(rng.choices("abcdeéÉz 1!", k=rng.randint(0, 220))) for _ in range(40)] + ["", "123", "Ж"]
-    got, has = m.phrases(texts)
-    for t, row in zip(texts, got.tolist(), strict=True):
-        assert row == [plain_phrases(samples[k][0].lower(), t, m) for k in ("xx", "yy")]
+    m = langid.LanguageModel(SAMPLES)
+    texts = ["", "123", "Ж", "Ünknown ß 言葉", "the words of the years", "слова меняются", "слова змінюються", "人们的语言", "人々の言葉", "낱말은 시간", "ΓΛΏΣΣΑ", "คำของภาษา", "शब्द समय"]
+    pool = [w for v in SAMPLES.values() for w in v[0].split()]
+    texts += [" ".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(30)]
+    count, _, has = m.phrases(texts)
     assert has.tolist() == [any(c.isalpha() for c in t) for t in texts]
+    want = [[plain_phrases(SAMPLES[k][0], t, window) for k in m.names] for t in texts]
+    assert count.tolist() == want
+    bits = [math.log2(len(plain_letters(SAMPLES[k][0])) + 1) for k in m.names]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()
+    for r in got:
+        cost = [n * b for n, b in zip(want[r.doc_id], bits, strict=True)]
+        assert r.lang_pred == (m.names[cost.index(min(cost))] if has[r.doc_id] else "und")
+    by = {texts[r.doc_id]: r.lang_pred for r in got}
+    assert [by[t] for t in texts[4:13]] == ["en", "ru", "uk", "zh", "ja", "ko", "el", "th", "hi"]
+
+
+def test_every_label_is_learned_and_a_common_header_is_not_all(spark):
+    """More than 64 labels; all texts of two of them open alike."""
+    rng = random.Random(1)
+    header = "".join(rng.choices("abcdefgh ", k=700))
+    word = lambda a: "".join(rng.choices(a, k=5))
+    rows = [(f"l{k:02d}", " ".join(word(a) for _ in range(40))) for k in range(80) for a in [[chr(0x4E00 + 40 * k + i) for i in range(30)]] for _ in range(3)]
+    rows += [(name, header + " " + " ".join(word(a) for _ in range(400))) for name, a in (("x1", "ijklmnop"), ("x2", "qrstuvwx")) for _ in range(60)]
+    m = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(m.names) == 82
+    texts = [" ".join(word(a) for _ in range(20)) for a in ("ijklmnop", "qrstuvwx")]
+    assert [m.names[i] for i in m.choose(texts)[0]] == ["x1", "x2"]
+    assert [m.names[i] for i in m.choose([t for _, t in rows[:240:3]])[0]] == [f"l{k:02d}" for k in range(80)]
 
 
 def test_languages_of_held_out_documents(spark):
@@ -57,6 +104,11 @@ def test_langid_hard_cases(spark):
     assert langid.predict(no_documents(spark), m).count() == 0
     none = langid.fit(no_documents(spark))
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
+    clash = docs.withColumn("score", F.lit("z")).withColumn("lang_pred", F.lit("z"))
+    again = langid.predict(clash, m, keep=["doc_id", "score", "lang_pred", "h"])
+    assert again.columns == ["doc_id", "h", "lang_pred", "score"]
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in again.collect()) == sorted((r.doc_id, r.lang_pred, r.score) for r in got)
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id in (5, 6)}) == 1  # repeated rows and copies
 
 
 def test_toxicity_finds_what_labels_mark(spark):

@@ -42,6 +42,24 @@ def check(docs, least):
     assert all(g[4] == w[4] if g[2] else g[4] is None for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("block", [1 << 20, 2000])
+def test_shorter_passages_are_counted(spark, monkeypatch, block):
+    """n_passage is what would go at the shorter length; the rest is as without it."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    docs = hard_documents(spark)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    for n in (20, 45, 55, 90):
+        passage = " ".join(word() for _ in range(n))
+        more = [(100 + 10 * n + c, " ".join([word(), word(), passage, word()]), "en", "a", 9, 1, "x") for c in range(3)]
+        docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    both, plainly = S.remove_repeats(docs, 200, passage=60), S.remove_repeats(docs, 200)
+    assert result(both) == result(plainly)
+    short = sorted((r.doc_id, r.n_removed) for r in S.remove_repeats(docs, 60).collect())
+    assert sorted((r.doc_id, r.n_passage) for r in both.collect()) == short
+    assert S.remove_repeats(no_documents(spark), 200, passage=60).count() == 0
+
+
 def test_transform_and_expansion():
     rng = np.random.default_rng(4)
     for least in (5, 20, 33):
