@@ -1,7 +1,8 @@
 """Toxicity by a classifier that counterfactuals regularise.
 
-A sparse logistic model over the words and word stems of a text. While it is fitted, terms that name
-groups of people are swapped for others of their kind in the labelled texts, and what
+A sparse logistic model over the words and word stems of a text. While it is fitted, each term that
+names a group of people is swapped in the labelled texts for every other of its kind, and for
+a word that no text has; the swapped text's features are made anew, stems included, and what
 the swap changes in the score is penalised: a neutral mention shall not count.
 """
 
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import bounded_batches, slices, written
 
-#: What a model is fitted on: labelled rows (those of least hash), and words.
-ROWS, WORDS = 20_000, 20_000
+#: The bounded sample that a model is fitted on: labelled rows (those of least hash).
+ROWS = 20_000
 #: Strengths of the penalties on weights and on counterfactual changes. A weight's penalty
 #: is so many times what chance alone would move the most moved of all words.
-SPARSITY, FAIRNESS = 1.0, 1.0
+SPARSITY, FAIRNESS = 1.0, 10.0
 #: Once the words that count are chosen, their weights are fitted anew under this penalty on squares.
 RIDGE = 2e-4
 #: Lengths of the stems that count besides whole words, for languages that inflect or compound.
@@ -45,12 +46,38 @@ def words_of(text: str | None) -> list[str]:
     return _words((text or "").lower())
 
 
-def features_of(text: str | None) -> set[str]:
-    """The words of a text, and the stems of longer words, marked by a star."""
-    words = set(words_of(text))
+def features(words: set[str]) -> set[str]:
+    """Words, and the stems of longer words, marked by a star."""
     return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS))
 
 
+def features_of(text: str | None) -> set[str]:
+    return features(set(words_of(text)))
+
+
+_KINDS = {t: [p for p in k.split() if p != t] for k in IDENTITY_TERMS for t in k.split()}
+_FEATURES = {t: features({t}) for t in _KINDS}
+
+
+def swaps_of(words: set[str]) -> list[tuple[str, float]]:
+    """Counterfactuals of a text's words: (what features the text has more, marked +, and less,
+    marked -, than with one term swapped; weight). A term's swaps weigh 1 for the word that no
+    text has and 1 in all for the others of its kind."""
+    terms, out = words.intersection(_KINDS), []
+    if not terms:
+        return out
+    base = features(words)
+    for t in sorted(terms):
+        rest = features(words - {t})
+        lost = base - rest
+        for p in [None, *_KINDS[t]]:
+            own = _FEATURES[p] if p else set()
+            signed = [f"+{f}" for f in sorted(lost - own)] + [f"-{f}" for f in sorted(own - base)]
+            if signed:
+                out.append((" ".join(signed), 1.0 / len(_KINDS[t]) if p else 1.0))
+    return out
+
+
 class ToxicityModel:
     def __init__(self, bias: float, weights: dict[str, float]):
         self.bias, self.weights = bias, weights
@@ -67,20 +94,27 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(y: np.ndarray, begin: np.ndarray, index: np.ndarray, size: int, swaps: list[tuple[int, int, float]], sparsity: np.ndarray | float = 0.0, fairness: float = FAIRNESS, ridge: float = 0.0, steps: int = 400) -> tuple[float, np.ndarray]:
+def train(y: np.ndarray, begin: np.ndarray, index: np.ndarray, size: int, swaps: list[tuple[list[int], list[float], float]], sparsity: np.ndarray | float = 0.0, fairness: float = FAIRNESS, ridge: float = 0.0, steps: int = 400) -> tuple[float, np.ndarray]:
     """Bias and weights of the logistic model of least mean loss, plus sparsity * |w|, plus
-    fairness * the mean squared score change of swaps (a, b, share of texts): w_a - w_b, or
-    w_a for b < 0, plus ridge * w^2 / 2. Row r has the features index[begin[r]:begin[r + 1]], each once. Fast
-    proximal gradient steps."""
+    fairness * the sum over swaps (features, signs, share of texts) of share times the squared
+    change of the score before the logistic, plus ridge * w^2 / 2. Row r has the features
+    index[begin[r]:begin[r + 1]], each once. Fast proximal gradient steps."""
     n = len(y)
     of = np.repeat(np.arange(n), np.diff(begin))
-    a, b, share = (np.array(x) for x in zip(*swaps, strict=True)) if swaps else (np.zeros(0, int),) * 3
+    swaps = [s for s in swaps if len(s[0])]
+    f = np.concatenate([np.array(s[0], np.int64) for s in swaps]) if swaps else np.zeros(0, np.int64)
+    sign = np.concatenate([np.array(s[1], float) for s in swaps]) if swaps else np.zeros(0)
+    swap = np.repeat(np.arange(len(swaps)), [len(s[0]) for s in swaps])
+    share = np.array([s[2] for s in swaps])
     rate = y.mean().clip(1e-6, 1 - 1e-6) if n else 0.5
     w, bias = np.zeros(size), float(np.log(rate / (1 - rate)))
     seen = np.bincount(index, minlength=size) / max(n, 1)
-    # a diagonal bound on curvature, a feature's own share of rows times the features of a row
+    # a diagonal bound on curvature: a feature's own share of rows times the features of a row, and
+    # its swaps' shares times the features that change with it
     per_row = max(1.0, float(np.diff(begin).mean()) if n else 1.0)
-    step = 1 / (ridge + 0.25 * (seen * per_row + 1e-3) + 4 * fairness * np.bincount(np.r_[a, b[b >= 0]].astype(int), np.r_[share, share[b >= 0]], size))
+    changed = np.bincount(swap, minlength=len(swaps))
+    with_it = np.bincount(f, (share * changed)[swap], size) if len(f) else np.zeros(size)
+    step = 1 / (ridge + 0.25 * (seen * per_row + 1e-3) + 2 * fairness * with_it)
     was, t = w.copy(), 1.0
     for _ in range(steps if n else 0):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -88,10 +122,9 @@ def train(y: np.ndarray, begin: np.ndarray, index: np.ndarray, size: int, swaps:
         z = bias + np.bincount(of, v[index], n)
         g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         grad = np.bincount(index, g[of], size) / n + ridge * v
-        if len(a):
-            change = v[a] - np.where(b >= 0, v[b], 0)
-            np.add.at(grad, a, 2 * fairness * share * change)
-            np.add.at(grad, b[b >= 0], -2 * fairness * (share * change)[b >= 0])
+        if len(f):
+            change = np.bincount(swap, sign * v[f], len(swaps))
+            grad += 2 * fairness * np.bincount(f, sign * (share * change)[swap], size)
         was, u = w, v - step * grad
         w = np.sign(u) * np.maximum(np.abs(u) - step * sparsity, 0)
         bias -= 1.0 * g.mean()
@@ -99,11 +132,15 @@ def train(y: np.ndarray, begin: np.ndarray, index: np.ndarray, size: int, swaps:
     return bias, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS, words: int = WORDS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS) -> ToxicityModel:
     """A model of labels(doc_id, toxic) over the texts of docs. Fitted on a bounded sample:
-    ``rows`` labelled rows, ``words`` words (those whose shares in the two classes differ most
-    surely). Rows with a null label or without their text are left out; without any row, or
-    of one class alone, the model is its rate."""
+    ``rows`` labelled rows. Rows with a null label or without their text are left out; without
+    any row, or of one class alone, the model is its rate.
+
+    All features of the sample count. Those too rare to get a weight whatever the fit does are
+    not gathered: a gradient is at most a feature's share of rows, which must exceed its
+    penalty. Of the words that the sparse fit chooses the weights are fitted anew.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
@@ -111,32 +148,34 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
 
     def split(batches):
         for b in slices(batches, "text", 1 << 20):
-            found = [sorted(features_of(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+            words = [set(words_of(t)) for t in b.column("text").to_pylist()]
+            found = pa.array([sorted(features(w)) for w in words], pa.list_(pa.string()))
+            swaps = pa.array([[{"change": c, "weight": x} for c, x in swaps_of(w)] for w in words], pa.list_(pa.struct([("change", pa.string()), ("weight", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), found, swaps], ["doc_id", "toxic", "words", "swaps"])
 
     sample = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # ``rows`` rows at most
         .select("doc_id", "toxic", "text")
-        .mapInArrow(split, "doc_id long, toxic int, words array<string>")
+        .mapInArrow(split, "doc_id long, toxic int, words array<string>, swaps array<struct<change:string,weight:double>>")
     )
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = total["n"], total["pos"]
-    terms = [k.split() for k in IDENTITY_TERMS]
     if not n or not 0 < pos < n:
         rate = (pos + 0.5) / (n + 2)
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
-    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where("n >= 5")
-    share = F.col("n") / n
-    gap = F.abs(F.col("pos") / pos - (F.col("n") - F.col("pos")) / (n - pos)) / F.sqrt(share * (1 - share) + 1e-9)
-    named = F.col("word").isin([t for k in terms for t in k])
-    top = counts.orderBy(F.desc(named.cast("int")), F.desc(gap), "word").limit(words).select("word").collect()
-    vocabulary = {r["word"]: i for i, r in enumerate(top)}
-    ids = F.broadcast(spark.createDataFrame(list(vocabulary.items()), "word string, i int"))
+    counts = written(sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    different = counts.count()
+    prior = (pos / n) * (1 - pos / n)
+    least = SPARSITY**2 * 2 * np.log(different + 1) * prior
+    named = F.col("word").isin(sorted(set().union(*_FEATURES.values())))
+    vocabulary = counts.where((F.col("n") > float(least)) | named).select("word").toArrow().column("word").to_pylist()
+    vocabulary = {w: i for i, w in enumerate(sorted(vocabulary))}
+    ids = written(spark.createDataFrame(pa.table({"word": list(vocabulary), "i": pa.array(range(len(vocabulary)), pa.int32())})))
     lists = (
         sample.select(F.monotonically_increasing_id().alias("r"), "toxic", "words")
         .select("r", "toxic", F.explode_outer("words").alias("word"))
-        .join(ids, "word", "left")  # ``words`` rows at most
+        .join(ids, "word", "left")
         .groupBy("r")
         .agg(F.first("toxic").alias("toxic"), F.sort_array(F.collect_list("i")).alias("i"))
         .orderBy("r")
@@ -148,28 +187,33 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
     begin = offsets - offsets[0]
     index = column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
     present = np.bincount(index, minlength=len(vocabulary)) / len(y)
-    swaps = []
-    for kind in terms:
-        at = [vocabulary[t] for t in kind if t in vocabulary]
-        for k, a in enumerate(at):
-            swaps.append((a, -1, float(present[a])))  # swapped for a term that no text has
-            if len(at) > 1:
-                swaps += [(a, b, float(present[a]) / (len(at) - 1)) for b in at[:k] + at[k + 1 :]]
-    chance = SPARSITY * np.sqrt(2 * np.log(len(vocabulary) + 1) * present * (pos / n) * (1 - pos / n) / n)
-    bias, w = train(y, begin, index, len(vocabulary), swaps, chance)
+    changes = sample.select(F.explode("swaps").alias("s")).groupBy("s.change").agg(F.sum("s.weight").alias("weight")).orderBy("change").collect()
+
+    def swaps(place: np.ndarray) -> list[tuple[list[int], list[float], float]]:
+        """The counterfactuals over places; features without one have no weight to change."""
+        out = []
+        for r in changes:
+            at = [(int(place[vocabulary[x[1:]]]), 1.0 if x[0] == "+" else -1.0) for x in r["change"].split() if x[1:] in vocabulary]
+            at = [x for x in at if x[0] >= 0]
+            if at:
+                out.append(([x[0] for x in at], [x[1] for x in at], r["weight"] / n))
+        return out
+
+    chance = SPARSITY * np.sqrt(2 * np.log(different + 1) * present * prior / n)
+    bias, w = train(y, begin, index, len(vocabulary), swaps(np.arange(len(vocabulary))), chance)
     chosen_words = np.flatnonzero(w)
     place = np.full(len(vocabulary), -1)
     place[chosen_words] = np.arange(len(chosen_words))
     stay = place[index] >= 0
     begin = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(y)), np.diff(begin))[stay], minlength=len(y)))]
-    swaps = [(int(place[a]), int(place[b]) if b >= 0 else -1, s) for a, b, s in swaps if place[a] >= 0 and (b < 0 or place[b] >= 0)]
-    bias, w = train(y, begin, place[index[stay]], len(chosen_words), swaps, ridge=RIDGE)
+    bias, w = train(y, begin, place[index[stay]], len(chosen_words), swaps(place), ridge=RIDGE)
     names = list(vocabulary)
     return ToxicityModel(bias, {names[i]: float(v) for i, v in zip(chosen_words, w, strict=True) if v})
 
 
 def predict(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The columns ``keep`` of docs with score (0 to 1) and predicted (1 if score >= threshold).
+    """The columns ``keep`` of docs with score (0 to 1) and predicted (1 if score >= threshold);
+    of ``keep``, columns of these names go.
 
     Whole texts count. A null or empty text has the score of no words. Repeated rows get
     the same score; an empty table gives no rows. A pure map; the model, of bounded size,
@@ -177,15 +221,15 @@ def predict(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("score", "predicted")]
     shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    source = docs.select(*keep, F.col(text).cast("string").alias("__toxicity_text"))
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
 
     def run(batches):
         m = shared.value
-        for b in slices(batches, "__text", 1 << 21):
-            score = np.array([m.score(t) for t in b.column("__text").to_pylist()])
+        for b in slices(batches, "__toxicity_text", 1 << 21):
+            score = np.array([m.score(t) for t in b.column("__toxicity_text").to_pylist()])
             cols = [b.column(c) for c in keep] + [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "score", "predicted"])
 

@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,12 +143,72 @@ def test_swaps_pull_neutral_terms_together():
         y.append(t)
     begin = np.cumsum([0, *map(len, rows)])
     index = np.array([i for f in rows for i in f])
-    swaps = [(1, 2, 0.25), (2, 1, 0.25), (1, -1, 0.25), (2, -1, 0.25)]
+    swaps = [([1, 2], [1.0, -1.0], 0.25), ([2, 1], [1.0, -1.0], 0.25), ([1], [1.0], 0.25), ([2], [1.0], 0.25)]
     _, free = toxicity.train(np.array(y, float), begin, index, 3, [], fairness=0)
     _, held = toxicity.train(np.array(y, float), begin, index, 3, swaps, fairness=10)
     assert free[1] - free[2] > 1 and abs(held[1] - held[2]) < 0.15 and abs(held[1]) < 0.3 and held[0] > 3
 
 
+def test_swaps_are_of_whole_texts():
+    """Each counterfactual is what the text's features and the swapped text's differ in."""
+    text = "the muslims and the muslim women live here"
+    words = set(toxicity.words_of(text))
+    want = Counter()
+    for t in sorted(words.intersection(toxicity._KINDS)):
+        partners = toxicity._KINDS[t]
+        for p in [None, *partners]:
+            other = toxicity.features((words - {t}) | ({p} if p else set()))
+            base = toxicity.features(words)
+            change = [f"+{f}" for f in sorted(base - other)] + [f"-{f}" for f in sorted(other - base)]
+            want[" ".join(change)] += 1 / len(partners) if p else 1
+    got = Counter()
+    for c, x in toxicity.swaps_of(words):
+        got[c] += x
+    want.pop("", None)
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+    assert any("+muslims" in c for c in want) and any("musl*" in c for c, _ in toxicity.swaps_of({"muslims"}))
+
+
+def test_neutral_mentions_score_alike_and_insults_high(spark):
+    """fit and predict with production parameters on texts where toxic ones name one group far
+    more often: a neutral mention stays within 0.02 of its swap, stems included."""
+    rng = random.Random(7)
+    filler = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(3000):
+        bad = rng.random() < 0.2
+        w = rng.choices(filler, k=rng.randint(8, 30))
+        if bad and rng.random() < 0.95:
+            w.insert(rng.randrange(len(w)), rng.choice(["idiots", "scumbag", "worthless"]))
+        if rng.random() < (0.6 if bad else 0.1):
+            w.insert(rng.randrange(len(w)), "muslims")
+        elif rng.random() < 0.3:
+            w.insert(rng.randrange(len(w)), "christians")
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    m = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = {t: m.score(f"the {t} live here") for t in ("muslims", "christians", "jews", "muslim", "people")}
+    assert max(score.values()) - min(score.values()) < 0.02, score
+    assert all(m.score(f"the {t} are {x}") > 0.8 for t in ("muslims", "christians") for x in ("idiots", "worthless"))
+    right = [(m.score(t) >= 0.3) == bool(y) for (_, t), (_, y) in zip(docs, labels, strict=True)]
+    assert np.mean(right) > 0.97
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    """The query's scores from the fitted weights, feature by feature."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    from tarnwell.llm.queries import QUERIES
+
+    for r in QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.01").collect():
+        words = {w for w in re.findall(r"[^\W\d_]+", (text[r.doc_id] or "").lower())}
+        own = {f for w in words for f in [w, *[w[:k] + "*" for k in toxicity.STEMS if len(w) > k]]}
+        z = m.bias + math.fsum(m.weights[f] for f in own if f in m.weights)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
 def test_toxicity_hard_cases(spark):
     docs = hard_documents(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in range(4, 12)] + [(None, 1), (5, None)], "doc_id long, toxic int")
@@ -157,5 +218,9 @@ def test_toxicity_hard_cases(spark):
     by = {r.doc_id: r.score for r in got}
     assert by[1] == by[2] == by[3]
     assert toxicity.predict(no_documents(spark), m).count() == 0
+    clash = docs.withColumn("score", F.lit("z")).withColumn("predicted", F.lit("z"))
+    again = toxicity.predict(clash, m, keep=["doc_id", "score", "predicted"])
+    assert again.columns == ["doc_id", "score", "predicted"] and {(r.doc_id, r.score) for r in again.collect()} == {(r.doc_id, r.score) for r in got}
+    assert by[5] == by[6] and len({r.score for r in got if r.doc_id in (5, 6)}) == 1
     one = toxicity.fit(docs, labels.where("toxic = 0"))
     assert not one.weights and toxicity.fit(no_documents(spark), labels).weights == {}
