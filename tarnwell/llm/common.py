@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where it is
-    unset (tests on one machine) a temporary folder that is then set as such."""
+    unset, on one machine only, a temporary folder that is then set as such."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or ""
     has = sc._jsc.sc().getCheckpointDir()
     if not has.isDefined():
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarnwell-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 

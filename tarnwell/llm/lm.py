@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import bounded_batches, slices, written
 
 #: Bytes of context, and the most nodes of a trie: those seen least often are left out, all
-#: of one count at once, until the rest are no more.
+#: of about one count at once, until the rest are no more.
 ORDER, NODES = 5, 1_200_000
 #: Words whose counts a task holds; those of the others are joined.
 WORDS = 150_000
 #: A text's end and what stands before its begin are bytes that UTF-8 never holds; so all
 #: symbols but BEGIN can follow.
 END, BEGIN, SYMBOLS = 0xFF, 0xFE, 255
+SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -165,11 +166,27 @@ class PPM:
         return np.add.reduceat(got, np.cumsum(size) - size) if len(size) else np.zeros(0)
 
 
+#: Counts are told apart in so many steps for each power of e: each count up to 64 by itself.
+_BIN = "cast(floor(ln(n) * 64) as int)"
+
+
+def frequent(counts: DataFrame, most: int) -> int:
+    """The least step of _BIN such that no more than ``most`` rows of counts(n) are at it or above;
+    one past the highest if even those are more. At most 64 * ln(2**63) sums reach the driver."""
+    least, kept = 64 * 64, 0
+    for r in sorted(counts.groupBy(F.expr(_BIN).alias("c")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["c"]):
+        kept += r["m"]
+        if kept > most:
+            break
+        least = r["c"]
+    return least
+
+
 def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
     """The model of column ``text`` of texts (binary). Each task counts its own grams of the
     highest order; sums over all, and over shorter contexts, are partial aggregations. The
     driver gets at most ``nodes`` grams: all that were seen at least so often that no more
-    remain."""
+    remain; their sums by context, no more, hold the counts of all."""
 
     def count(batches):
         parts, held = [], 0
@@ -201,17 +218,11 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
     level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(int(_mask(k + 1).view(np.int64)))).alias("g")) for k in range(order)]))
     lower = full.select(level.alias("x"), "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n"))
     all_ = written(lower.select("k", F.col("g").alias("gram"), "n").unionByName(full.select(F.lit(order).alias("k"), "gram", "n")))
-    # a histogram over counts gives the least count of which no more than ``nodes`` are left
-    hist = sorted(((r["c"], r["m"]) for r in all_.groupBy(F.least("n", F.lit(100_000)).alias("c")).agg(F.count("*").alias("m")).collect()), reverse=True)
-    least, kept = 1, 0
-    for c, m in hist:
-        if kept + m > nodes and kept:
-            break
-        least, kept = c, kept + m
-    got = all_.where(F.col("n") >= least).toArrow()
+    least = frequent(all_, nodes)
+    got = all_.where(F.expr(_BIN) >= least).toArrow()
     # sums of all counts of the contexts that are left, followers left out included
     context = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.shiftrightunsigned("gram", 8))
-    sums = all_.groupBy("k", context.alias("context")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("most") >= least).select("k", "context", "n").toArrow()
+    sums = all_.groupBy("k", context.alias("context")).agg(F.sum("n").alias("n"), F.max(F.expr(_BIN)).alias("most")).where(F.col("most") >= least).select("k", "context", "n").toArrow()
 
     def split(t, column):
         k, key, n = (t.column(c).to_numpy() for c in ("k", column, "n"))
@@ -221,7 +232,8 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
 
 
 def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, text: str = "text", order: int = ORDER, nodes: int = NODES) -> DataFrame:
-    """The columns ``keep`` of docs with n_tokens, n_known, train_tokens, base_score and score.
+    """The columns ``keep`` of docs with n_tokens, n_known, train_tokens, base_score and score;
+    of ``keep``, columns of these names go.
 
     Both models learn from the texts of ``training``. score is the PPM model's log10
     probability of a text. base_score is that of its words (lower-cased A-Z, cut at ASCII
@@ -234,7 +246,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in SCORES]
     learn = training.select(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     model = spark.sparkContext.broadcast(train(learn, order, nodes))
 
@@ -260,12 +272,8 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, different = sums["n"] + texts, sums["v"] + (1 if texts else 0)
     below = math.log10(total + 0.5 * (different + 1))
-    least, kept = 1, 0
-    for r in sorted(words.groupBy(F.least("n", F.lit(100_000)).alias("c")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["c"]):
-        if kept + r["m"] > WORDS and kept:
-            break
-        least, kept = r["c"], kept + r["m"]
-    common = words.where(F.col("n") >= least).toArrow()
+    least = frequent(words, WORDS)
+    common = words.where(F.expr(_BIN) >= least).toArrow()
     table = dict(zip(common.column("word").to_pylist(), (np.log10(common.column("n").to_numpy() + 0.5) - below).tolist(), strict=True))
     known = spark.sparkContext.broadcast(table)
     of_end = math.log10(texts + 0.5) - below
@@ -299,7 +307,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
     rare = first.select("__row", F.explode("__rare").alias("word")).groupBy("word", "__row").agg(F.count("*").alias("times"))
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - below
     joined = (
-        rare.join(words.where(F.col("n") < least), "word", "left")
+        rare.join(words.where(F.expr(_BIN) < least), "word", "left")
         .groupBy("__row")
         .agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
     )

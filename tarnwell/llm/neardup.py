@@ -13,12 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tarnwell.llm.common import bounded_batches, components, written
 from tarnwell.llm.vectors import packed, units
 
-#: Vectors of a tile; a tile and its partner are what a task holds.
-TILE = 8192
+#: Vectors of a tile, and bytes of one as double; a group of tiles and one partner are what a
+#: task holds.
+TILE, TILE_BYTES = 8192, 8 << 20
+#: Tiles of a group at most: a group meets a group in one task, so that a tile is shipped once
+#: for as many meetings.
+GROUP = 8
 #: The axes and the boxes are fitted on at most so many numbers of vectors of least hash.
 SAMPLE = 2_000_000
 #: Leading axes that boxes are cut along, and vectors of the sample in a box at least.
@@ -96,7 +101,7 @@ def pairs_of(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, thres
             if len(i):
                 edge = np.flatnonzero(acc < threshold + NEAR)
                 if len(edge):
-                    p, q = ua[i[edge]], ub[j[edge]]
+                    p, q = ua[i[edge]].astype(np.float64), ub[j[edge]].astype(np.float64)
                     acc[edge] = np.einsum("nd,nd->n", p, q) / np.sqrt(np.einsum("nd,nd->n", p, p) * np.einsum("nd,nd->n", q, q))
                 ok = acc >= threshold
                 if ok.any():
@@ -139,13 +144,15 @@ class Meeting:
 _ROW = [("id", "<i8"), ("n", "<i8"), ("tid", "V16")]
 
 
-def _links_of(classes: DataFrame, dim: int, count: int, threshold: float) -> DataFrame:
+def _links_of(classes: DataFrame, dim: int, count: int, threshold: float, single: bool = False) -> DataFrame:
     """u, v, tid, links: edges (a forest of each meeting of tiles) and parts of link counts
-    of the classes(id, n, tid, body) of one dimension."""
+    of the classes(id, n, tid, body) of one dimension. ``single``: all components are floats of
+    single precision and are shipped as such."""
+    tile = max(1, min(TILE, TILE_BYTES // (8 * dim)))
     sample = classes.orderBy("tid").limit(max(1000, SAMPLE // dim)).select("body").collect()
     x = np.frombuffer(b"".join(bytes(r["body"]) for r in sample)).reshape(-1, dim)
-    axes = Axes(x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True), -(-count // TILE))
-    record = np.dtype([*_ROW, ("v", "<f8", dim)])
+    axes = Axes(x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True), -(-count // tile))
+    record = np.dtype([*_ROW, ("v", "<f4" if single else "<f8", dim)])
 
     def unit(v):
         v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -169,15 +176,18 @@ def _links_of(classes: DataFrame, dim: int, count: int, threshold: float) -> Dat
     bounds = boxed.groupBy("box").agg(F.count("*").alias("rows"), *[f(F.col("lead")[k]).alias(f"{name}{k}") for k in range(m) for name, f in (("low", F.min), ("high", F.max))]).orderBy("box").collect()
     low = np.array([[r[f"low{k}"] for k in range(m)] for r in bounds])
     high = np.array([[r[f"high{k}"] for k in range(m)] for r in bounds])
-    parts = [int(-(-r["rows"] // TILE)) for r in bounds]
+    parts = [int(-(-r["rows"] // tile)) for r in bounds]
+    first = np.cumsum([0, *parts]).tolist()  # tiles are numbered box by box
     far = 2 - 2 * threshold + NEAR
     meet = []
     for i in range(len(bounds)):
         gap = np.maximum(np.maximum(low[i:] - high[i], low[i] - high[i:]), 0)
         for j in np.flatnonzero((gap**2).sum(axis=1) <= far) + i:
-            meet.append((int(bounds[i]["box"]), int(bounds[j]["box"]), parts[i], int(parts[j])))
+            meet.append((int(bounds[i]["box"]), int(bounds[j]["box"]), first[i], first[i + 1] - 1, first[j], first[j + 1] - 1))
+    meets = frozenset((m[0], m[1]) for m in meet)
+    group = min(GROUP, max(1, first[-1] // 3))
     spark = classes.sparkSession
-    sizes = F.broadcast(spark.createDataFrame([(int(r["box"]), p) for r, p in zip(bounds, parts, strict=True)], "box int, parts int"))  # a row per box
+    sizes = F.broadcast(spark.createDataFrame([(int(r["box"]), p, f) for r, p, f in zip(bounds, parts, first, strict=False)], "box int, parts int, first long"))  # a row per box
 
     def to_tiles(batches):
         for rows in units(batches, 2):
@@ -185,49 +195,66 @@ def _links_of(classes: DataFrame, dim: int, count: int, threshold: float) -> Dat
             out["id"], out["n"] = [r[2] for r in rows], [r[3] for r in rows]
             out["tid"] = np.frombuffer(b"".join(r[4] for r in rows), "V16")
             out["v"] = np.frombuffer(b"".join(r[5] for r in rows)).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([rows[0][1]], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["box", "part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([rows[0][1]], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["box", "tile", "blob"])
 
     tiles = written(
         boxed.join(sizes, "box")
-        .select("box", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int").alias("part"), "id", "n", "tid", "body")
-        .repartition("box", "part")
-        .sortWithinPartitions("box", "part")
-        .mapInArrow(to_tiles, "box int, part int, blob binary")
+        .select("box", (F.col("first") + F.pmod(F.xxhash64("tid"), F.col("parts"))).alias("tile"), "id", "n", "tid", "body")
+        .repartition("box", "tile")
+        .sortWithinPartitions("box", "tile")
+        .mapInArrow(to_tiles, "box int, tile long, blob binary")
     )
-    pairs = spark.createDataFrame(meet, "a int, b int, na int, nb int")
-    pairs = (
-        pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .where("a < b or i <= j")
-        .select("a", "i", "b", "j")
-    )
-    left = pairs.join(tiles.select(F.col("box").alias("a"), F.col("part").alias("i"), "blob"), ["a", "i"]).select("a", "i", "b", "j", F.lit(0).alias("side"), "blob")
-    right = pairs.where("a <> b or i <> j").join(tiles.select(F.col("box").alias("b"), F.col("part").alias("j"), "blob"), ["b", "j"]).select("a", "i", "b", "j", F.lit(1).alias("side"), "blob")
+    pairs = spark.createDataFrame(meet, "a int, b int, a0 long, a1 long, b0 long, b1 long")
+    pairs = pairs.withColumn("i", F.explode(F.sequence("a0", "a1"))).withColumn("j", F.explode(F.sequence("b0", "b1"))).where("i <= j")
+    pairs = pairs.select(F.expr(f"i div {group}").alias("g"), F.expr(f"j div {group}").alias("h"), "i", "j")
+    # a group with itself is one side
+    side = F.when(F.col("g") == F.col("h"), 0).otherwise(1)
+    wanted = pairs.select("g", "h", F.lit(0).alias("side"), F.col("i").alias("tile")).unionByName(pairs.select("g", "h", side.alias("side"), F.col("j").alias("tile"))).distinct()
 
     def to_links(batches):
         shape = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("tid", pa.binary()), ("links", pa.int64())])
-        for rows in units(batches, 4):
-            a = np.frombuffer(rows[0][5], record)
-            same = rows[0][:2] == rows[0][2:4]
-            b = a if same else np.frombuffer(rows[1][5], record)
-            ra = unit(a["v"]) @ axes.turn
-            rb = ra if same else unit(b["v"]) @ axes.turn
-            m = Meeting(a, None if same else b)
-            for i, j in pairs_of(ra, rb, a["v"], b["v"], threshold, axes.first, same):
-                m.add(i, j)
-            u, v = m.forest()
+
+        def edges(u, v):
             for lo in range(0, len(u), 100_000):
                 n = len(u[lo : lo + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + n]), pa.array(v[lo : lo + n]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=shape)
-            more_a, more_b = m.more_a.astype(np.int64), m.more_b.astype(np.int64)
-            for x, more in [(a, more_a + more_b)] if same else [(a, more_a), (b, more_b)]:
-                at = np.flatnonzero(more)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([t.tobytes() for t in x["tid"][at]], pa.binary()), pa.array(more[at])], schema=shape)
+
+        def counts(x, more):
+            at = np.flatnonzero(more)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([t.tobytes() for t in x["tid"][at]], pa.binary()), pa.array(more[at].astype(np.int64))], schema=shape)
+
+        def meeting(x, rx, y, ry, same):
+            m = Meeting(x, None if same else y)
+            for i, j in pairs_of(rx, ry, x["v"], y["v"], threshold, axes.first, same):
+                m.add(i, j)
+            yield from edges(*m.forest())
+            if same:
+                yield from counts(x, m.more_a + m.more_b)
+            else:
+                yield from counts(x, m.more_a)
+                yield from counts(y, m.more_b)
+
+        held, now = [], None
+        for b in batches:
+            for g, h, side, _, box, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (g, h) != now:
+                    held, now = [], (g, h)
+                x = np.frombuffer(blob, record)
+                rx = unit(x["v"].astype(np.float64)) @ axes.turn
+                for was, y, ry in held if side or g == h else ():
+                    if (was, box) in meets:
+                        yield from meeting(y, ry, x, rx, False)
+                if not side:
+                    held.append((box, x, rx))
+                    if g == h:
+                        yield from meeting(x, rx, x, rx, True)
 
     return (
-        left.unionByName(right)
-        .repartition("a", "i", "b", "j")
-        .sortWithinPartitions("a", "i", "b", "j", "side")
+        wanted.join(tiles, "tile")
+        .select("g", "h", "side", "tile", "box", "blob")
+        .repartition("g", "h")
+        .sortWithinPartitions("g", "h", "side", "tile")
         .mapInArrow(to_links, "u long, v long, tid binary, links long")
     )
 
@@ -247,9 +274,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vector: str = "embe
     base = written(packed(rows, vector, keep_zero=False))
     classes = base.where("dim > 0").groupBy("dim", "tid").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.max("body").alias("body"))
     classes = written(classes)
+    single = isinstance(rows.schema[vector].dataType.elementType, FloatType)
     links = None
     for r in classes.groupBy("dim").count().orderBy("dim").collect():
-        got = _links_of(classes.where(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold)
+        got = _links_of(classes.where(F.col("dim") == r["dim"]), r["dim"], r["count"], threshold, single)
         links = got if links is None else links.unionByName(got)
     if links is None:
         outcome = classes.select("tid", F.col("id").alias("root"), F.lit(0).cast("long").alias("links"), "n")

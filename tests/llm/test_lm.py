@@ -1,6 +1,7 @@
 """Language-model scores against plain models."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -67,6 +68,26 @@ def test_fewer_nodes_still_make_a_distribution(spark):
     assert lm.PPM([(np.zeros(0, np.uint64), np.zeros(0))] * 3).scores([b"ab"])[0] == pytest.approx(-3 * math.log10(255))
 
 
+@pytest.mark.parametrize("nodes", [0, 5, 30])
+def test_nodes_are_a_true_bound(spark, nodes):
+    """Grams seen over 100,000 times are cut like others, down to none; what is left is a
+    distribution."""
+    rng = random.Random(2)
+    text = "".join(rng.choices("abcd", k=1_000_000)).encode()
+    m = lm.train(spark.createDataFrame([(text,)], "text binary"), 3, nodes=nodes)
+    assert sum(len(g.keys) for g in m.grams) <= nodes
+    for ctx in (b"", b"a", b"abc", b"zz"):
+        p = [10 ** m.logs(lm.gram_keys([ctx + bytes([c])], 3)[0][len(ctx) : len(ctx) + 1])[0] for c in range(256) if c not in (lm.END, lm.BEGIN)]
+        end = 10 ** m.logs(lm.gram_keys([ctx], 3)[0][-1:])[0]
+        assert abs(sum(p) + end - 1) < 1e-6
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "z", "z"), (1, "a b", "z", "z")], "doc_id long, text string, score string, n_tokens string")
+    got = lm.score(docs, docs, keep=["doc_id", "score", "n_tokens"])
+    assert got.columns == ["doc_id", *lm.SCORES] and len({tuple(r) for r in got.collect()}) == 1
+
+
 def plain_base(train, texts):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
