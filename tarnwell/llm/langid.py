@@ -28,6 +28,8 @@ TEXTS, STRETCHES, CHARACTERS = 48, 6, 100
 WINDOW = 4096
 #: Bytes over which the score weighs what languages' codes are longer.
 SPREAD = 24
+#: Entries of a table of steps with a place for each byte of a language; larger models are hashed.
+DENSE = 1 << 26
 SPACE = 0x20
 
 
@@ -89,24 +91,48 @@ class LanguageModel:
     def __init__(self, samples: dict[str, list[str]]):
         kinds = _kinds()
         self.letter, self.low = kinds == 2, _lowered(kinds)
-        self.names, self.bits, self.roots, self.begin = [], [], [], []
-        keys, to, base = [], [], 0
-        for name in sorted(samples):
-            own = self.letters([" ".join(samples[name])])[0]
-            if not len(own):
-                continue
-            steps = SuffixAutomaton(own.tolist()).next
-            keys += [((base + s) << 8) | c for s, by in enumerate(steps) for c in by]
-            to += [base + q for by in steps for q in by.values()]
-            begin = np.full(256, base, np.int64)  # where a phrase that begins with a byte goes
-            for c, q in steps[0].items():
-                begin[c] = base + q
-            self.names.append(name)
-            self.bits.append(math.log2(len(own) + 1))
+        own = {k: self.letters([" ".join(v)])[0] for k, v in sorted(samples.items())}
+        self.names = [k for k, v in own.items() if len(v)]
+        self.bits = [math.log2(len(own[k]) + 1) for k in self.names]
+        steps = [SuffixAutomaton(own[k].tolist()).next for k in self.names]
+        # a state is where its row of steps begins; a byte's place in the rows of a language, the
+        # last being that of bytes that its text lacks
+        self.place = np.zeros((len(steps), 256), np.int32)
+        widths = []
+        for place, k in zip(self.place, self.names, strict=True):
+            there = np.unique(own[k])
+            place[:] = len(there)
+            place[there] = np.arange(len(there))
+            widths.append(len(there) + 1)
+        self.dense = sum(len(x) * w for x, w in zip(steps, widths, strict=True)) <= DENSE
+        if not self.dense:
+            widths = [1] * len(steps)
+        self.roots, tables, keys, to, base = [], [], [], [], 0
+        self.begin = np.zeros((len(steps), 256), np.int64)  # where a phrase that begins with a byte goes
+        for x, w, place, begin in zip(steps, widths, self.place, self.begin, strict=True):
             self.roots.append(base)
-            self.begin.append(begin)
-            base += len(steps)
-        self.steps, self.to = Table(np.array(keys, np.uint64)), np.array(to, np.int64)
+            begin[:] = base
+            for c, q in x[0].items():
+                begin[c] = base + q * w
+            if self.dense:
+                t = np.full((len(x), w), -1, np.int32)
+                for state, by in enumerate(x):
+                    for c, q in by.items():
+                        t[state, place[c]] = base + q * w
+                tables.append(t.reshape(-1))
+            else:
+                keys += [((base + state) << 8) | c for state, by in enumerate(x) for c in by]
+                to += [base + q for by in x for q in by.values()]
+            base += len(x) * w
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.steps, self.to = Table(np.array(keys, np.uint64)), np.array(to, np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where bytes c lead from states (a row for each language), negative for nowhere."""
+        if self.dense:
+            return self.table.take(state + self.place.take(c, axis=1))
+        at = self.steps.find(((state.astype(np.int64) << 8) | c).view(np.uint64).reshape(-1)).reshape(state.shape)
+        return np.where(at < 0, -1, self.to.take(at))
 
     def letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of the texts' letters one after the other, each run of none being one SPACE and
@@ -135,18 +161,18 @@ class LanguageModel:
         doc, start, length = doc[by], start[by], length[by]
         live = len(doc) - np.searchsorted(length[::-1], np.arange(WINDOW), "right")  # lanes longer than t
         langs = len(self.names)
-        roots = np.array(self.roots, np.int64)[:, None]
-        begin = np.concatenate(self.begin) if langs else np.zeros(0, np.int64)
-        row = np.arange(langs)[:, None] << 8
+        roots = np.array(self.roots, np.int32)[:, None]
+        begin = self.begin.astype(np.int32)
         state = np.repeat(roots, len(doc), axis=1)
-        count = np.zeros(state.shape, np.int64)
+        count = np.zeros(state.shape, np.int32)
         for t in range(int(length[0]) if len(length) and langs else 0):
             m = int(live[t])
             c = s[start[:m] + t].astype(np.int64)
             now = state[:, :m]
-            at = self.steps.find(((now << 8) | c).view(np.uint64).reshape(-1)).reshape(now.shape)
-            count[:, :m] += (at < 0) | (now == roots)
-            state[:, :m] = np.where(at < 0, begin.take(row + c), self.to.take(at))
+            to = self.step(now, c)
+            new = to < 0
+            count[:, :m] += new | (now == roots)
+            state[:, :m] = np.where(new, begin.take(c, axis=1), to)
         return np.array([np.bincount(doc, n, len(texts)) for n in count], np.int64).reshape(langs, len(texts)).T, size, has
 
     def choose(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -48,9 +48,10 @@ SAMPLES = {
 }
 
 
-@pytest.mark.parametrize("window", [50, 4096])
-def test_fewest_normalised_phrases_win(spark, monkeypatch, window):
+@pytest.mark.parametrize(("window", "dense"), [(50, 1 << 26), (4096, 1 << 26), (4096, 0)])
+def test_fewest_normalised_phrases_win(spark, monkeypatch, window, dense):
     """predict against a plain parser, in nine languages of eight scripts."""
+    monkeypatch.setattr(langid, "DENSE", dense)
     monkeypatch.setattr(langid, "WINDOW", window)
     rng = random.Random(3)
     m = langid.LanguageModel(SAMPLES)
