@@ -12,8 +12,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tarnwell.llm.common import bounded_batches, slices, written
 
@@ -59,6 +61,12 @@ _KINDS = {t: [p for p in k.split() if p != t] for k in IDENTITY_TERMS for t in k
 _FEATURES = {t: features({t}) for t in _KINDS}
 
 
+def _hash(feature: str) -> int:
+    """The hash that Spark's xxhash64 gives a string."""
+    h = xxh64_intdigest(feature.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def swaps_of(words: set[str]) -> list[tuple[str, float]]:
     """Counterfactuals of a text's words: (what features the text has more, marked +, and less,
     marked -, than with one term swapped; weight). A term's swaps weigh 1 for the word that no
@@ -164,51 +172,50 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
     if not n or not 0 < pos < n:
         rate = (pos + 0.5) / (n + 2)
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
-    counts = written(sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    different = counts.count()
-    prior = (pos / n) * (1 - pos / n)
-    least = SPARSITY**2 * 2 * np.log(different + 1) * prior
-    named = F.col("word").isin(sorted(set().union(*_FEATURES.values())))
-    vocabulary = counts.where((F.col("n") > float(least)) | named).select("word").toArrow().column("word").to_pylist()
-    vocabulary = {w: i for i, w in enumerate(sorted(vocabulary))}
-    ids = written(spark.createDataFrame(pa.table({"word": list(vocabulary), "i": pa.array(range(len(vocabulary)), pa.int32())})))
-    lists = (
-        sample.select(F.monotonically_increasing_id().alias("r"), "toxic", "words")
-        .select("r", "toxic", F.explode_outer("words").alias("word"))
-        .join(ids, "word", "left")
-        .groupBy("r")
-        .agg(F.first("toxic").alias("toxic"), F.sort_array(F.collect_list("i")).alias("i"))
-        .orderBy("r")
-        .toArrow()
-    )
+    # features by their hashes; their names are asked for once they are chosen
+    lists = sample.select("toxic", F.transform("words", lambda w: F.xxhash64(w)).alias("f")).toArrow()
     y = lists.column("toxic").to_numpy().astype(float)
-    column = lists.column("i").combine_chunks()
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    begin = offsets - offsets[0]
-    index = column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
-    present = np.bincount(index, minlength=len(vocabulary)) / len(y)
+    column = lists.column("f").combine_chunks()
+    begin = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(column)))]
+    hashes, index, count = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    del lists, column
+    prior = (pos / n) * (1 - pos / n)
+    penalty = SPARSITY * np.sqrt(2 * np.log(len(hashes) + 1) * prior)
+    named = np.array(sorted(_hash(f) for f in set().union(*_FEATURES.values())), np.int64)
+    able = (np.sqrt(count) > penalty) | np.isin(hashes, named)
+
+    def among(stay: np.ndarray, begin: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """begin and index with the features that stay, numbered anew."""
+        place = np.cumsum(stay) - 1
+        held = stay[index]
+        before = np.r_[0, np.cumsum(held)]
+        return before[begin], place[index[held]]
+
+    begin, index = among(able, begin, index)
+    hashes, present = hashes[able], count[able] / n
     changes = sample.select(F.explode("swaps").alias("s")).groupBy("s.change").agg(F.sum("s.weight").alias("weight")).orderBy("change").collect()
 
-    def swaps(place: np.ndarray) -> list[tuple[list[int], list[float], float]]:
-        """The counterfactuals over places; features without one have no weight to change."""
+    def swaps(known: np.ndarray) -> list[tuple[list[int], list[float], float]]:
+        """The counterfactuals over places of known hashes; other features have no weight to change."""
         out = []
         for r in changes:
-            at = [(int(place[vocabulary[x[1:]]]), 1.0 if x[0] == "+" else -1.0) for x in r["change"].split() if x[1:] in vocabulary]
-            at = [x for x in at if x[0] >= 0]
-            if at:
-                out.append(([x[0] for x in at], [x[1] for x in at], r["weight"] / n))
+            parts = r["change"].split()
+            h = np.array([_hash(x[1:]) for x in parts], np.int64)
+            at = np.searchsorted(known, h)
+            ok = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h) if len(known) else np.zeros(len(h), bool)
+            if ok.any():
+                sign = np.array([1.0 if x[0] == "+" else -1.0 for x in parts])
+                out.append((at[ok].tolist(), sign[ok].tolist(), r["weight"] / n))
         return out
 
-    chance = SPARSITY * np.sqrt(2 * np.log(different + 1) * present * prior / n)
-    bias, w = train(y, begin, index, len(vocabulary), swaps(np.arange(len(vocabulary))), chance)
-    chosen_words = np.flatnonzero(w)
-    place = np.full(len(vocabulary), -1)
-    place[chosen_words] = np.arange(len(chosen_words))
-    stay = place[index] >= 0
-    begin = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(y)), np.diff(begin))[stay], minlength=len(y)))]
-    bias, w = train(y, begin, place[index[stay]], len(chosen_words), swaps(place), ridge=RIDGE)
-    names = list(vocabulary)
-    return ToxicityModel(bias, {names[i]: float(v) for i, v in zip(chosen_words, w, strict=True) if v})
+    bias, w = train(y, begin, index, len(hashes), swaps(hashes), penalty * np.sqrt(present / n))
+    stay = w != 0
+    begin, index = among(stay, begin, index)
+    hashes = hashes[stay]
+    bias, w = train(y, begin, index, len(hashes), swaps(hashes), ridge=RIDGE)
+    wanted = spark.createDataFrame([(int(h), float(x)) for h, x in zip(hashes, w, strict=True)], "h long, w double")
+    names = sample.select(F.explode("words").alias("word")).withColumn("h", F.xxhash64("word")).join(wanted, "h").groupBy("word").agg(F.max("w").alias("w"))
+    return ToxicityModel(bias, {r["word"]: r["w"] for r in names.orderBy("word").collect() if r["w"]})
 
 
 def predict(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, threshold: float = 0.3, text: str = "text") -> DataFrame:
