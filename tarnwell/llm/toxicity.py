@@ -24,6 +24,8 @@ ROWS = 20_000
 #: Strengths of the penalties on weights and on counterfactual changes. A weight's penalty
 #: is so many times what chance alone would move the most moved of all words.
 SPARSITY, FAIRNESS = 1.0, 10.0
+#: Features whose gradient without weights is at least so much of their penalty are tried first.
+STRONG = 0.6
 #: Once the words that count are chosen, their weights are fitted anew under this penalty on squares.
 RIDGE = 2e-4
 #: Lengths of the stems that count besides whole words, for languages that inflect or compound.
@@ -145,9 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
     ``rows`` labelled rows. Rows with a null label or without their text are left out; without
     any row, or of one class alone, the model is its rate.
 
-    All features of the sample count. Those too rare to get a weight whatever the fit does are
-    not gathered: a gradient is at most a feature's share of rows, which must exceed its
-    penalty. Of the words that the sparse fit chooses the weights are fitted anew.
+    All features of the sample count, but few get a weight. The fit holds those whose gradient
+    without weights comes near their penalty, and all of identity terms. Then the gradients of
+    all others are summed over the sample at the fitted weights; those beyond their penalty
+    join, until there are none, which is what makes it the fit of all features. Of the features
+    that are chosen the weights are fitted anew.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -166,33 +170,45 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
         .join(F.broadcast(chosen), "doc_id")  # ``rows`` rows at most
         .select("doc_id", "toxic", "text")
         .mapInArrow(split, "doc_id long, toxic int, words array<string>, swaps array<struct<change:string,weight:double>>")
+        .select(F.monotonically_increasing_id().alias("r"), "toxic", F.transform("words", lambda w: F.xxhash64(w)).alias("f"), "words", "swaps")
     )
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = total["n"], total["pos"]
     if not n or not 0 < pos < n:
         rate = (pos + 0.5) / (n + 2)
         return ToxicityModel(float(np.log(rate / (1 - rate))), {})
-    # features by their hashes; their names are asked for once they are chosen
-    lists = sample.select("toxic", F.transform("words", lambda w: F.xxhash64(w)).alias("f")).toArrow()
-    y = lists.column("toxic").to_numpy().astype(float)
-    column = lists.column("f").combine_chunks()
-    begin = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(column)))]
-    hashes, index, count = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    del lists, column
+    # features go by their hashes; their names are asked for once they are chosen
+    each = F.explode("f").alias("h")
+    stats = written(sample.select("toxic", each).groupBy("h").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")))
     prior = (pos / n) * (1 - pos / n)
-    penalty = SPARSITY * np.sqrt(2 * np.log(len(hashes) + 1) * prior)
+    penalty = float(SPARSITY * np.sqrt(2 * np.log(stats.count() + 1) * prior))  # times the root of a feature's rows
     named = np.array(sorted(_hash(f) for f in set().union(*_FEATURES.values())), np.int64)
-    able = (np.sqrt(count) > penalty) | np.isin(hashes, named)
 
-    def among(stay: np.ndarray, begin: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """begin and index with the features that stay, numbered anew."""
-        place = np.cumsum(stay) - 1
-        held = stay[index]
-        before = np.r_[0, np.cumsum(held)]
-        return before[begin], place[index[held]]
+    def hashes_of(found: DataFrame) -> np.ndarray:
+        return found.select("h").toArrow().column("h").to_numpy()
+
+    near = F.abs(F.col("n") * (pos / n) - F.col("pos")) >= STRONG * penalty * F.sqrt("n")
+    known = np.union1d(hashes_of(stats.where(near)), np.intersect1d(hashes_of(stats.where(F.col("h").isin(named.tolist()))), named))
+
+    def rows_with(known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers, labels, and begin and index of the places of the rows' features in known."""
+
+        def run(batches):
+            for b in batches:
+                column = b.column("f")
+                flat = column.flatten().to_numpy()
+                of = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(column)))
+                at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+                ok = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+                cut = np.r_[0, np.cumsum(np.bincount(of[ok], minlength=b.num_rows))]
+                at = at[ok].astype("<i4")
+                yield pa.RecordBatch.from_arrays([b.column("r"), b.column("toxic"), pa.array([at[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["r", "toxic", "at"])
+
+        got = sample.select("r", "toxic", "f").mapInArrow(run, "r long, toxic int, at binary").orderBy("r").toArrow()
+        bodies = got.column("at").to_pylist()
+        begin = np.r_[0, np.cumsum([len(x) // 4 for x in bodies])]
+        return got.column("r").to_numpy(), got.column("toxic").to_numpy().astype(float), begin, np.frombuffer(b"".join(bodies), "<i4").astype(np.int64)
 
-    begin, index = among(able, begin, index)
-    hashes, present = hashes[able], count[able] / n
     changes = sample.select(F.explode("swaps").alias("s")).groupBy("s.change").agg(F.sum("s.weight").alias("weight")).orderBy("change").collect()
 
     def swaps(known: np.ndarray) -> list[tuple[list[int], list[float], float]]:
@@ -208,10 +224,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
                 out.append((at[ok].tolist(), sign[ok].tolist(), r["weight"] / n))
         return out
 
-    bias, w = train(y, begin, index, len(hashes), swaps(hashes), penalty * np.sqrt(present / n))
+    while True:
+        r, y, begin, index = rows_with(known)
+        present = np.bincount(index, minlength=len(known))
+        bias, w = train(y, begin, index, len(known), swaps(known), penalty * np.sqrt(present) / n)
+        z = bias + np.bincount(np.repeat(np.arange(len(y)), np.diff(begin)), w[index], len(y))
+        left = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        left = F.broadcast(spark.createDataFrame([(int(i), float(g)) for i, g in zip(r, left, strict=True)], "r long, g double"))  # a row per row of the sample
+        beyond = sample.select("r", "f").join(left, "r").select("g", each).groupBy("h").agg(F.sum("g").alias("g"), F.count("*").alias("n"))
+        more = np.setdiff1d(hashes_of(beyond.where(F.abs("g") > 1.02 * penalty * F.sqrt("n"))), known)
+        if not len(more):
+            break
+        known = np.union1d(known, more)
     stay = w != 0
-    begin, index = among(stay, begin, index)
-    hashes = hashes[stay]
+    hashes, held = known[stay], stay[index]
+    begin, index = np.r_[0, np.cumsum(held)][begin], (np.cumsum(stay) - 1)[index[held]]
     bias, w = train(y, begin, index, len(hashes), swaps(hashes), ridge=RIDGE)
     wanted = spark.createDataFrame([(int(h), float(x)) for h, x in zip(hashes, w, strict=True)], "h long, w double")
     names = sample.select(F.explode("words").alias("word")).withColumn("h", F.xxhash64("word")).join(wanted, "h").groupBy("word").agg(F.max("w").alias("w"))
