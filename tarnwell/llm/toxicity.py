@@ -170,8 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ROWS
         .join(F.broadcast(chosen), "doc_id")  # ``rows`` rows at most
         .select("doc_id", "toxic", "text")
         .mapInArrow(split, "doc_id long, toxic int, words array<string>, swaps array<struct<change:string,weight:double>>")
-        .select(F.monotonically_increasing_id().alias("r"), "toxic", F.transform("words", lambda w: F.xxhash64(w)).alias("f"), "words", "swaps")
+        .select(F.monotonically_increasing_id().alias("r"), "toxic", "words", "swaps")
     )
+    sample = sample.withColumn("f", F.transform("words", lambda w: F.xxhash64(w)))
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = total["n"], total["pos"]
     if not n or not 0 < pos < n:
