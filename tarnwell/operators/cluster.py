@@ -87,10 +87,10 @@ def voter_states(status: DataFrame, answered: DataFrame, most_lag: int) -> DataF
 def group_health(voters: DataFrame) -> DataFrame:
     """AGG-27: per group, how many voters confirm the leader, and the verdict."""
     agreeing = F.count_if(F.col("first").isin("leading", "following"))
-    quorum = (F.floor(F.count("*") / 2) + 1).cast("long")
+    majority = (F.floor(F.count("*") / 2) + 1).cast("long")
     well = F.bool_and(F.col("state").isin("leading", "following"))
-    verdict = F.when(F.max("leader").isNull() | (agreeing < quorum), "unavailable").when(~well, "degraded").otherwise("healthy")
-    return voters.groupBy("grp").agg(F.max("leader").alias("leader"), agreeing.alias("agreeing"), quorum.alias("quorum"), verdict.alias("verdict"))
+    verdict = F.when(F.max("leader").isNull() | (agreeing < majority), "unavailable").when(~well, "degraded").otherwise("healthy")
+    return voters.groupBy("grp").agg(F.max("leader").alias("leader"), agreeing.alias("agreeing"), majority.alias("majority"), verdict.alias("verdict"))
 
 
 def discontiguous(log: DataFrame) -> DataFrame:
@@ -129,10 +129,10 @@ def in_force(log: DataFrame, conf: str) -> DataFrame:
 
 
 def proposal_outcome(proposed: DataFrame, applied: DataFrame) -> DataFrame:
-    """JOI-06: proposals(index, term) against what was applied there."""
-    a = applied.select("index", F.col("term").alias("applied_term"))
+    """JOI-06: proposals(grp, index, term) against what was applied there."""
+    a = applied.select("grp", "index", F.col("term").alias("applied_term"))
     outcome = F.when(F.col("applied_term").isNull(), "pending").when(F.col("applied_term") == F.col("term"), "applied").otherwise("lost")
-    return proposed.join(a, "index", "left").select("index", "term", outcome.alias("outcome"))
+    return proposed.join(a, ["grp", "index"], "left").select("grp", "index", "term", outcome.alias("outcome"))
 
 
 def compaction_point(snapshot: Column, retain: Column, durable: Column) -> Column:
@@ -204,6 +204,15 @@ def regressions(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("before", before).where(F.col(value) < F.col("before")).select("grp", "node", "at", "before", F.col(value).alias("after"))
 
 
+def stale_actions(messages: DataFrame) -> DataFrame:
+    """INV-R10: messages(grp, node, at, term, commit) of a term older than the node has seen that
+    changed its commit index."""
+    w = Window.partitionBy("grp", "node").orderBy("at")
+    seen = F.max("term").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    m = messages.withColumn("seen", seen).withColumn("before", F.lag("commit").over(w))
+    return m.where("term < seen and commit <> before").select("grp", "node", "at", "term", "seen")
+
+
 def executed_twice(executions: DataFrame) -> DataFrame:
     """INV-X2: requests that took effect at more than one index."""
     return executions.groupBy("client", "request").agg(F.count_distinct("index").alias("times")).where("times > 1")

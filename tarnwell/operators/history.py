@@ -157,36 +157,52 @@ class Register:
 
 
 def minimal(ops: list[dict], budget: int = BUDGET) -> list[dict]:
-    """LIN-05: fewer operations that fail for the same one: the culprit stays, without it all
-    is well, and what any read returned is still written by someone. Spans of operations are
-    left out while that holds, halving down to one."""
+    """LIN-05: fewer operations that end in the same violation, none of which can be spared.
+
+    The culprit is a read that nothing explains when it completes, so what begins later has no
+    part in it. Of the rest, writes go with all the reads of their value, as a value that was
+    read must have been written; whole clients are tried first, then values and single
+    operations from the last to begin backwards, until nothing more can go.
+    """
     whole = Register(ops, budget)
     if whole.verdict != "violation":
         return ops
-
-    def same_failure(some: list[dict]) -> bool:
-        if not any(o["id"] == whole.culprit for o in some):
-            return False
-        written = {o["value"] for o in some if o["kind"] == "put"}
-        if any(o["kind"] == "get" and o["outcome"] == "ok" and o["output"] not in written for o in some):
-            return False
-        return Register(some, budget).verdict == "violation" and Register([o for o in some if o["id"] != whole.culprit], budget).verdict == "ok"
-
-    if not same_failure(ops):
-        return ops
-    kept, span = list(ops), max(1, len(ops) // 2)
-    while True:
-        at, smaller = 0, False
-        while at < len(kept):
-            rest = kept[:at] + kept[at + span :]
-            if same_failure(rest):
-                kept, smaller = rest, True
-            else:
-                at += span
-        if not smaller:
-            if span == 1:
-                return kept
-            span //= 2
+    culprit = next(o for o in ops if o["id"] == whole.culprit)
+
+    def same(some: dict[int, dict]) -> bool:
+        got = Register(list(some.values()), budget)
+        return got.verdict == "violation" and got.culprit == whole.culprit
+
+    def without(some: dict[int, dict], gone: set[int]) -> dict[int, dict] | None:
+        """some less these and the reads that lose their last writer; None if the culprit goes."""
+        left = {i: o for i, o in some.items() if i not in gone}
+        values = {o["value"] for o in left.values() if o["kind"] == "put"}
+        lost = {o["value"] for o in some.values() if o["kind"] == "put"} - values
+        left = {i: o for i, o in left.items() if not (o["kind"] == "get" and o["outcome"] == "ok" and o["output"] in lost)}
+        return left if culprit["id"] in left else None
+
+    kept = {o["id"]: o for o in ops}
+    early = without(kept, {o["id"] for o in ops if o["invoke"] > culprit["complete"]})
+    if early is not None and same(early):
+        kept = early
+    clients: dict[str, set[int]] = {}
+    for o in kept.values():
+        clients.setdefault(o.get("client"), set()).add(o["id"])
+
+    def spare(units) -> bool:
+        """Leave out each unit that can go; whether any did."""
+        nonlocal kept
+        was = len(kept)
+        for unit in units:
+            fewer = without(kept, unit) if kept.keys() & unit else None
+            if fewer is not None and same(fewer):
+                kept = fewer
+        return len(kept) < was
+
+    spare(clients.values())
+    while spare([{o["id"]} for o in sorted(kept.values(), key=lambda o: -o["invoke"])]):
+        pass
+    return [o for o in ops if o["id"] in kept]
 
 
 _VERDICT = "history string, key string, ops long, verdict string, culprit long, visited long, counterexample array<long>"
@@ -198,7 +214,7 @@ def linearizability(h: DataFrame, budget: int = BUDGET, minimize: bool = False)
     operations are checked; keys are independent, and a task holds one at a time."""
 
     names = [f.split()[0] for f in _VERDICT.split(", ")]
-    needed = ["history", "key", "id", "kind", "value", "invoke", "complete", "outcome", "output", "fault"]
+    needed = ["history", "key", "id", "client", "kind", "value", "invoke", "complete", "outcome", "output", "fault"]
 
     def decide(rows: list[dict]) -> tuple:
         bad = [r["id"] for r in rows if r["fault"]]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,15 +51,24 @@ class Sessions:
 
 def decisions(commands: DataFrame, max_sessions: int = MAX_SESSIONS, max_unacked: int = MAX_UNACKED) -> DataFrame:
     """FSM-01 of commands(grp, index, op, client_id, request_id, acked_below, fp). Eviction
-    couples the sessions of a group, so a group is folded in order as a whole."""
+    couples the sessions of a group, so a group is folded in order: a task holds a batch of its
+    log and its session table, which the limits bound."""
+
+    kinds = pa.schema([("grp", pa.int64()), ("index", pa.int64()), ("decision", pa.string()), ("reported", pa.int64())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Sessions(max_sessions, max_unacked)
-        pdf = pdf.sort_values("index")
-        got = [s.decide(*r) for r in zip(pdf["index"], pdf["op"], pdf["client_id"], pdf["request_id"], pdf["acked_below"], pdf["fp"], strict=True)]
-        return pd.DataFrame({"grp": pdf["grp"].to_numpy(), "index": pdf["index"].to_numpy(), "decision": [g[0] for g in got], "reported": [g[1] for g in got]})
+    def fold(batches):
+        s, now = None, None
+        for b in batches:
+            grp = b.column("grp").to_pylist()
+            got = []
+            for g, *command in zip(grp, *(b.column(c).to_pylist() for c in ("index", "op", "client_id", "request_id", "acked_below", "fp")), strict=True):
+                if g != now or s is None:
+                    s, now = Sessions(max_sessions, max_unacked), g
+                got.append(s.decide(*command))
+            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), b.column("index").cast(pa.int64()), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64())], schema=kinds)
 
-    return commands.select("grp", "index", "op", "client_id", "request_id", "acked_below", "fp").groupBy("grp").applyInPandas(fold, DECISIONS)
+    c = commands.select(F.col("grp").cast("long").alias("grp"), "index", "op", "client_id", "request_id", "acked_below", "fp")
+    return c.repartition("grp").sortWithinPartitions("grp", "index").mapInArrow(fold, DECISIONS)
 
 
 def coupled(commands: DataFrame, max_sessions: int = MAX_SESSIONS, max_unacked: int = MAX_UNACKED) -> DataFrame:
@@ -89,6 +100,14 @@ def decisions_by_client(commands: DataFrame) -> DataFrame:
     return done.unionByName(commands.where("op = 'register'").select("grp", "index", F.lit("registered").alias("decision"), F.col("index").alias("reported")))
 
 
+def decide(commands: DataFrame, max_sessions: int = MAX_SESSIONS, max_unacked: int = MAX_UNACKED) -> DataFrame:
+    """FSM-01: ``decisions`` for the groups whose sessions are ``coupled``, which a fold in order
+    must decide, and windows by client for all others, whose clients decide alone."""
+    both = coupled(commands, max_sessions, max_unacked)
+    alone = decisions_by_client(commands.join(both, "grp", "left_anti"))
+    return decisions(commands.join(both, "grp", "left_semi"), max_sessions, max_unacked).unionByName(alone.select(F.col("grp").cast("long").alias("grp"), "index", "decision", "reported"))
+
+
 def applied_state(commands: DataFrame, decided: DataFrame) -> DataFrame:
     """FSM-03: live keys after the writes that were executed, by index."""
     done = decided.where("decision = 'executed'").select("grp", "index")
@@ -111,8 +130,38 @@ def session_table(commands: DataFrame, decided: DataFrame) -> DataFrame:
 
 def in_flight_watermark(requests: DataFrame) -> DataFrame:
     """WIN-09 of requests(client, request, begin, end): at each begin the lowest request of the
-    client still open, its own included."""
-    a = requests.select("client", "request", "begin")
-    b = requests.select("client", F.col("request").alias("other"), F.col("begin").alias("b"), F.col("end").alias("e"))
-    met = a.join(b, "client").where("b <= begin and (e is null or e > begin)")
-    return met.groupBy("client", "request").agg(F.min("other").alias("acked_below"))
+    client still open, its own included; a request that ends as it begins is never open. A sweep
+    over begins and ends in order: a task holds what is open of one client."""
+    kinds = pa.schema([("client", pa.int64()), ("request", pa.int64()), ("acked_below", pa.int64())])
+
+    def sweep(batches):
+        heap: list[tuple] = []  # (request, end) of what may be open
+        begun: list[int] = []  # requests that begin at this instant
+        now, out = None, []
+
+        def told():
+            while heap and heap[0][1] is not None and heap[0][1] <= now[1]:
+                heapq.heappop(heap)
+            if heap:
+                out.extend((now[0], r, heap[0][0]) for r in begun)
+
+        for b in batches:
+            for client, request, begin, end in zip(*(b.column(c).to_pylist() for c in ("client", "request", "begin", "end")), strict=True):
+                if (client, begin) != now:
+                    if now:
+                        told()
+                    if now and now[0] != client:
+                        heap = []
+                    begun, now = [], (client, begin)
+                begun.append(request)
+                heapq.heappush(heap, (request, end))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kinds)
+                out = []
+        if now:
+            told()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kinds)
+
+    r = requests.select(*[F.col(c).cast("long").alias(c) for c in ("client", "request", "begin", "end")])
+    return r.repartition("client").sortWithinPartitions("client", "begin").mapInArrow(sweep, "client long, request long, acked_below long")

@@ -202,5 +202,5 @@ def reassembled(pieces: DataFrame, key: str) -> DataFrame:
     """The bodies again, with whether their chunks were contiguous from zero."""
     sorted_ = F.array_sort(F.collect_list(F.struct("offset", "chunk")))
     ends = F.aggregate(F.col("parts"), F.lit(0), lambda at, p: F.when(at == p["offset"], at + F.octet_length(p["chunk"])).otherwise(F.lit(-1)))
-    body = F.aggregate(F.col("parts"), F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["chunk"]))
+    body = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["chunk"])), ""))
     return pieces.groupBy(key).agg(sorted_.alias("parts")).select(key, body.alias("body"), (ends >= 0).alias("contiguous"))

@@ -89,7 +89,7 @@ def voter_states(spark, sf_dir):
     return voters(spark, sf_dir).select("grp", "node", "state", "lag", "leader")
 
 
-@register(f"select grp, max(leader) as leader, count(*) filter (first in ('leading', 'following')) as agreeing, count(*) // 2 + 1 as quorum, case when max(leader) is null or count(*) filter (first in ('leading', 'following')) < count(*) // 2 + 1 then 'unavailable' when not bool_and(state in ('leading', 'following')) then 'degraded' else 'healthy' end as verdict from ({_STATES}) group by grp")
+@register(f"select grp, max(leader) as leader, count(*) filter (first in ('leading', 'following')) as agreeing, count(*) // 2 + 1 as majority, case when max(leader) is null or count(*) filter (first in ('leading', 'following')) < count(*) // 2 + 1 then 'unavailable' when not bool_and(state in ('leading', 'following')) then 'degraded' else 'healthy' end as verdict from ({_STATES}) group by grp")
 def group_health(spark, sf_dir):
     """AGG-27."""
     return C.group_health(voters(spark, sf_dir))
@@ -164,11 +164,17 @@ def conf_as_of(spark, sf_dir):
     return C.in_force(s, "conf").select("grp", "index", "in_force")
 
 
-@register(f"select w.index, w.term, case when s.term is null then 'pending' when s.term = w.term then 'applied' else 'lost' end as outcome from ({WRITES}) w left join ({_SURVIVE}) s on s.index = w.index and s.grp = 0 and s.index < 900 where w.grp = 0")
+_APPLIED = f"select s.* from ({_SURVIVE}) s join (select grp, max(index) * 9 // 10 as applied from ({_SURVIVE}) group by grp) m on m.grp = s.grp and s.index <= m.applied"
+
+
+@register(f"select w.grp, w.index, w.term, case when s.term is null then 'pending' when s.term = w.term then 'applied' else 'lost' end as outcome from ({WRITES}) w left join ({_APPLIED}) s on s.index = w.index and s.grp = w.grp")
 def proposal_outcomes(spark, sf_dir):
-    """JOI-06 INV-X5 INV-X6: what became of proposals at their index."""
-    w = writes(spark, sf_dir).where("grp = 0")
-    return C.proposal_outcome(w, C.survivors(w).where("index < 900"))
+    """JOI-06 INV-X5 INV-X6: what became of every proposal at its index; each group has applied nine
+    tenths of its log."""
+    w = writes(spark, sf_dir)
+    s = C.survivors(w)
+    applied = s.groupBy("grp").agg(F.expr("max(index) * 9 div 10").alias("applied"))
+    return C.proposal_outcome(w, s.join(applied, "grp").where("index <= applied"))
 
 
 @register("select event_id, least(event_id - least(event_id, 1 + user_id), event_id - user_id % 30) as point, (event_id % 9 > user_id % 9) or (event_id % 9 = user_id % 9 and event_id >= 500) as up_to_date, event_id between user_id and user_id + 200 as unapplied from events")
@@ -187,18 +193,32 @@ def snapshot_boundary(spark, sf_dir):
     return s.select("grp", "index", "term", F.when(F.col("index") <= 400, "compacted").otherwise("kept").alias("fate"))
 
 
-@register("select * from (values (5, 'voters changed without a joint step'), (7, 'changed while joint'), (8, 'left with other changes'), (9, 'malformed'), (10, 'outgoing is not the old voters'), (11, 'left with other changes')) t(step, fault)")
+_V = "list_sort(['n' || (({0}) % 5), 'n' || (({0} + 1) % 5), 'n' || (({0} + 2) % 5)])"
+_STEPS = f"""select user_id, event_id, case when event_id % 11 = 0 then {_V.format('b + 2')} when s = 0 then {_V.format('b')} else {_V.format('b + 1')} end as av, case when s = 1 then {_V.format('b')} else [] end as ao,
+ case when event_id % 7 = 0 then ['n8', 'n9'] when event_id % 13 = 0 then ['n' || (b % 5)] when s = 3 then ['n8'] else [] end as al from (select *, n // 4 as b, n % 4 as s from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events))"""
+_STEP_FAULT = """case when list_has_any(av, al) then 'malformed' when len(bo) = 0 and len(ao) > 0 then case when ao <> bv then 'outgoing is not the old voters' end when len(bo) > 0 and len(ao) = 0 then case when av <> bv or al <> bl then 'left with other changes' end
+ when len(bo) > 0 then 'changed while joint' when av <> bv then 'voters changed without a joint step' when len(list_filter(al, lambda x: not list_contains(bl, x))) + len(list_filter(bl, lambda x: not list_contains(al, x))) > 1 then 'more than one learner changed' end"""
+
+
+@register(f"select * from (select event_id, {_STEP_FAULT} as fault from (select *, lag(av) over w as bv, lag(ao) over w as bo, lag(al) over w as bl from ({_STEPS}) window w as (partition by user_id order by event_id)) where bv is not null) where fault is not null")
 def conf_steps(spark, sf_dir):
-    """SET-03 SET-06 LOG-10 INV-MB1: a list of configurations, some of them wrong steps."""
-    rows = [
-        (1, "abc", "", ""), (2, "abc", "", "d"), (3, "abcd", "abc", ""), (4, "abcd", "", ""), (5, "abc", "", ""), (6, "ab", "abc", ""),
-        (7, "abd", "abc", ""), (8, "ab", "", ""), (9, "aa", "", ""), (10, "a", "x", ""), (11, "a", "", "pq"),
-    ]
-    c = spark.createDataFrame([(i, list(v), list(o), list(n)) for i, v, o, n in rows], "step int, voters array<string>, outgoing array<string>, learners array<string>")
-    c = c.select("step", F.struct("voters", "outgoing", "learners").alias("conf"))
-    before = F.lag("conf").over(Window.orderBy("step"))
-    c = c.withColumn("before", before).where("before is not null")
-    return c.withColumn("fault", C.conf_step_fault(F.col("before"), F.col("conf"))).where("fault is not null").select("step", "fault")
+    """SET-03 SET-06 LOG-10 INV-MB1: a user's events as configurations, through joint steps, some wrong."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = T.table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("n"))
+    i, b, s = F.col("event_id"), F.floor(F.col("n") / 4), F.col("n") % 4
+    node = lambda x: F.concat(F.lit("n"), (x % 5).cast("string"))
+    voters = lambda x: F.array_sort(F.array(node(x), node(x + 1), node(x + 2)))
+    none = F.array().cast("array<string>")
+    c = e.select(
+        "user_id", "event_id",
+        F.struct(
+            F.when(i % 11 == 0, voters(b + 2)).when(s == 0, voters(b)).otherwise(voters(b + 1)).alias("voters"),
+            F.when(s == 1, voters(b)).otherwise(none).alias("outgoing"),
+            F.when(i % 7 == 0, F.array(F.lit("n8"), F.lit("n9"))).when(i % 13 == 0, F.array(node(b))).when(s == 3, F.array(F.lit("n8"))).otherwise(none).alias("learners"),
+        ).alias("conf"),
+    )
+    c = c.withColumn("before", F.lag("conf").over(w)).where("before is not null")
+    return c.withColumn("fault", C.conf_step_fault(F.col("before"), F.col("conf"))).where("fault is not null").select("event_id", "fault")
 
 
 @register(f"select grp, term, count(distinct node) as leaders from ({SAMPLES}) where role = 'Leader' group by grp, term having count(distinct node) > 1")
@@ -258,10 +278,10 @@ def fabricated_commands(spark, sf_dir):
     return C.fabricated(log(spark, sf_dir), proposed).select("grp", "node", "index", "data")
 
 
-@register(f"select grp, index, count(distinct node) as holders, count(distinct node) < 3 as below_quorum from ({LOG}) group by grp, index")
+@register(f"select grp, index, count(distinct node) as holders, count(distinct node) < 3 as below_majority from ({LOG}) group by grp, index")
 def durable_count(spark, sf_dir):
-    """AGG-32 INV-MB3: nodes that hold an entry, against a quorum of 3 in 5."""
-    return log(spark, sf_dir).groupBy("grp", "index").agg(F.count_distinct("node").alias("holders"), (F.count_distinct("node") < 3).alias("below_quorum"))
+    """AGG-32 INV-MB3: nodes that hold an entry, against a majority of 3 in 5."""
+    return log(spark, sf_dir).groupBy("grp", "index").agg(F.count_distinct("node").alias("holders"), (F.count_distinct("node") < 3).alias("below_majority"))
 
 
 _STAGES = "select user_id % 3 as grp, event_id // 6 as index, 1 + (event_id // 6) // 50 + case when event_id % 61 = 0 then 1 else 0 end as term, case event_id % 3 when 0 then 'accept' when 1 then 'commit' else 'apply' end as stage, epoch_us(ts) as \"at\" from events"
@@ -285,10 +305,10 @@ def crash_matrix(spark, sf_dir):
     return T.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("point")).agg(F.count("*").alias("runs"), F.count_if(fired & sound & settled).alias("survived"))
 
 
-@register("select event_id, \"at\", prev_end from (select event_id, epoch_us(ts) as \"at\", lag(epoch_us(ts) + floor(value * 1000000)::bigint * 20) over (order by ts) as prev_end from events where event_type = 'error') where prev_end > \"at\"")
+@register("select event_id, \"at\", prev_end from (select event_id, epoch_us(ts) as \"at\", lag(epoch_us(ts) + floor(value * 1000000)::bigint * 20) over (partition by date_trunc('day', ts) order by ts) as prev_end from events where event_type = 'error') where prev_end > \"at\"")
 def overlapping_faults(spark, sf_dir):
-    """GEN-03 SRC-18: faults of a schedule that begin before the one before has ended. A schedule
-    is one run's list of faults, so one task orders it."""
-    e = T.table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.floor(F.col("value") * 1_000_000) * 20).alias("hold"))
-    end = F.lag(F.col("at") + F.col("hold")).over(Window.orderBy("at"))
+    """GEN-03 SRC-18: faults of a schedule that begin before the one before has ended. A day is a
+    run, and a schedule is one run's list of faults."""
+    e = T.table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.to_date("ts").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.floor(F.col("value") * 1_000_000) * 20).alias("hold"))
+    end = F.lag(F.col("at") + F.col("hold")).over(Window.partitionBy("run").orderBy("at"))
     return e.withColumn("prev_end", end).where("prev_end > at").select("event_id", "at", "prev_end")

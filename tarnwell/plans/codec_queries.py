@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tarnwell.functions import bloom
@@ -84,29 +85,31 @@ def framed_records(spark, sf_dir):
     return read.select(F.col("path").cast("long").alias("event_id"), (F.octet_length("payload") + 9).alias("length"), F.octet_length("payload").alias("payload"), name.alias("kind"))
 
 
-@register("select run as path, case when run % 3 = 1 and run < 9 then 'error' when run % 3 = 1 then 'truncate' else 'ok' end as verdict from (select unnest(range(10))::int as run)")
+@register("select path, case when path % 3 <> 1 then 'ok' when path < (select max(event_id // 500) from events) then 'error' else 'truncate' end as verdict from (select distinct event_id // 500 as path from events)")
 def log_replay(spark, sf_dir):
-    """SRC-06 SRC-21: segments of a log, some cut short; only the newest may be."""
-    e = T.table(spark, sf_dir, "events").where("event_id < 400")
+    """SRC-06 SRC-21: all events framed into segments of 500, every third cut short; only the
+    newest may be."""
+    e = T.table(spark, sf_dir, "events")
     record = framed.framed(F.lit(1), F.col("props").cast("binary"))
-    parts = e.select((F.col("event_id") % 10).cast("int").alias("path"), "event_id", record.alias("r"))
-    body = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "r"))), lambda x: x["r"]), F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    files = parts.groupBy("path").agg(body.alias("b"))
-    cut = F.when(F.col("path") % 3 == 1, F.substring(F.col("b"), F.lit(1), F.octet_length("b") - 5)).otherwise(F.col("b"))
-    files = files.select(F.lpad(F.col("path").cast("string"), 3, "0").alias("path"), cut.alias("content"))
-    return framed.replayable(framed.read_records(files)).select(F.col("path").cast("int").alias("path"), "verdict")
+    files = framed.segments(e.select("event_id", record.alias("record")), "event_id", "record", 500)
+    cut = F.when(F.col("segment") % 3 == 1, F.substring(F.col("content"), F.lit(1), F.octet_length("content") - 5)).otherwise(F.col("content"))
+    files = files.select(F.lpad(F.col("segment").cast("string"), 19, "0").alias("path"), cut.alias("content"))
+    return framed.replayable(framed.read_records(files)).select(F.col("path").cast("long").alias("path"), "verdict")
 
 
-@register("select count(*) as keys, 0::bigint as missed from customer")
+@register("select c_custkey // 1000 as file, count(*) as keys, 0::bigint as missed, greatest(count(distinct c_name) * 10, 64) as bits, floor(10 * ln(2) + 0.5)::int as probes, true as few_false from customer group by 1")
 def bloom_membership(spark, sf_dir):
-    """FLT-05 FUN-05: filters of about a thousand names each never miss one of theirs."""
+    """FLT-05 FUN-05: filters of about a thousand names each never miss one of theirs; their sizes;
+    and whether at most 3 % of as many other names pass (0.8 % are expected at ten bits a key)."""
     c = T.table(spark, sf_dir, "customer").select("c_name", F.floor(F.col("c_custkey") / 1000).alias("file"))
 
     def check(pdf):
         names = [n.encode() for n in pdf["c_name"]]
-        return pdf.assign(held=bloom.Bloom(names).may_hold(names))[["c_name", "held"]]
+        b = bloom.Bloom(names)
+        missed, false = int((~b.may_hold(names)).sum()), int(b.may_hold([b"not " + n for n in names]).sum())
+        return pd.DataFrame([(pdf["file"].iloc[0], len(names), missed, b.m, b.k, false <= 0.03 * len(names) + 2)], columns=["file", "keys", "missed", "bits", "probes", "few_false"])
 
-    return c.groupBy("file").applyInPandas(check, "c_name string, held boolean").agg(F.count("*").alias("keys"), F.count_if(~F.col("held")).alias("missed"))
+    return c.groupBy("file").applyInPandas(check, "file long, keys long, missed long, bits long, probes int, few_false boolean")
 
 
 _SERIES = "select event_type as name, user_id % 12 as grp, user_id % 3 as op, sum(floor(value * 100))::bigint as v from events group by all"

@@ -143,9 +143,16 @@ _DECIDED = f"""select grp, index, decision, case decision when 'executed' then i
 
 @register(_DECIDED)
 def session_decisions(spark, sf_dir):
-    """FSM-01 JOI-05 SRT-04: the ordered fold; here no session is evicted or refused, so SQL
-    over clients tells the same (a test holds the fold against a model with evictions)."""
-    return X.decisions(commands(T.table(spark, sf_dir, "events")), max_sessions=10**9, max_unacked=10**9)
+    """FSM-01 JOI-05: every command's decision under the usual limits, which these groups do not
+    reach, so SQL over clients tells the same."""
+    return X.decide(commands(T.table(spark, sf_dir, "events")))
+
+
+@register()
+def session_limits(spark, sf_dir):
+    """FSM-01 SRT-04: the same under limits of 4 sessions and 2 results, where the least recently
+    used session is evicted and requests are refused (a test holds it against a plain model)."""
+    return X.decide(commands(T.table(spark, sf_dir, "events")), max_sessions=4, max_unacked=2)
 
 
 @register(_DECIDED)
@@ -190,7 +197,7 @@ def stream_sessions(spark, sf_dir):
     c = commands(T.table(spark, sf_dir, "events"))
     c.write.parquet(f"{at}/commands")
     stream = spark.readStream.schema(c.schema).parquet(f"{at}/commands")
-    return jobs.session_decisions(stream, max_sessions=10**9, max_unacked=10**9)
+    return jobs.session_decisions(stream)
 
 
 @register("select i as id, case when u < 50 then 'get' when u < 60 then 'delete' else 'put' end as op, 'key:' || lpad((i * 7919 % 997)::varchar, 8, '0') as key from (select i, (i * 37) % 100 as u from range(5000) t(i))")

@@ -81,12 +81,12 @@ def configuration_report(spark, sf_dir):
 _SCRAPE = "select 'n' || user_id % 5 as node, case event_type when 'error' then 'commit_index' else event_type || '_total' end as name, sum(floor(value * 100))::double as value from events where {} group by all"
 
 
-@register(f"select coalesce(a.node, b.node) as node, coalesce(a.name, b.name) as name, case when coalesce(a.node, b.node) = 'n2' and not coalesce(a.name, b.name) like '%_index' then coalesce(b.value, 0) else coalesce(b.value, 0) - coalesce(a.value, 0) end as delta from ({_SCRAPE.format('event_id < 400')}) a full join ({_SCRAPE.format('event_id < 800')}) b on a.node = b.node and a.name = b.name")
+@register(f"select coalesce(a.node, b.node) as node, coalesce(a.name, b.name) as name, case when coalesce(a.node, b.node) = 'n2' and not coalesce(a.name, b.name) like '%_index' then coalesce(b.value, 0) else coalesce(b.value, 0) - coalesce(a.value, 0) end as delta from ({_SCRAPE.format("ts < timestamp '2024-01-16'")}) a full join ({_SCRAPE.format('true')}) b on a.node = b.node and a.name = b.name")
 def usage_delta(spark, sf_dir):
-    """AGG-17 JOI-09 AGG-34: two scrapes; node n2 restarted between them."""
-    e = T.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("n"), F.col("user_id") % 5).alias("node"), F.when(F.col("event_type") == "error", "commit_index").otherwise(F.concat("event_type", F.lit("_total"))).alias("name"), F.floor(F.col("value") * 100).alias("v"))
-    scrape = lambda n: e.where(F.col("event_id") < n).groupBy("node", "name").agg(F.sum("v").cast("double").alias("value"))
-    return M.counter_deltas(scrape(400), scrape(800), F.col("node") == "n2")
+    """AGG-17 JOI-09 AGG-34: scrapes before the 16th and after all; node n2 restarted between."""
+    e = T.table(spark, sf_dir, "events").select("ts", F.concat(F.lit("n"), F.col("user_id") % 5).alias("node"), F.when(F.col("event_type") == "error", "commit_index").otherwise(F.concat("event_type", F.lit("_total"))).alias("name"), F.floor(F.col("value") * 100).alias("v"))
+    scrape = lambda d: d.groupBy("node", "name").agg(F.sum("v").cast("double").alias("value"))
+    return M.counter_deltas(scrape(e.where("ts < timestamp_ntz '2024-01-16'")), scrape(e), F.col("node") == "n2")
 
 
 _ATTEMPTS = """select event_id, case when event_id % 41 = 0 then 'context canceled' end as err,
@@ -148,13 +148,12 @@ def metric_select_sum(spark, sf_dir):
     return M.series_sum(s, "purchase", group="1")
 
 
-@register("select label, row_number() over (order by try_cast(label as double) nulls last, label) as place from (select distinct case when user_id % 5 = 0 then 'n' || user_id else user_id::varchar end as label from events)")
+@register("select family, label, row_number() over (partition by family order by try_cast(label as double) nulls last, label) as place from (select distinct user_id % 3 as family, case when user_id % 5 = 0 then 'n' || user_id else user_id::varchar end as label from events)")
 def numeric_aware_order(spark, sf_dir):
-    """WIN-13 SRT-07: labels that are numbers by value, others by text. Labels of one family
-    are few, so one task orders them."""
+    """WIN-13 SRT-07: labels that are numbers by value, others by text, within each family."""
     label = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("n"), F.col("user_id"))).otherwise(F.col("user_id").cast("string"))
-    e = T.table(spark, sf_dir, "events").select(label.alias("label")).distinct()
-    return e.select("label", F.row_number().over(Window.orderBy(F.asc_nulls_last(F.expr("try_cast(label as double)")), "label")).cast("long").alias("place"))
+    e = T.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("family"), label.alias("label")).distinct()
+    return e.select("family", "label", F.row_number().over(Window.partitionBy("family").orderBy(F.asc_nulls_last(F.expr("try_cast(label as double)")), "label")).cast("long").alias("place"))
 
 
 @register("select case when user_id % 4 = 3 then 'other' else (user_id % 4)::varchar end as grp, event_type as op, case when value > 50 then 'OK' else 'NOT_FOUND' end as status, count(*) as requests, sum(floor(value * 100))::bigint as hundredths from events group by all")

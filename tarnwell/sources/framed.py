@@ -56,6 +56,25 @@ def framed(kind: pd.Series, payload: pd.Series) -> pd.Series:
     return pd.Series([struct.pack("<I", c) + r for c, r in zip(crc32c(rest).tolist(), rest, strict=True)], index=kind.index)
 
 
+def joined(parts: Column) -> Column:
+    """The binaries of an array one after the other, in one step for all of them."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+
+
+def segments(records: DataFrame, at: str, record: str, most: int) -> DataFrame:
+    """SNK-02: segment and content: records in order of their position ``at``, a new segment
+    after each ``most`` positions, so that one row is bounded however long the log is."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(record).alias("record"))))
+    files = records.groupBy(F.expr(f"{at} div {most}").alias("segment")).agg(rows.alias("rows"))
+    return files.select("segment", joined(F.transform("rows", lambda x: x["record"])).alias("content"))
+
+
+def kept_segments(files: DataFrame, least: int, most: int) -> DataFrame:
+    """SNK-02: what truncation below position ``least`` leaves: whole segments that hold none at or
+    above it go, the others stay as they are."""
+    return files.where(F.expr(f"(segment + 1) * {most} > {least}"))
+
+
 def _frames(body: bytes) -> tuple[list[tuple[int, int, int, int]], str, int]:
     """(offset, end, checksum, kind) of what looks like records, and how and where that ends."""
     out, at = [], 0

@@ -22,8 +22,12 @@ from tarnwell.operators import measure, sessions, storage
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; on one machine, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tarnwell-")
+    """A new folder in the one that driver and executors share; on one machine only, a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tarnwell-")
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -143,11 +143,43 @@ def test_session_decisions_equal_a_model(spark):
     df = spark.createDataFrame(rows, "grp long, index long, op string, client_id long, request_id long, acked_below long, fp string")
     assert {(r.grp, r["index"]): (r.decision, r.reported) for r in sessions.decisions(df, 3, 4).collect()} == want
     assert seen == {"registered", "executed", "duplicate", "conflict", "stale", "expired", "limit"}
+    assert {(r.grp, r["index"]): (r.decision, r.reported) for r in sessions.decide(df, 3, 4).collect()} == want
     free = {(r.grp, r["index"]): (r.decision, r.reported) for r in sessions.decisions(df, 10**6, 10**6).collect()}
     assert {(r.grp, r["index"]): (r.decision, r.reported) for r in sessions.decisions_by_client(df).collect()} == free
     assert sessions.coupled(df, 3, 4).count() > 0 and sessions.coupled(df, 10**6, 10**6).count() == 0
 
 
+def test_session_limits_over_events(spark, sf_dir):
+    """The query with evictions and refusals against the plain model, group by group."""
+    from tarnwell.plans.history_queries import commands, session_limits
+
+    log = commands(spark.read.parquet(f"{sf_dir}/events.parquet")).orderBy("grp", "index").collect()
+    models = {}
+    want = {(r.grp, r["index"]): models.setdefault(r.grp, Model(4, 2)).step(r["index"], r.op, r.client_id, r.request_id, r.acked_below, r.fp) for r in log}
+    assert {(r.grp, r["index"]): (r.decision, r.reported) for r in session_limits(spark, sf_dir).collect()} == want
+    assert {"expired", "executed", "duplicate", "limit"} <= {d for d, _ in want.values()} and max(len(m.s) for m in models.values()) == 4
+
+
+def test_lowest_request_in_flight(spark):
+    """The sweep against all pairs: ties, requests that never end, and ones that end as they begin."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(4), i, b, None if rng.random() < 0.1 else b + rng.randrange(25)) for i, b in enumerate(rng.randrange(300) for _ in range(400))]
+    got = sorted(tuple(r) for r in sessions.in_flight_watermark(spark.createDataFrame(rows, "client long, request long, begin long, end long")).collect())
+    want = []
+    for c, r, b, _ in rows:
+        open_ = [q for d, q, x, e in rows if d == c and x <= b and (e is None or e > b)]
+        want += [(c, r, min(open_))] if open_ else []
+    assert got == sorted(want)
+
+
+def test_segments_and_truncation(spark):
+    rows = [(i, bytes([i % 251]) * (i % 7)) for i in range(100)]
+    files = framed.segments(spark.createDataFrame(rows, "at long, record binary"), "at", "record", 16)
+    want = {k: b"".join(b for i, b in rows if i // 16 == k) for k in range(7)}
+    assert {r.segment: bytes(r.content) for r in files.collect()} == want
+    assert sorted(r.segment for r in framed.kept_segments(files, 40, 16).collect()) == [2, 3, 4, 5, 6]
+
+
 #: Histories in short: client kind@begin-end=value, "!" refused, "?" never answered, "0" not found.
 GOOD = {
     "one after another": "a put@1-2=x a get@3-4=x a delete@5-6 a get@7-8=0",
