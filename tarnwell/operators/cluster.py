@@ -27,6 +27,16 @@ def highest_leader(samples: DataFrame, by: list[str]) -> DataFrame:
     return samples.where("role = 'Leader'").groupBy(*by).agg(top).select(*by, F.col("top.node").alias("leader"), F.col("top.term").alias("term"))
 
 
+def follower_lag(samples: DataFrame) -> DataFrame:
+    """WIN-07, AGG-35: over samples(grp, at, node, role, term, last_index), the most that each other
+    node lay behind the leader of the highest term at the same instant, and how often it was seen."""
+    top = F.max_by(F.struct("node", "last_index"), F.struct("term", "node")).alias("l")
+    lead = samples.where("role = 'Leader'").groupBy("grp", "at").agg(top)
+    seen = samples.join(lead, ["grp", "at"]).where("node <> l.node")
+    lag = F.greatest(F.col("l.last_index") - F.col("last_index"), F.lit(0))
+    return seen.groupBy("grp", "node").agg(F.max(lag).alias("lag"), F.count("*").alias("samples"))
+
+
 def leader_changes(samples: DataFrame) -> DataFrame:
     """WIN-06: per group, instants whose highest-term leader differs from the one before."""
     at = highest_leader(samples, ["grp", "at"])

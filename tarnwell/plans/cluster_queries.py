@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwell.operators import cluster as C
+from tarnwell.operators import requests as Q
 from tarnwell.plans.catalogue import register
+from tarnwell.sources import json_text as J
 from tarnwell.sources import tables as T
 
 SAMPLES = """select event_id // 5 as "at", 'n' || user_id % 5 as node, user_id % 3 as grp, case when event_id % 7 < 2 then 'Leader' else 'Follower' end as role,
@@ -301,8 +303,34 @@ def stage_latency(spark, sf_dir):
 @register("select event_type as point, count(*) as runs, count(*) filter (value > 5 and user_id % 4 <> 0 and event_id % 9 <> 0) as survived from events group by event_type")
 def crash_matrix(spark, sf_dir):
     """AGG-40: survived if it fired, nothing was violated and all converged."""
-    fired, sound, settled = F.col("value") > 5, F.col("user_id") % 4 != 0, F.col("event_id") % 9 != 0
-    return T.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("point")).agg(F.count("*").alias("runs"), F.count_if(fired & sound & settled).alias("survived"))
+    runs = T.table(spark, sf_dir, "events").select("event_type", (F.col("value") > 5).alias("fired"), (F.col("user_id") % 4 != 0).alias("sound"), (F.col("event_id") % 9 != 0).alias("settled"))
+    return Q.crash_outcomes(runs, "event_type")
+
+
+@register(f"select grp, node, max(greatest(l.last_index - s.last_index, 0)) as lag, count(*) as samples from ({SAMPLES}) s join (select grp, \"at\", max(last_index) as last_index, max(node) as leader from ({SAMPLES}) s1 where role = 'Leader' and term * 10 + node[2:]::int = (select max(term * 10 + node[2:]::int) from ({SAMPLES}) s2 where role = 'Leader' and s2.grp = s1.grp and s2.\"at\" = s1.\"at\") group by grp, \"at\") l using (grp, \"at\") where s.node <> l.leader group by grp, node")
+def follower_lag(spark, sf_dir):
+    """WIN-07 AGG-35: the most that each follower lay behind its leader at any instant."""
+    return C.follower_lag(samples(spark, sf_dir))
+
+
+_FAULTS = "select ts::date as run, epoch_us(ts) * 1000 as at_ns, 'pause' as kind, user_id % 3 as grp, 'n' || user_id % 5 as node, case when event_id % 2 = 0 then 'n' || event_id % 5 end as peer, floor(value * 1000)::bigint as hold_ns from events where event_type = 'error'"
+
+
+@register(f"select run, (row_number() over (partition by run order by at_ns) - 1)::int as place, at_ns, kind, grp, node, peer, hold_ns from ({_FAULTS})")
+def schedule_json(spark, sf_dir):
+    """SRC-18 GEN-03: each day's faults as a schedule of JSON, written and read again."""
+    e, i, u = T.table(spark, sf_dir, "events").where("event_type = 'error'"), F.col("event_id"), F.col("user_id")
+    f = e.select(F.to_date("ts").alias("run"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("at_ns"), F.lit("pause").alias("kind"), (u % 3).alias("grp"), F.concat(F.lit("n"), u % 5).alias("node"), F.when(i % 2 == 0, F.concat(F.lit("n"), i % 5)).alias("peer"), F.floor(F.col("value") * 1000).alias("hold_ns"))
+    return J.read_schedules(J.write_schedules(f))
+
+
+@register(f"select node, grp, role, term, leader, commit, applied, last_index, conf_index, removed, array_to_string(voters, ',') as voters, null::varchar as fault from ({STATUS}) union all select null, null, null, null, null, null, null, null, null, null, null, 'unreadable' from ({STATUS}) where node = 'n3'")
+def status_json(spark, sf_dir):
+    """SRC-17: status reports as lines of JSON, those of n3 a second time cut short, read again."""
+    lines = J.write_status(status(spark, sf_dir))
+    cut = lines.where(F.get_json_object("line", "$.node") == "n3").select(F.expr("substring(line, 1, 9)").alias("line"))
+    got = J.read_status(lines.unionByName(cut))
+    return got.select("node", "grp", "role", "term", "leader", "commit", "applied", "last_index", "conf_index", "removed", F.array_join("voters", ",").alias("voters"), "fault")
 
 
 @register("select event_id, \"at\", prev_end from (select event_id, epoch_us(ts) as \"at\", lag(epoch_us(ts) + floor(value * 1000000)::bigint * 20) over (partition by date_trunc('day', ts) order by ts) as prev_end from events where event_type = 'error') where prev_end > \"at\"")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import bloom
 from tarnwell.functions import varint_length
 from tarnwell.operators import measure
+from tarnwell.operators import requests as Q
 from tarnwell.plans.catalogue import register
 from tarnwell.sources import framed, metrics_text
 from tarnwell.sources import tables as T
@@ -38,16 +39,8 @@ _STATUS = """case when op = 'register' then case when key = '' and value = '' an
 @register(f"select event_id, {_STATUS} as status from ({_REQ})")
 def request_validation(spark, sf_dir):
     """FLT-11."""
-    none = (F.col("request") == 0) & (F.col("acked") == 0)
-    status = (
-        F.when(F.col("op") == "register", F.when((F.col("key") == "") & (F.col("value") == "") & (F.col("client") == 0) & none, "ok").otherwise("register with fields"))
-        .when(F.col("key") == "", "empty key")
-        .when((F.col("op") != "put") & (F.col("value") != ""), "value without put")
-        .when((F.col("client") == 0), F.when(~none, "identity without client").otherwise("ok"))
-        .when((F.col("request") == 0) | (F.col("acked") == 0) | (F.col("acked") > F.col("request")), "bad identity")
-        .otherwise("ok")
-    )
-    return requests(spark, sf_dir).select("event_id", status.alias("status"))
+    fields = [F.col(c) for c in ("op", "key", "value", "client", "request", "acked")]
+    return requests(spark, sf_dir).select("event_id", Q.request_fault(*fields).alias("status"))
 
 
 @register("select err, case err when 'not leader' then 'NOT_LEADER' when 'lost' then 'LOST' when 'entry too large' then 'INVALID' when 'busy' then 'UNAVAILABLE' else 'UNKNOWN_OUTCOME' end as status, count(*) as n from (select case event_id % 5 when 0 then 'not leader' when 1 then 'lost' when 2 then 'entry too large' when 3 then 'busy' else 'timeout' end as err from events) group by err")
@@ -55,8 +48,7 @@ def status_mapping(spark, sf_dir):
     """PRJ-04."""
     i = F.col("event_id") % 5
     err = F.when(i == 0, "not leader").when(i == 1, "lost").when(i == 2, "entry too large").when(i == 3, "busy").otherwise("timeout")
-    status = F.when(F.col("err") == "not leader", "NOT_LEADER").when(F.col("err") == "lost", "LOST").when(F.col("err") == "entry too large", "INVALID").when(F.col("err") == "busy", "UNAVAILABLE").otherwise("UNKNOWN_OUTCOME")
-    return T.table(spark, sf_dir, "events").select(err.alias("err")).groupBy("err").agg(F.count("*").alias("n")).select("err", status.alias("status"), "n")
+    return T.table(spark, sf_dir, "events").select(err.alias("err")).groupBy("err").agg(F.count("*").alias("n")).select("err", Q.status_of(F.col("err")).alias("status"), "n")
 
 
 @register("select event_id, case when event_id % 6 = 0 then 'unknown' when event_type <> 'error' and user_id % 4 > 0 then 'ok' when user_id % 4 = 0 then 'not_found' else 'refused' end as class from events")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tarnwell import functions as fn
 from tarnwell.operators import history as H
+from tarnwell.operators import requests as Q
 from tarnwell.operators import sessions as X
 from tarnwell.operators import storage as S
 from tarnwell.plans.catalogue import register
@@ -200,11 +201,15 @@ def stream_sessions(spark, sf_dir):
     return jobs.session_decisions(stream)
 
 
-@register("select i as id, case when u < 50 then 'get' when u < 60 then 'delete' else 'put' end as op, 'key:' || lpad((i * 7919 % 997)::varchar, 8, '0') as key from (select i, (i * 37) % 100 as u from range(5000) t(i))")
+_U = "('0x' || md5('{}:' || i)[1:13])::bigint / 4503599627370496.0::double"
+
+
+@register(f"select i as id, case when i < 500 then 'warm-up' when i < 4500 then 'measured' else 'cool-down' end as phase, case when u < 0.5::double then 'get' when u < 0.6::double then 'delete' else 'put' end as op, 'key:' || lpad(least(floor(pow(w * (pow(998.0::double, 0.2::double) - 1) + 1, 5.0::double)) - 1, 996)::bigint::varchar, 8, '0') as key from (select i, {_U.format(7)} as u, {_U.format(8)} as w from range(5000) t(i))")
 def operation_stream(spark, sf_dir):
-    """GEN-01 GEN-02: a mix of operations drawn from a rule."""
+    """GEN-01 GEN-02: a seeded mix of operations on keys of falling popularity, in three phases."""
     i = F.col("id")
-    return spark.range(5000).select("id", fn.mix_pick((i * 37 % 100) / 100, 0.5, 0.1).alias("op"), fn.key_name(i * 7919 % 997).alias("key"))
+    key = fn.key_name(Q.skewed_rank(Q.uniform(8, i), 997, 0.8))
+    return spark.range(5000).select("id", Q.phase_of(i, 500, 4000).alias("phase"), fn.mix_pick(Q.uniform(7, i), 0.5, 0.1).alias("op"), key.alias("key"))
 
 
 @register("select nodes, groups, reads from (select unnest([1, 3, 5])::int as nodes), (select unnest([1, 4, 16])::int as groups), (select unnest([5, 50, 95])::int as reads)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnwell.operators import measure as M
+from tarnwell.operators import requests as Q
 from tarnwell.plans.catalogue import register
 from tarnwell.sources import tables as T
 
@@ -168,8 +169,7 @@ def request_counters(spark, sf_dir):
 def drop_reasons(spark, sf_dir):
     """AGG-36."""
     e = T.table(spark, sf_dir, "events").where("event_type = 'error'")
-    reason = F.when(F.length("props") % 5 == 0, "malformed").when(F.col("user_id") % 4 == 3, "unknown_group").otherwise("inbox_full")
-    return e.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return Q.drops(e, F.length("props") % 5 == 0, F.col("user_id") % 4 != 3)
 
 
 @register("select 'n' || user_id % 5 as node, greatest(max(event_id) filter (event_type = 'view') - max(event_id) filter (event_type = 'click'), 0) as gap, max(event_id) filter (event_type = 'purchase') - min(event_id) filter (event_type = 'purchase') as purchases_span from events group by 1")
