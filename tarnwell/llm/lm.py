@@ -3,26 +3,31 @@
 Counts of every byte after up to ORDER bytes before it, over all training texts, form a
 context trie. A byte is coded in the longest context the trie has; what the context has
 not seen escapes to the next shorter one, where the followers seen before are excluded.
-Escapes are estimated by method D: each follower gives half a count to the escape; the
-counts of followers that the trie leaves out go to it whole. A document's score is the log10
-probability of all its bytes and its end.
+Escapes are estimated by method D: each follower gives half a count to the escape. A
+document's score is the log10 probability of all its bytes and its end.
+
+No gram is left out, however many there are. A byte is coded by contexts that all end in the
+bytes just before it, so the trie is cut into ranges of contexts read backwards; each place
+of a text belongs to one range, which has all that codes it. A range of at most NODES grams
+goes to every task in turn, and a document's score is the sum over ranges.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnwell.llm.common import bounded_batches, slices, written
 
-#: Bytes of context, and the most nodes of a trie: those seen least often are left out, all
-#: of about one count at once, until the rest are no more.
+#: Bytes of context, and the most grams that begin in one range of the trie.
 ORDER, NODES = 5, 1_200_000
 #: Words whose counts a task holds; those of the others are joined.
 WORDS = 150_000
@@ -89,10 +94,10 @@ class Table:
 
 class PPM:
     """The model of grams: for each order k, keys (k symbols of context, then the symbol) with
-    counts, each order's grams without their first symbol among those of the next lower; and
-    for each context the sum of all its counts, of followers left out too."""
+    counts; each order's grams without their first symbol among those of the next lower, and
+    each context with all its followers."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
         self.grams, self.contexts, self.value, self.begin, self.escape, self.room, self.counts = [], [], [], [], [], [], []
         below = None
         for k, (keys, counts) in enumerate(grams):
@@ -101,33 +106,27 @@ class PPM:
             ctx = keys >> np.uint64(8)
             new = np.r_[True, ctx[1:] != ctx[:-1]] if len(ctx) else np.zeros(0, bool)
             first, of = np.flatnonzero(new), np.cumsum(new) - 1
-            kept = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+            total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
             followers = np.diff(np.r_[first, len(ctx)]).astype(float)
             self.contexts.append(Table(ctx[first]))
             self.grams.append(Table(keys))
-            out = np.zeros(len(first))  # counts of followers left out
-            if totals is not None and len(first):
-                at = self.contexts[-1].find(totals[k][0])
-                out[at[at >= 0]] = totals[k][1][at >= 0]
-                out = np.maximum(out - kept, 0)
             # coding in a context that is the longest there: log10 of symbols and of escape
             self.counts.append(np.log10(counts - 0.5))
-            self.value.append(self.counts[-1] - np.log10(kept + out)[of])
-            self.begin.append(np.log10(out + followers / 2) - np.log10(kept + out))
+            self.value.append(self.counts[-1] - np.log10(total)[of])
+            self.begin.append(np.log10(followers / 2) - np.log10(total))
             if k:
                 parent = below["contexts"].find(ctx[first] & _mask(k - 1))
                 seen = below["counts"][below["grams"].find(keys & _mask(k))]
                 more = below["followers"][parent] - followers
-                room = below["kept"][parent] - (np.add.reduceat(seen, first) if len(first) else 0) + below["out"][parent]
+                room = below["total"][parent] - (np.add.reduceat(seen, first) if len(first) else 0)
                 # in the next shorter context, these followers excluded: log10 of all that is left, and of
                 # escape from there, which is certain if nothing is
-                away = below["out"][parent] + more / 2
                 self.room.append(np.log10(np.maximum(room, 0.5)))
-                self.escape.append(np.where(away > 0, np.log10(np.maximum(away, 0.25)) - self.room[-1], 0.0))
+                self.escape.append(np.where(more > 0, np.log10(np.maximum(more / 2, 0.25)) - self.room[-1], 0.0))
             else:
                 self.room.append(np.zeros(len(first)))
                 self.escape.append(np.zeros(len(first)))
-            below = {"contexts": self.contexts[-1], "grams": self.grams[-1], "counts": counts, "kept": kept, "followers": followers, "out": out}
+            below = {"contexts": self.contexts[-1], "grams": self.grams[-1], "counts": counts, "total": total, "followers": followers}
         self.order = len(grams) - 1
         known = len(grams[0][0]) if grams else 0
         self.unseen = -math.log10(SYMBOLS - known) if known < SYMBOLS else 0.0
@@ -160,10 +159,25 @@ class PPM:
         out[todo] = acc + self.unseen
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[bytes], lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """For each text the sum over its places from ``lo`` to before ``hi`` (all, if None)."""
         keys, size = gram_keys(texts, self.order)
-        got = self.logs(keys)
-        return np.add.reduceat(got, np.cumsum(size) - size) if len(size) else np.zeros(0)
+        of = np.repeat(np.arange(len(size)), size)
+        if lo or hi is not None:
+            place = places(keys, self.order)
+            here = place >= np.uint64(lo)
+            if hi is not None:
+                here &= place < np.uint64(hi)
+            keys, of = keys[here], of[here]
+        return np.bincount(of, self.logs(keys), minlength=len(size))
+
+
+def places(keys: np.ndarray, order: int) -> np.ndarray:
+    """Where each key's context of ``order`` symbols stands among all, read backwards: the
+    symbol just before weighs most."""
+    if not order:
+        return np.zeros(len(keys), np.uint64)
+    return (keys.byteswap() << np.uint64(8)) >> np.uint64(64 - 8 * order)
 
 
 #: Counts are told apart in so many steps for each power of e: each count up to 64 by itself.
@@ -182,11 +196,11 @@ def frequent(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
-    """The model of column ``text`` of texts (binary). Each task counts its own grams of the
-    highest order; sums over all, and over shorter contexts, are partial aggregations. The
-    driver gets at most ``nodes`` grams: all that were seen at least so often that no more
-    remain; their sums by context, no more, hold the counts of all."""
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """All grams of column ``text`` of texts (binary) as a written table: k symbols of context,
+    the gram, how often it was seen, and ``place``, where the contexts that end in its own
+    begin (see ``places``). Each task counts its own grams of the highest order; sums over
+    all, and over shorter contexts, are partial aggregations."""
 
     def count(batches):
         parts, held = [], 0
@@ -217,18 +231,45 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> PPM:
     full = texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(int(_mask(k + 1).view(np.int64)))).alias("g")) for k in range(order)]))
     lower = full.select(level.alias("x"), "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n"))
-    all_ = written(lower.select("k", F.col("g").alias("gram"), "n").unionByName(full.select(F.lit(order).alias("k"), "gram", "n")))
-    least = frequent(all_, nodes)
-    got = all_.where(F.expr(_BIN) >= least).toArrow()
-    # sums of all counts of the contexts that are left, followers left out included
-    context = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.shiftrightunsigned("gram", 8))
-    sums = all_.groupBy("k", context.alias("context")).agg(F.sum("n").alias("n"), F.max(F.expr(_BIN)).alias("most")).where(F.col("most") >= least).select("k", "context", "n").toArrow()
-
-    def split(t, column):
-        k, key, n = (t.column(c).to_numpy() for c in ("k", column, "n"))
-        return [(key[k == i].view(np.uint64), n[k == i].astype(float)) for i in range(order + 1)]
-
-    return PPM(split(got, "gram"), split(sums, "context"))
+    grams = lower.select("k", F.col("g").alias("gram"), "n").unionByName(full.select(F.lit(order).alias("k"), "gram", "n"))
+    place = F.lit(0).cast("long")
+    for j in range(1, order + 1):
+        place = place.bitwiseOR(F.shiftleft(F.shiftright("gram", 8 * j).bitwiseAND(F.lit(255)), 8 * (order - j)))
+    return written(grams.withColumn("place", place))
+
+
+def ranges(grams: DataFrame, order: int = ORDER, nodes: int = NODES) -> list[tuple[int, int]]:
+    """Ranges of places, in order and without gaps, in each of which at most ``nodes`` grams
+    begin, or those of one place alone. Places are counted by their first two symbols, and those
+    cells that hold more than ``nodes`` by one more symbol each: as there are no more such cells
+    than ranges, 2**16 sums and 256 per range and symbol reach the driver."""
+    cells: list[tuple[int, int]] = []  # begin, grams
+    found, depth = grams, min(2, order)
+    while True:
+        shift = 8 * (order - depth)
+        got = [(r["cell"] << shift, r["m"]) for r in found.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.count("*").alias("m")).collect()]
+        wide = [b for b, m in got if m > nodes] if depth < order else []
+        cells += [(b, m) for b, m in got if m <= nodes or depth == order]
+        if not wide:
+            break
+        found = found.where(F.shiftleft(F.shiftright("place", shift), shift).isin(wide))
+        depth += 1
+    cuts, held = [0], 0
+    for begin, m in sorted(cells):
+        if held and held + m > nodes:
+            cuts.append(begin)
+            held = 0
+        held += m
+    return list(zip(cuts, [*cuts[1:], 1 << (8 * order)], strict=True))
+
+
+def model_of(grams: DataFrame, lo: int, hi: int, order: int = ORDER) -> PPM:
+    """The model for places from lo to before hi: all grams whose contexts end some context
+    there. Beside those that begin there, they are the followers of at most order + 1 contexts."""
+    last = F.col("place") + F.expr(f"shiftleft(1L, 8 * ({order} - k))")
+    got = grams.where((F.col("place") < hi) & (last > lo)).select("k", "gram", "n").toArrow()
+    k, gram, n = (got.column(c).to_numpy() for c in ("k", "gram", "n"))
+    return PPM([(gram[k == i].view(np.uint64), n[k == i].astype(float)) for i in range(order + 1)])
 
 
 def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, text: str = "text", order: int = ORDER, nodes: int = NODES) -> DataFrame:
@@ -241,14 +282,16 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
     all unknown ones. Null texts are empty: their end alone. Repeated rows get the same
     scores; an empty table gives no rows; of an empty training set nothing is known.
 
-    Word counts are partially aggregated. The commonest words' counts, WORDS at most, go to
+    Each range of the trie is one pass over the texts, which carries its grams to the tasks and
+    leaves a sum per document; grams, and so passes, grow with the training texts, slower
+    than these. Word counts are partially aggregated. The commonest words' counts, WORDS at most, go to
     every task; other words are joined with theirs, so no join key is frequent.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in SCORES]
     learn = training.select(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    model = spark.sparkContext.broadcast(train(learn, order, nodes))
+    grams = gram_counts(learn, order)
 
     def count_words(batches):
         held: Counter = Counter()
@@ -278,14 +321,11 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
     known = spark.sparkContext.broadcast(table)
     of_end = math.log10(texts + 0.5) - below
     source = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("__text"))
-    extra = "__row long, __n long, __known long, __base double, score double, __rare array<binary>"
-    schema = source.drop("__text").schema
-    for f in spark.createDataFrame([], extra).schema:
-        schema = schema.add(f)
+    extra = "__row long, __n long, __known long, __base double, __rare array<binary>"
+    schema = StructType([*source.schema, *spark.createDataFrame([], extra).schema])
 
     def run(batches):
-        m, logs = model.value, known.value
-        get = logs.get
+        get = known.value.get
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches, "__text", 1 << 19):
             texts = b.column("__text").to_pylist()
@@ -298,12 +338,31 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
                 nk.append(len(seen))
                 base.append(math.fsum(seen))
                 rare.append([x for x, y in zip(w, got, strict=True) if y is None] if len(seen) < len(w) else [])
-            cols = [b.column(c) for c in keep]
-            cols += [pa.array(np.arange(row, row + len(texts))), pa.array(n, pa.int64()), pa.array(nk, pa.int64()), pa.array(base, pa.float64()), pa.array(m.scores(texts)), pa.array(rare, pa.list_(pa.binary()))]
+            cols = [b.column(c) for c in [*keep, "__text"]]
+            cols += [pa.array(np.arange(row, row + len(texts))), pa.array(n, pa.int64()), pa.array(nk, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
             row += len(texts)
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     first = written(source.mapInArrow(run, schema))
+    known.destroy()
+
+    def coded(number: int, lo: int, hi: int) -> DataFrame:
+        """What the places of one range add to the scores, as a written table."""
+        model = spark.sparkContext.broadcast(model_of(grams, lo, hi, order))
+
+        def part(batches):
+            for b in slices(batches, "__text", 1 << 19):
+                got = model.value.scores(b.column("__text").to_pylist(), lo, hi)
+                yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(got)], ["__row", "__part"])
+
+        out = written(first.select("__row", "__text").mapInArrow(part, "__row long, __part double")).withColumn("__range", F.lit(number))
+        model.destroy()
+        return out
+
+    parts = reduce(DataFrame.unionByName, [coded(i, lo, hi) for i, (lo, hi) in enumerate(ranges(grams, order, nodes))])
+    # summed in the order of ranges, so that repeated rows get the same to the last bit
+    ordered = F.array_sort(F.collect_list(F.struct("__range", "__part")))
+    ppm = parts.groupBy("__row").agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["__part"]).alias("score"))
     rare = first.select("__row", F.explode("__rare").alias("word")).groupBy("word", "__row").agg(F.count("*").alias("times"))
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - below
     joined = (
@@ -311,7 +370,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
         .groupBy("__row")
         .agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
     )
-    return first.drop("__rare").join(joined, "__row", "left").select(
+    return first.drop("__rare", "__text").join(ppm, "__row", "left").join(joined, "__row", "left").select(
         *keep,
         F.col("__n").alias("n_tokens"),
         (F.col("__known") + F.coalesce("found", F.lit(0)) + (1 if texts else 0)).cast("long").alias("n_known"),

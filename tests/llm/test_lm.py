@@ -49,37 +49,73 @@ class Plain:
 def test_ppm_is_the_plain_one(spark, order):
     train = ["the cat sat on the mat".encode(), "the hat of the cat".encode(), b"", "é là".encode()]
     texts = [b"the cat", b"", b"zebra the", "où é".encode(), bytes(range(254)), b"the hat sat on the cat of the mat"]
-    m = lm.train(spark.createDataFrame([(t,) for t in train], "text binary"), order)
+    grams = lm.gram_counts(spark.createDataFrame([(t,) for t in train], "text binary"), order)
+    m = lm.model_of(grams, 0, 1 << (8 * order), order)
     p = Plain(train, order)
     assert np.allclose(m.scores(texts), [p.score(t) for t in texts], atol=1e-9)
+    # ranges of the trie add up to the same
+    cuts = lm.ranges(grams, order, 30)
+    assert len(cuts) > 1 and [lo for lo, _ in cuts] == [0, *[hi for _, hi in cuts[:-1]]] and cuts[-1][1] == 1 << (8 * order)
+    got = sum(lm.model_of(grams, lo, hi, order).scores(texts, lo, hi) for lo, hi in cuts)
+    assert np.allclose(got, [p.score(t) for t in texts], atol=1e-9)
     # the probabilities of all that can follow add up to one
     for ctx in ([lm.BEGIN] * order, [*b"the c"[:order]], [200] * order):
         keys = np.array([sum(s << (8 * (len(ctx) - i)) for i, s in enumerate([*ctx, c])) for c in range(256) if c != lm.BEGIN], np.uint64)
         assert abs((10 ** m.logs(keys)).sum() - 1) < 1e-9
 
 
-def test_fewer_nodes_still_make_a_distribution(spark):
+def _ranges(spark, texts, order, nodes):
+    grams = lm.gram_counts(spark.createDataFrame([(t,) for t in texts], "text binary"), order)
+    return grams, [(lo, hi, lm.model_of(grams, lo, hi, order)) for lo, hi in lm.ranges(grams, order, nodes)]
+
+
+def _sum_over_symbols(models, ctx, order):
+    """The probabilities of all that can follow ctx, each from the range that it belongs to."""
+    keys = np.array([lm.gram_keys([ctx + bytes([c])], order)[0][len(ctx)] for c in range(256) if c not in (lm.END, lm.BEGIN)] + [lm.gram_keys([ctx], order)[0][-1]], np.uint64)
+    at = lm.places(keys, order)
+    assert len(set(at.tolist())) == 1  # one context, so one range
+    (m,) = [m for lo, hi, m in models if lo <= at[0] < hi]
+    return (10 ** m.logs(keys)).sum()
+
+
+def test_each_range_makes_a_distribution(spark):
     train = [b"abracadabra abracadabra", b"banana bandana abba"] * 3 + [b"xyz"]
-    m = lm.train(spark.createDataFrame([(t,) for t in train], "text binary"), 4, nodes=60)
-    assert sum(len(g.keys) for g in m.grams) <= 60
-    for text in (b"abra", b"xyzw", b"bana"):
-        keys = np.array([sum(s << (8 * (4 - i)) for i, s in enumerate([*text, c])) for c in range(256) if c != lm.BEGIN], np.uint64)
-        assert abs((10 ** m.logs(keys)).sum() - 1) < 1e-9
+    _, models = _ranges(spark, train, 4, 60)
+    for ctx in (b"", b"abra", b"xyzw", b"bana"):
+        assert abs(_sum_over_symbols(models, ctx, 4) - 1) < 1e-9
     assert lm.PPM([(np.zeros(0, np.uint64), np.zeros(0))] * 3).scores([b"ab"])[0] == pytest.approx(-3 * math.log10(255))
 
 
-@pytest.mark.parametrize("nodes", [0, 5, 30])
+@pytest.mark.parametrize("nodes", [5, 30])
 def test_nodes_are_a_true_bound(spark, nodes):
-    """Grams seen over 100,000 times are cut like others, down to none; what is left is a
-    distribution."""
+    """No range begins more grams than asked for, whatever their counts (here over 100,000),
+    but for those of one place; none is left out; what a range holds is a distribution."""
     rng = random.Random(2)
     text = "".join(rng.choices("abcd", k=1_000_000)).encode()
-    m = lm.train(spark.createDataFrame([(text,)], "text binary"), 3, nodes=nodes)
-    assert sum(len(g.keys) for g in m.grams) <= nodes
+    grams, models = _ranges(spark, [text], 3, nodes)
+    begun = [grams.where((grams.place >= lo) & (grams.place < hi)).count() for lo, hi, _ in models]
+    one = max(r["count"] for r in grams.groupBy("place").count().collect())
+    assert sum(begun) == grams.count() and max(begun) <= max(nodes, one)
+    for (lo, hi, m), n in zip(models, begun, strict=True):
+        assert sum(len(g.keys) for g in m.grams) <= n + 4 * 6  # and the followers of order + 1 contexts
     for ctx in (b"", b"a", b"abc", b"zz"):
-        p = [10 ** m.logs(lm.gram_keys([ctx + bytes([c])], 3)[0][len(ctx) : len(ctx) + 1])[0] for c in range(256) if c not in (lm.END, lm.BEGIN)]
-        end = 10 ** m.logs(lm.gram_keys([ctx], 3)[0][-1:])[0]
-        assert abs(sum(p) + end - 1) < 1e-6
+        assert abs(_sum_over_symbols(models, ctx, 3) - 1) < 1e-6
+
+
+def test_scores_do_not_depend_on_ranges(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    rows = docs.collect()
+    docs = spark.createDataFrame(rows + rows[:3], docs.schema)
+    train = spark.createDataFrame(rows[:40], docs.schema)
+    few, one = (sorted(map(tuple, lm.score(docs, train, nodes=n).collect())) for n in (9_000, 10_000_000))
+    assert len(few) == len(rows) + 3
+    p = Plain([(r.text or "").encode() for r in rows[:40]], lm.ORDER)
+    plain = {r.doc_id: p.score((r.text or "").encode()) for r in rows}
+    for x, y in zip(few, one, strict=True):
+        assert x[:5] == y[:5] and x[5] == pytest.approx(y[5], rel=1e-9) == pytest.approx(plain[x[0]], rel=1e-9)
+    again = {}
+    for x in few:  # repeated rows get the same score to the last bit
+        assert again.setdefault(x[0], x) == x
 
 
 def test_clashing_columns(spark):
