@@ -151,8 +151,9 @@ def met(ids: list[int], roots: list[int], sets: list[np.ndarray], least: float)
     return local_forest(np.array(u, np.int64), np.array(v, np.int64))
 
 
-def _links_in_keys(rows: DataFrame, least: float) -> DataFrame:
-    """u, v: links among the rows(h, id, root, set) of one key and of different roots."""
+def _links_in_keys(filed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """u, v: links among the members filed(h, id, root) of one key and of different roots. Tiles
+    are dealt by the sizes of the sets(id, tid, set) alone; a set is shipped to its tiles only."""
 
     def run(batches):
         def out(rows):
@@ -169,14 +170,18 @@ def _links_in_keys(rows: DataFrame, least: float) -> DataFrame:
                 held.append(row)
         yield from out(held)
 
-    sizes = rows.groupBy("h").agg(F.ceil(F.sum(F.octet_length("set")) / (8 * TILE)).cast("int").alias("k"))
+    # written: tiles depend on it twice, and it has no sets
+    sized = written(filed.join(sets.select("id", "tid", F.octet_length("set").alias("size")), "id"))
+    sizes = sized.groupBy("h").agg(F.ceil(F.sum("size") / (8 * TILE)).cast("int").alias("k"))
     tile = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     every = F.sequence(F.lit(0), F.col("k") - 1)
     return (
-        rows.join(sizes, "h")
+        sized.join(sizes, "h")
         .withColumn("t", tile)
         .withColumn("o", F.explode(every))
-        .select("h", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "root", "set")
+        .select("h", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "tid", "root")
+        .join(sets, ["id", "tid"])
+        .select("h", "i", "j", "id", "root", "set")
         .repartition("h", "i", "j")
         .sortWithinPartitions("h", "i", "j")
         .mapInArrow(run, "u long, v long")
@@ -210,8 +215,11 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text: str =
     named = wanted.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     # a key of two has had its pair tested
     open_ = keyed.where("members > 2").select("h", "id").distinct().join(named, "id")
-    mixed = open_.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    more = _links_in_keys(open_.join(mixed, "h").join(sets.select("id", "set"), "id"), least)
+    # keys of the same members ask the same: the least of them stands for all
+    who = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
+    mixed = open_.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low < high")
+    asked = mixed.groupBy("n", "x1", "x2").agg(F.min("h").alias("h")).select("h")
+    more = _links_in_keys(open_.join(asked, "h"), sets, least)
     links = links.unionByName(written(more))
     roots = components(links).select(F.col("node").alias("id"), "root")
     of_class = classes.join(roots, "id", "left").select("tid", F.coalesce("root", "id").alias("component_id"))
