@@ -169,7 +169,8 @@ class PPM:
             if hi is not None:
                 here &= place < np.uint64(hi)
             keys, of = keys[here], of[here]
-        return np.bincount(of, self.logs(keys), minlength=len(size))
+        # of no places at all, bincount makes whole numbers
+        return np.bincount(of, self.logs(keys), minlength=len(size)).astype(float)
 
 
 def places(keys: np.ndarray, order: int) -> np.ndarray:
@@ -353,7 +354,7 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None, t
         def part(batches):
             for b in slices(batches, "__text", 1 << 19):
                 got = model.value.scores(b.column("__text").to_pylist(), lo, hi)
-                yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(got)], ["__row", "__part"])
+                yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(got, pa.float64())], ["__row", "__part"])
 
         out = written(first.select("__row", "__text").mapInArrow(part, "__row long, __part double")).withColumn("__range", F.lit(number))
         model.destroy()

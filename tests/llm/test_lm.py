@@ -118,6 +118,19 @@ def test_scores_do_not_depend_on_ranges(spark, sf_dir):
         assert again.setdefault(x[0], x) == x
 
 
+def test_slices_without_a_place_in_a_range(spark):
+    """A slice of one short text after that of a long one: most ranges have no place of it."""
+    rows = [(1, "abcd" * 150_000), (2, ""), (3, None), (4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm.score(docs, docs, nodes=5).collect()}
+    grams = lm.gram_counts(docs.selectExpr("cast(coalesce(text, '') as binary) as text"))
+    cuts = lm.ranges(grams, nodes=5)
+    parts = [lm.model_of(grams, lo, hi).scores([b""], lo, hi) for lo, hi in cuts]
+    assert len(cuts) > 1 and {p.dtype for p in parts} == {np.dtype(float)} and sum(p[0] != 0 for p in parts) == 1
+    whole = lm.model_of(grams, 0, 1 << (8 * lm.ORDER)).scores([(t or "").encode() for _, t in rows])
+    assert [got[i] for i, _ in rows] == pytest.approx(whole.tolist(), rel=1e-9)
+
+
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "z", "z"), (1, "a b", "z", "z")], "doc_id long, text string, score string, n_tokens string")
     got = lm.score(docs, docs, keep=["doc_id", "score", "n_tokens"])
