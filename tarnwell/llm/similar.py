@@ -2,36 +2,48 @@
 similarity of at least a threshold (``simhash.near_duplicates`` with ``least``).
 
 64-bit fingerprints can not tell such pairs: at 0.8 they differ in 10 bits on average and up to
-19, a radius at which a grid of segment counts has every cell meet most others. So here the
-whole set is the fingerprint, a bit for every hash. Its SEGMENTS counts of set bits, by the
-top bits of the hashes, are its place; the Manhattan distance of two places is a lower bound
-of the bits that differ, and what it leaves is verified exactly on the sets.
-
-What meets comes from keys of minima: BANDS keys of DEEP minima each, so a pair of similarity 0.8
-shares no key with a chance of (1 - 0.8**4)**32, 5 in 100 million, and more similar pairs
-with less. What shares a key is verified on the sets themselves. All members of a key meet
-the least of them first; only keys whose members then are of several components have the
-rest of their pairs tested, by tiles.
+19. So a fingerprint here has 64 * WORDS bits, each set if over half of a set's hashes set it.
+Two sets whose similarity is the threshold differ in a bit with a chance of ``differing`` at
+most, and in no more than ``radius`` bits but for a chance of 1 in 90 million at 0.8 (sets of 4
+and 5 hashes; 2 in 100 billion from 20 hashes on); texts that have nothing in common differ in
+half their bits, five deviations above it.
+
+The search is a range join over the number of shingles: similar sets are of one band of sizes
+or of two next to each other, and within these no more than 1 / threshold apart. What is in
+range meets by tiles; of that the bits of the first half are compared, then the Manhattan
+distance of the counts of set bits per two-bit segment, a lower bound of the bits that
+differ, and then all bits. A meeting gives a forest, not pairs. So every pair in range is
+compared, none by shared keys.
+
+What fingerprints join is verified exactly on the sets: all members of a component of
+fingerprints meet the least of them first; only those whose members then are of several
+components have the rest of their pairs tested, by tiles, with SEGMENTS counts of hashes
+by their top bits as place and its Manhattan distance as lower bound before the sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import bounded_batches, components, local_forest, slices, written
+from tarnwell.llm.simhash import thermometer
 
-BANDS, DEEP = 32, 4
+#: Words of 64 bits of a fingerprint.
+WORDS = 4
+#: Fingerprints of a tile: so many, or a part of all in SHARE where that is more, up to a bound.
+#: A row goes to each tile of its band and the next ones, so few tiles are few copies.
+LEAST_ROWS, MOST_ROWS, SHARE = 4096, 1 << 18, 10
 #: Segments whose counts of set bits are a set's place.
 SEGMENTS = 64
 #: Shingles of a tile; two tiles are what a task holds.
 TILE = 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_rng = np.random.default_rng(7)
-_MULT = _rng.integers(1, 2**63, BANDS * DEEP, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * DEEP, np.uint64)
+_MULT = np.random.default_rng(7).integers(1, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -48,19 +60,29 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, stops, strict=False)], np.uint64))
 
 
-def keys_of(found: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of hashes."""
-    least = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(found), 4096):
-        x = found[lo : lo + 4096]
-        x = (x ^ (x >> np.uint64(31)))[None, :] * _MULT[:, None] + _ADD[:, None]
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
-    least = least.reshape(BANDS, DEEP)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(DEEP):
-        key = (key ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """WORDS words of SimHash of a set of hashes: a bit is set if over half the hashes set it."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for lo in range(0, len(found), 255):
+        x = found[lo : lo + 255]
+        x = (x ^ (x >> np.uint64(31)))[:, None] * _MULT
+        bits = np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
+
+
+def differing(least: float) -> float:
+    """The chance, at most, that a bit differs between sets of a similarity of ``least`` or more:
+    the angle between them over pi, and a quarter more, as sets of few hashes have more (0.1875
+    for 4 of 5 hashes, against 0.152)."""
+    return 1.25 * math.acos(2 * least / (1 + least)) / math.pi
+
+
+def radius(bits: int, least: float) -> int:
+    """Bits of so many that sets of a similarity of ``least`` differ in at most: six deviations
+    above the mean."""
+    p = differing(least)
+    return min(bits, math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p))))
 
 
 def _is_near(common, a, b, least: float):
@@ -76,18 +98,115 @@ def _tid(text: bytes) -> bytes:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, tid and keys for every row of docs(doc_id, text)."""
+    """doc_id, tid, number of shingles and words of the fingerprint for every row of docs(doc_id, text)."""
+    words = [f"f{k}" for k in range(WORDS)]
 
     def run(batches):
         for b in slices(batches, "text", 1 << 20):
-            tid, keys = [], []
+            tid, size, prints = [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 s = shingles(t or b"", width)
                 tid.append(_tid(t or b""))
-                keys.append(keys_of(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tid", "keys"])
+                size.append(len(s))
+                prints.append(fingerprint(s))
+            columns = np.array(prints, np.uint64).view(np.int64).reshape(-1, WORDS).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tid, pa.binary()), pa.array(size, pa.int64()), *map(pa.array, columns)], ["doc_id", "tid", "size", *words])
+
+    return docs.mapInArrow(run, "doc_id long, tid binary, size long, " + ", ".join(f"{c} long" for c in words))
+
+
+def close(ids: np.ndarray, size: np.ndarray, prints: np.ndarray, other: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of rows whose sizes and fingerprints (WORDS columns) allow a
+    similarity of ``least``; of rows where ``other`` is false with those where it is true only,
+    if given."""
+    order = np.argsort(size, kind="stable")
+    ids, size, prints = ids[order], size[order], np.ascontiguousarray(prints[order].T)
+    places = thermometer(prints)
+    mine, theirs = (np.arange(len(ids)),) * 2 if other is None else (np.flatnonzero(~other[order]), np.flatnonzero(other[order]))
+    half = WORDS // 2
+    near, near_half = radius(64 * WORDS, least), radius(64 * half, least)
+    root = np.arange(len(ids))
+    right, sizes = prints[:, theirs], size[theirs]
+    lo = 0
+    while lo < len(mine):
+        least_size = size[mine[lo]]
+        begin = lo if other is None else int(np.searchsorted(sizes, least_size * least - 1e-6))
+        hi = min(len(mine), lo + max(1, 262_144 // max(1, int(np.searchsorted(sizes, least_size / least + 1e-6, "right")) - begin)))
+        end = int(np.searchsorted(sizes, size[mine[hi - 1]] / least + 1e-6, "right"))
+        apart = np.zeros((hi - lo, end - begin), np.uint8)
+        for k in range(half):
+            apart += np.bitwise_count(prints[k, mine[lo:hi], None] ^ right[None, k, begin:end])
+        r, c = np.nonzero(apart <= near_half)
+        r, c = mine[r + lo], theirs[c + begin]
+        ok = root[r] != root[c]
+        r, c = r[ok], c[ok]
+        for x in (places, prints):
+            ok = np.bitwise_count(x[:, r] ^ x[:, c]).sum(axis=0, dtype=np.int64) <= near
+            r, c = r[ok], c[ok]
+        if len(r):
+            node, to = local_forest(root[r], root[c])
+            of = np.arange(len(ids))
+            of[node] = to
+            root = of[root]
+        lo = hi
+    far = ids != ids[root]
+    return ids[far], ids[root[far]]
+
+
+def _joined(own: DataFrame, least: float) -> DataFrame:
+    """u, v: forests of the rows own(id, size, words of the fingerprint) that range and fingerprint join."""
+    words = [f"f{k}" for k in range(WORDS)]
+
+    def run(batches):
+        def out():
+            if sum(len(x[0]) for x in held) > 1:
+                ids, size, prints, side = (np.concatenate(x) for x in zip(*held, strict=True))
+                x, y = close(ids, size, prints, side if now[1] else None, least)
+                for at in range(0, len(x), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]), pa.array(y[at : at + 100_000])], ["u", "v"])
 
-    return docs.mapInArrow(run, "doc_id long, tid binary, keys array<long>")
+        held, now = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "next", "i", "j")], axis=1)
+            ids, size, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "side"))
+            prints = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in words], axis=1).view(np.uint64)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if tuple(key[lo].tolist()) != now:
+                    yield from out()
+                    held, now = [], tuple(key[lo].tolist())
+                held.append((ids[lo:hi], size[lo:hi], prints[lo:hi], side[lo:hi]))
+        yield from out()
+
+    # a little wider than the threshold, so that no rounding puts a pair two bands apart
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(1e-9 - math.log(least))).cast("int")
+    rows = written(own.withColumn("band", band))
+    count = {r["band"]: r["n"] for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect()}  # one per band, as many as sizes' logarithms
+    most = min(MOST_ROWS, max(LEAST_ROWS, sum(count.values()) // SHARE))
+    tiles = {b: -(-n // most) for b, n in count.items()}
+    of = rows.sparkSession.createDataFrame([(b, k, tiles.get(b - 1, 0), tiles.get(b + 1, 0)) for b, k in tiles.items()], "band int, k int, under int, over int")
+    tile = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+
+    def every(k, f):
+        kind = "array<struct<band:int,next:boolean,i:int,j:int,side:boolean>>"
+        return F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(0), F.col(k) - 1), f)).otherwise(F.array().cast(kind))
+
+    def meeting(band, follows, i, j, side):
+        return F.struct(band.alias("band"), F.lit(follows).alias("next"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    here = F.col("band")
+    at = F.concat(
+        every("k", lambda o: meeting(here, False, F.least(tile, o), F.greatest(tile, o), F.lit(False))),
+        every("over", lambda o: meeting(here, True, tile, o, F.lit(False))),
+        every("under", lambda o: meeting(here - 1, True, o, tile, F.lit(True))),
+    )
+    # of, a row per band, is what createDataFrame made of the counts above
+    met_at = rows.join(F.broadcast(of), "band").withColumn("at", F.explode(at))
+    dealt = met_at.select("at.band", "at.next", "at.i", "at.j", "at.side", "id", "size", *words)
+    unit = ["band", "next", "i", "j"]
+    return dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "u long, v long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -139,9 +258,9 @@ def met(ids: list[int], roots: list[int], sets: list[np.ndarray], least: float)
     apart = (1 - least) / (1 + least)
     u, v = [], []
     for i in range(len(ids) - 1):
-        bound = (size[i] + size[i + 1 :]) * apart + 1e-6
-        near = np.abs(at[i + 1 :] - at[i]).sum(axis=1) <= bound
-        for j in (np.flatnonzero(near & (root[i + 1 :] != root[i])) + i + 1).tolist():
+        open_ = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        near = np.abs(at[open_] - at[i]).sum(axis=1) <= (size[i] + size[open_]) * apart + 1e-6
+        for j in open_[near].tolist():
             if root[j] == root[i]:
                 continue
             if _is_near(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), size[i], size[j], least):
@@ -152,7 +271,7 @@ def met(ids: list[int], roots: list[int], sets: list[np.ndarray], least: float)
 
 
 def _links_in_keys(filed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """u, v: links among the members filed(h, id, root) of one key and of different roots. Tiles
+    """u, v: links among the members filed(h, id, root) of one h and of different roots. Tiles
     are dealt by the sizes of the sets(id, tid, set) alone; a set is shipped to its tiles only."""
 
     def run(batches):
@@ -195,16 +314,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text: str =
     least ``least``.
 
     Texts of the same words are a class, and those without words another; only classes are
-    searched. An empty table gives no rows. No limit on the size of a class, key or component.
+    searched. An empty table gives no rows. No limit on the size of a class, band or component.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(_signed(docs, width))
     classes = signed.groupBy("tid").agg(F.min("doc_id").alias("id"))
-    # a class is filed by the rows of its smallest doc_id; repeated rows change nothing below
-    own = signed.select(F.col("doc_id").alias("id"), "tid", "keys").join(classes, ["id", "tid"])
-    filed = own.select("id", F.explode("keys").alias("h"))
-    shared = filed.groupBy("h").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "members", "first")
+    # a class is searched by the rows of its smallest doc_id; repeated rows change nothing below
+    own = signed.where("size > 0").withColumnRenamed("doc_id", "id").join(classes, ["id", "tid"]).drop("tid").distinct()
+    filed = components(written(_joined(own, least))).select(F.col("node").alias("id"), F.col("root").alias("h"))
+    shared = filed.groupBy("h").agg(F.count("*").alias("members"), F.min("id").alias("first"))
     keyed = written(filed.join(shared, "h"))
     wanted = keyed.select("id").distinct()
     some = _sets(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), width)
@@ -213,13 +332,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, text: str =
     stars = keyed.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_verified(stars, sets, least))
     named = wanted.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    # a key of two has had its pair tested
-    open_ = keyed.where("members > 2").select("h", "id").distinct().join(named, "id")
-    # keys of the same members ask the same: the least of them stands for all
-    who = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2))]
-    mixed = open_.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), *who).where("low < high")
-    asked = mixed.groupBy("n", "x1", "x2").agg(F.min("h").alias("h")).select("h")
-    more = _links_in_keys(open_.join(asked, "h"), sets, least)
+    # a component of two has had its pair tested
+    open_ = keyed.where("members > 2").select("h", "id").join(named, "id")
+    mixed = open_.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    more = _links_in_keys(open_.join(mixed, "h"), sets, least)
     links = links.unionByName(written(more))
     roots = components(links).select(F.col("node").alias("id"), "root")
     of_class = classes.join(roots, "id", "left").select("tid", F.coalesce("root", "id").alias("component_id"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from tarnwell.llm import similar as S
 from tests.llm.cases import hard_documents, no_documents
@@ -61,6 +63,64 @@ def test_keys_in_tiles(spark, monkeypatch):
     check(spark, copies(4))
 
 
+def test_fingerprints_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_ROWS", 16)
+    monkeypatch.setattr(S, "SHARE", 10**9)
+    check(spark, copies(5))
+
+
+def test_fingerprint_is_plain():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 4, 7, 254, 255, 256, 1000):
+        found = rng.integers(0, 2**63, n).astype(np.uint64)
+        for k, (word, mult) in enumerate(zip(S.fingerprint(found), S._MULT.tolist(), strict=True)):
+            h = [(x ^ x >> 31) * mult % 2**64 for x in found.tolist()]
+            h = [x ^ x >> 32 for x in h]
+            assert int(word) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n), (n, k)
+
+
+def test_similar_sets_are_within_the_radius():
+    """Pairs of similarity 0.8 and a little more, of few hashes and of many."""
+    rng = np.random.default_rng(2)
+    half, whole = S.radius(128, 0.8), S.radius(256, 0.8)
+    for n in [5, 9, 10, 18, 45, 90, 180, 450] * 40:
+        apart = n // 5 if n % 9 else n // 9  # all of them in one set, or as many in each
+        found = rng.integers(0, 2**63, n + apart).astype(np.uint64)
+        a, b = (found[:n], found[apart:n]) if n % 9 else (found[:n], found[apart:])
+        bits = np.bitwise_count(S.fingerprint(a) ^ S.fingerprint(b))
+        assert bits[:2].sum() <= half and bits.sum() <= whole
+
+
+def test_range_join_of_fingerprints_against_brute_force(spark, monkeypatch):
+    """Components of fingerprints within the radius and sizes in range, over many tiles and bands."""
+    from tarnwell.llm.common import components
+
+    monkeypatch.setattr(S, "LEAST_ROWS", 16)
+    monkeypatch.setattr(S, "SHARE", 10**9)
+    rng = random.Random(6)
+    rows, x = [], 0
+    for i in range(500):
+        for b in rng.sample(range(256), rng.randint(20, 110)):
+            x ^= 1 << b
+        if rng.random() < 0.2:
+            x = rng.getrandbits(256)
+        words = np.frombuffer(x.to_bytes(32, "little"), np.int64).tolist()
+        rows.append((1000 - i, rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 60, 75, 90, 94, 110]), *words))
+    own = spark.createDataFrame(rows, "id long, size long, f0 long, f1 long, f2 long, f3 long").repartition(5)
+    got = {r.node: r.root for r in components(S._joined(own, 0.8)).collect()}
+    prints = np.array([r[2:] for r in rows], np.int64).view(np.uint64)
+    root = {r[0]: r[0] for r in rows}
+    linked = 0
+    for a in range(len(rows)):
+        bits = np.bitwise_count(prints[a] ^ prints[:a])
+        for b in np.flatnonzero((bits.sum(axis=1) <= S.radius(256, 0.8)) & (bits[:, :2].sum(axis=1) <= S.radius(128, 0.8))).tolist():
+            if 10 * min(rows[a][1], rows[b][1]) >= 8 * max(rows[a][1], rows[b][1]):
+                linked += 1
+                low, high = sorted((root[rows[a][0]], root[rows[b][0]]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert linked > 50 and {i: got.get(i, i) for i in root} == root
+
+
 def test_documents(spark, sf_dir):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
 
