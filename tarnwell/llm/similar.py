@@ -38,6 +38,8 @@ WORDS = 4
 #: Fingerprints of a tile: so many, or a part of all in SHARE where that is more, up to a bound.
 #: A row goes to each tile of its band and the next ones, so few tiles are few copies.
 LEAST_ROWS, MOST_ROWS, SHARE = 4096, 1 << 18, 10
+#: Pairs of fingerprints that are compared at once, or one row with all in its range.
+CELLS = 1 << 18
 #: Segments whose counts of set bits are a set's place.
 SEGMENTS = 64
 #: Shingles of a tile; two tiles are what a task holds.
@@ -126,19 +128,25 @@ def close(ids: np.ndarray, size: np.ndarray, prints: np.ndarray, other: np.ndarr
     half = WORDS // 2
     near, near_half = radius(64 * WORDS, least), radius(64 * half, least)
     root = np.arange(len(ids))
-    right, sizes = prints[:, theirs], size[theirs]
+    sizes = size[theirs]
+    begins = np.arange(len(ids)) if other is None else np.searchsorted(sizes, size[mine] * least - 1e-6)
+    ends = np.searchsorted(sizes, size[mine] / least + 1e-6, "right")
+    some = ends > begins
+    mine, begins, ends = mine[some], begins[some], ends[some]
+    right = prints[:, theirs]
     lo = 0
     while lo < len(mine):
-        least_size = size[mine[lo]]
-        begin = lo if other is None else int(np.searchsorted(sizes, least_size * least - 1e-6))
-        hi = min(len(mine), lo + max(1, 262_144 // max(1, int(np.searchsorted(sizes, least_size / least + 1e-6, "right")) - begin)))
-        end = int(np.searchsorted(sizes, size[mine[hi - 1]] / least + 1e-6, "right"))
+        begin = begins[lo]
+        # as many rows as CELLS allows with all that is in range of the last of them: both grow
+        to = ends[lo : lo + max(1, CELLS // int(ends[lo] - begin))]
+        hi = lo + max(1, int(np.searchsorted(np.arange(1, len(to) + 1) * (to - begin), CELLS, "right")))
+        end = ends[hi - 1]
         apart = np.zeros((hi - lo, end - begin), np.uint8)
         for k in range(half):
             apart += np.bitwise_count(prints[k, mine[lo:hi], None] ^ right[None, k, begin:end])
         r, c = np.nonzero(apart <= near_half)
         r, c = mine[r + lo], theirs[c + begin]
-        ok = root[r] != root[c]
+        ok = (root[r] != root[c]) & (np.minimum(size[r], size[c]) >= np.maximum(size[r], size[c]) * least - 1e-6)
         r, c = r[ok], c[ok]
         for x in (places, prints):
             ok = np.bitwise_count(x[:, r] ^ x[:, c]).sum(axis=0, dtype=np.int64) <= near

@@ -1,11 +1,14 @@
 """Near copies by shingle similarity against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as P
 from tarnwell.llm import similar as S
+from tarnwell.llm.common import local_forest
 from tests.llm.cases import hard_documents, no_documents
 
 
@@ -121,6 +124,34 @@ def test_range_join_of_fingerprints_against_brute_force(spark, monkeypatch):
     assert linked > 50 and {i: got.get(i, i) for i in root} == root
 
 
+@pytest.mark.parametrize("sides", [True, False])
+def test_comparison_in_bounded_memory(sides):
+    """Two bands, the least size of one with nothing in its range in the other: no block of all with all."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    size = np.concatenate([rng.integers(87, 109, n), rng.integers(109, 136, n)])
+    prints = rng.integers(0, 2**63, (2 * n, S.WORDS), np.uint64)
+    prints[n : n + 400] = prints[:400]
+    side = np.arange(2 * n) >= n
+    tracemalloc.start()
+    x, y = S.close(np.arange(2 * n), size, prints, side if sides else None, 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32e6
+    u, v = [], []
+    for i in range(n if sides else 2 * n):
+        bits = np.bitwise_count(prints[i] ^ prints)
+        ok = (bits.sum(axis=1) <= S.radius(256, 0.8)) & (bits[:, :2].sum(axis=1) <= S.radius(128, 0.8))
+        ok &= 10 * np.minimum(size[i], size) >= 8 * np.maximum(size[i], size)
+        j = np.flatnonzero(ok & side if sides else ok)
+        u.append(np.full(len(j), i))
+        v.append(j)
+    node, root = local_forest(np.concatenate(u), np.concatenate(v))
+    assert 100 < len(node) < 400
+    # close names a component by its smallest row or another of it
+    assert len(x) == len(node) and dict(zip(*map(np.ndarray.tolist, local_forest(x, y)), strict=True)) == dict(zip(node.tolist(), root.tolist(), strict=True))
+
+
 def test_documents(spark, sf_dir):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
 
