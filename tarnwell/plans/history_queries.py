@@ -144,8 +144,8 @@ _DECIDED = f"""select grp, index, decision, case decision when 'executed' then i
 
 @register(_DECIDED)
 def session_decisions(spark, sf_dir):
-    """FSM-01 JOI-05: every command's decision under the usual limits, which these groups do not
-    reach, so SQL over clients tells the same."""
+    """FSM-01 JOI-05: every command's decision under the usual limits. SQL over clients knows none
+    and tells the same as long as no session that is used again has been evicted or is full."""
     return X.decide(commands(T.table(spark, sf_dir, "events")))
 
 
