@@ -193,7 +193,8 @@ def stream_timeline(spark, sf_dir):
 
 @register(_DECIDED)
 def stream_sessions(spark, sf_dir):
-    """STR-01 STR-02: session decisions from a stream of commands in a table."""
+    """STR-01 STR-02: session decisions, under the usual limits too, from a stream of commands in a
+    table."""
     at = jobs.shared_folder(spark)
     c = commands(T.table(spark, sf_dir, "events"))
     c.write.parquet(f"{at}/commands")

@@ -54,3 +54,10 @@ def test_session_decisions_beyond_the_limits(spark, crowd):
     got = {(r.grp, r["index"]): (r.decision, r.reported) for r in catalogue.QUERIES["session_decisions"](spark, folder).collect()}
     assert got == want and got.keys() == sql.keys()
     assert {g for g, i in got if got[g, i] != sql[g, i]} == {0} and {got[k][0] for k in got if got[k] != sql[k]} == {"expired"}
+
+
+def test_stream_sessions_beyond_the_limits(spark, crowd):
+    """The stream evicts the same sessions."""
+    folder, want, sql = crowd
+    got = {(r.grp, r["index"]): (r.decision, r.reported) for r in catalogue.QUERIES["stream_sessions"](spark, folder).collect()}
+    assert got == want and want != sql
